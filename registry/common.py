@@ -29,6 +29,22 @@ CONTEXT_ASPECT = "thatin"
 SEP = "\u001f"
 
 
+def registry():
+    """Two dictionaries and the decorator that fills them."""
+    queries, oracle = {}, {}
+
+    def query(name: str, sql: str | None = None):
+        def add(fn):
+            queries[name] = fn
+            if sql is not None:
+                oracle[name] = sql
+            return fn
+
+        return add
+
+    return queries, oracle, query
+
+
 def sql_list(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 

@@ -10,17 +10,7 @@ from sentiloom.operators import evaluate as E
 from sentiloom.operators import shape as S
 from sentiloom.plans import evaluation as P
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = C.registry()
 
 
 WITH = f"WITH {C.SQL_PREDICTIONS}, {C.SQL_SCORED} "

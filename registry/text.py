@@ -11,17 +11,7 @@ from sentiloom.operators import information as I
 from sentiloom.operators import lexicon as L
 from sentiloom.operators import shape as S
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = C.registry()
 
 
 @query("tokens", f"WITH {C.SQL_WORDS} SELECT doc_id, pos, word FROM words")

@@ -16,7 +16,7 @@ def aspect_mask(ids: Column | str, aspect: Column | str) -> Column:
 
     def with_ids(tokens: Column) -> Column:
         def with_aspect(term: Column) -> Column:
-            m = F.size(term)
+            m = F.array_size(term)
             begins = F.transform(
                 tokens,
                 lambda t, i: (t == F.get(term, F.lit(0)))
@@ -34,7 +34,7 @@ def aspect_mask(ids: Column | str, aspect: Column | str) -> Column:
 
             return F.when(
                 (m > 0) & F.arrays_overlap(tokens, term), let(begins, spread)
-            ).otherwise(F.array_repeat(F.lit(0), F.size(tokens)))
+            ).otherwise(F.array_repeat(F.lit(0), F.array_size(tokens)))
 
         return let(col(aspect), with_aspect)
 
@@ -43,12 +43,12 @@ def aspect_mask(ids: Column | str, aspect: Column | str) -> Column:
 
 def pad(ids: Column | str, length: Column, value: int = 0) -> Column:
     ids = col(ids)
-    return F.concat(ids, F.array_repeat(F.lit(value), (length - F.size(ids)).cast("int")))
+    return F.concat(ids, F.array_repeat(F.lit(value), (length - F.array_size(ids)).cast("int")))
 
 
 def attention(ids: Column | str, length: Column) -> Column:
     """1 for a real token, 0 for padding."""
-    n = F.size(col(ids))
+    n = F.array_size(col(ids))
     return F.concat(
         F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), (length - n).cast("int"))
     )

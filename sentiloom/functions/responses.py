@@ -37,7 +37,7 @@ def reject_reason(response: Column | str) -> Column:
         return (
             F.when(json_array(response).isNull(), "no array")
             .when(parsed.isNull(), "not json")
-            .when(F.size(parsed) == 0, "empty array")
+            .when(F.array_size(parsed) == 0, "empty array")
             .when(
                 F.exists(parsed, lambda e: ~F.coalesce(F.startswith(e, F.lit("{")), F.lit(False))),
                 "entry is not an object",
@@ -161,8 +161,8 @@ def trace_reject(record: Column | str) -> Column:
     """Why a record is unreadable; NULL when it has its ten lines and labels."""
 
     def why(lines: Column) -> Column:
-        return F.when(F.size(lines) != 10, "not ten lines").when(
-            F.size(F.split(F.get(lines, F.lit(0)), "\t")) != 4, "not four fields"
+        return F.when(F.array_size(lines) != 10, "not ten lines").when(
+            F.array_size(F.split(F.get(lines, F.lit(0)), "\t")) != 4, "not four fields"
         )
 
     fields = trace_fields(record)

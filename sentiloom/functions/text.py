@@ -76,7 +76,7 @@ def word_counts(tokens: Column) -> Column:
                 at,
                 lambda b, j: F.struct(
                     F.get(s, b).alias("word"),
-                    (F.coalesce(F.get(at, j + 1), F.size(s)) - b).alias("k"),
+                    (F.coalesce(F.get(at, j + 1), F.array_size(s)) - b).alias("k"),
                 ),
             ),
         )
@@ -93,7 +93,7 @@ def entropy(tokens: Column) -> Column:
             F.lit(0.0),
             lambda a, c: a + c["k"] * F.log2(c["k"].cast("double")),
         )
-        n = F.size(ws).cast("double")
+        n = F.array_size(ws).cast("double")
         return F.when(n > 0, F.log2(n) - inner / n)
 
     return let(tokens, bits)
@@ -104,7 +104,7 @@ def adjacent_pairs(tokens: Column) -> Column:
     return let(
         tokens,
         lambda ws: F.transform(
-            F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))),
+            F.slice(ws, 2, F.greatest(F.array_size(ws) - 1, F.lit(0))),
             lambda w, i: F.struct(F.get(ws, i).alias("v"), w.alias("w")),
         ),
     )
@@ -140,8 +140,8 @@ def mark_modifiers(text: Column | str) -> Column:
                 )
             )
 
-        last = F.coalesce(F.get(plain, F.size(plain) - 1), F.lit(-1))
-        tail = F.slice(tokens, last + 2, F.size(tokens) - last - 1)
+        last = F.coalesce(F.get(plain, F.array_size(plain) - 1), F.lit(-1))
+        tail = F.slice(tokens, last + 2, F.array_size(tokens) - last - 1)
         return F.array_join(F.concat(F.transform(plain, piece), tail), " ")
 
     def body(tokens: Column) -> Column:
@@ -172,7 +172,7 @@ def context_window(
     def cut(tokens: Column) -> Column:
         def around(at: Column) -> Column:  # 1-based, 0 when absent
             start = F.greatest(at - size, F.lit(1)).cast("int")
-            stop = F.least(at + size, F.size(tokens)).cast("int")
+            stop = F.least(at + size, F.array_size(tokens)).cast("int")
             return F.when(
                 at > 0, F.array_join(F.slice(tokens, start, stop - start + 1), " ")
             )

@@ -6,7 +6,7 @@ Columns: ``doc_id, sent_id, tok_id`` (1-based), ``text, lemma, upos``,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentiloom import constants as K
@@ -60,6 +60,10 @@ def opinion_of(tokens: DataFrame, aspect: str) -> DataFrame:
 LISTS = ("text", "lemma", "upos", "head", "deprel", "ner")
 
 
+def _field(name: str) -> Column:
+    return F.transform("_rows", lambda r: r["t"][name])
+
+
 def annotation_lists(tokens: DataFrame, per_sentence: bool = False) -> DataFrame:
     """Six parallel lists per comment, or per sentence of a comment.
 
@@ -73,6 +77,6 @@ def annotation_lists(tokens: DataFrame, per_sentence: bool = False) -> DataFrame
         .agg(rows.alias("_rows"))
         .select(
             *keys,
-            *[F.transform("_rows", lambda r, c=c: r["t"][c]).alias(f"{c}_list") for c in LISTS],
+            *[_field(c).alias(f"{c}_list") for c in LISTS],
         )
     )

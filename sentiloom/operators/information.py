@@ -44,7 +44,7 @@ def _word_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Words with what they count for: themselves, pair starts, pair ends."""
 
     def flagged(ws: Column) -> Column:
-        last = F.size(ws) - 1
+        last = F.array_size(ws) - 1
         return F.transform(
             ws,
             lambda w, i: F.struct(
@@ -192,7 +192,7 @@ def aspect_pmi(
         docs.where(maybe)  # cheap test first: most rows need no word list
         .select(key, F.array_distinct(X.words(text)).alias("_words"))
         .select(key, "_words", held.alias("_held"))
-        .where(F.size("_held") > 0)
+        .where(F.array_size("_held") > 0)
     )
     joint = with_aspect.select(
         key, F.explode("_held").alias("aspect"), "_words"

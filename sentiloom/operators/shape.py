@@ -154,6 +154,10 @@ def collect_texts(
     )
 
 
+def _field(rows: str, holder: str, name: str) -> Column:
+    return F.transform(rows, lambda r: r[holder][name])
+
+
 def rows_to_bundle(
     df: DataFrame, order: list[str], columns: list[str], per_bundle: int = 1000
 ) -> DataFrame:
@@ -170,10 +174,7 @@ def rows_to_bundle(
         .agg(rows.alias("_rows"))
         .select(
             "shard",
-            *[
-                F.transform("_rows", lambda r, c=c: r[c][c]).alias(c)
-                for c in columns
-            ],
+            *[_field("_rows", c, c).alias(c) for c in columns],
         )
     )
 
@@ -186,7 +187,7 @@ def bundle_to_rows(df: DataFrame, shard: str | None = None) -> DataFrame:
     """
     has_flags = "implicits" in df.columns
     lists = ["raw_texts", "raw_aspect_terms", "labels"] + ["implicits"] * has_flags
-    sizes = [F.size(c) for c in lists]
+    sizes = [F.array_size(c) for c in lists]
     aligned = F.greatest(*sizes) == F.least(*sizes)
     keep = [shard] if shard else []
     rows = df.select(
@@ -231,7 +232,7 @@ def pad_batch(
 
     The longest length is aggregated and joined back: batches may be uneven.
     """
-    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_longest"))
+    longest = df.groupBy(batch).agg(F.max(F.array_size(ids)).alias("_longest"))
     return df.join(longest, batch).select(
         *[c for c in df.columns if c != ids],
         pad(ids, F.col("_longest"), pad_id).alias("input_ids"),
@@ -261,7 +262,7 @@ def align_by_position(lists: DataFrame, keys: list[str], columns: list[str]) ->
 
     Works within the row, so no list is moved between tasks.
     """
-    sizes = [F.coalesce(F.size(c), F.lit(0)) for c in columns]
+    sizes = [F.coalesce(F.array_size(c), F.lit(0)) for c in columns]
     equal = F.greatest(*sizes) == F.least(*sizes)
     full = [F.coalesce(F.col(c), F.array().cast(lists.schema[c].dataType)).alias(c) for c in columns]
     rows = lists.select(

@@ -44,12 +44,12 @@ def prompt_batch_labels(pairs: DataFrame, text: str = "text", role: str = K.LABE
         .agg(rows.alias("_p"), texts.alias("_t"))
         .select(
             "batch_id",
-            F.size("_p").alias("expected_n"),
+            F.array_size("_p").alias("expected_n"),
             F.lit(role).alias("role"),
             P.batch_labels(
                 F.to_json(F.col("_t").getField(text)),
                 F.to_json(F.col("_p.aspect")),
-                F.size("_p"),
+                F.array_size("_p"),
             ).alias("prompt"),
         )
     )
@@ -62,7 +62,7 @@ def check_response(expected: DataFrame, responses: DataFrame) -> DataFrame:
     """
     read = responses.select(
         "batch_id",
-        F.size(R.items("response")).alias("actual_n"),
+        F.array_size(R.items("response")).alias("actual_n"),
         R.reject_reason("response").alias("_why"),
         F.lit(True).alias("_given"),
     )
@@ -127,8 +127,8 @@ def with_masks(rows: DataFrame, aspect_tokens: DataFrame, ids: str = "token_ids"
     return (
         lookup_join(rows, aspect_tokens, ["aspect"], "left")
         .withColumn("aspect_mask", aspect_mask(ids, "aspect_ids"))
-        .withColumn("token_type_ids", F.array_repeat(F.lit(0), F.size(ids)))
-        .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(ids)))
+        .withColumn("token_type_ids", F.array_repeat(F.lit(0), F.array_size(ids)))
+        .withColumn("attention_mask", F.array_repeat(F.lit(1), F.array_size(ids)))
     )
 
 
