@@ -41,7 +41,7 @@ def annotation(spark, sf):
 
 
 SQL_TOKENS = f"""{C.SQL_SENTENCES},
-  raw AS (SELECT doc_id, sent_id, unnest(ws) AS text, generate_subscripts(ws, 1) AS tok_id FROM
+  raw AS (SELECT doc_id, sent_id, unnest(ws) AS text, CAST(generate_subscripts(ws, 1) AS INTEGER) AS tok_id FROM
     (SELECT doc_id, sent_id, regexp_extract_all(sentence, '(\\p{{L}}+)') AS ws FROM sents)),
   u AS (SELECT *, lower(text) AS lemma, CASE WHEN lower(text) IN ({C.sql_list(ADJECTIVES)}) THEN 'ADJ'
     WHEN length(text) >= 6 THEN 'NOUN' ELSE 'X' END AS upos FROM raw),

@@ -69,13 +69,13 @@ SQL_LEXICON = "lex(word, valence) AS (VALUES " + ", ".join(
     f"('{w}', CAST({v} AS DOUBLE))" for w, v in LEXICON.items()
 ) + ")"
 SQL_STRUCT_WORDS = (
-    "words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos,"
+    "words AS (SELECT doc_id, unnest(ws) AS word, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos,"
     " len(ws) AS n_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '(\\p{L}+)') AS ws"
     " FROM documents))"
 )
 SQL_WORDS = SQL_STRUCT_WORDS
 SQL_SENTENCES = (
-    "sents AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_id"
+    "sents AS (SELECT doc_id, unnest(ss) AS sentence, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS sent_id"
     " FROM (SELECT doc_id, regexp_extract_all(text, '([^.!?\\n]+[.!?]?)') AS ss FROM documents))"
 )
 SQL_BLANK = (

@@ -146,7 +146,7 @@ def strip_specials(spark, sf):
 
 @query(
     "split_terms",
-    """SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos
+    """SELECT doc_id, unnest(ts) AS term, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos
     FROM (SELECT doc_id, string_split(text, ', ') AS ts FROM documents)""",
 )
 def split_terms(spark, sf):

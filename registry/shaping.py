@@ -126,7 +126,7 @@ def attach_labels(spark, sf):
 
 @query(
     "explode_aspects",
-    f"""SELECT doc_id, unnest(h) AS aspect, generate_subscripts(h, 1) - 1 AS aspect_pos
+    f"""SELECT doc_id, unnest(h) AS aspect, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS aspect_pos
     FROM (SELECT doc_id, {C.SQL_HELD} AS h FROM documents)""",
 )
 def explode_aspects(spark, sf):
@@ -136,7 +136,7 @@ def explode_aspects(spark, sf):
 
 @query(
     "explode_aspects_outer",
-    f"""WITH e AS (SELECT doc_id, unnest(h) AS aspect, generate_subscripts(h, 1) - 1 AS aspect_pos
+    f"""WITH e AS (SELECT doc_id, unnest(h) AS aspect, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS aspect_pos
     FROM (SELECT doc_id, {C.SQL_HELD} AS h FROM documents))
     SELECT doc_id, aspect_pos, aspect FROM documents LEFT JOIN e USING (doc_id)""",
 )
@@ -173,7 +173,7 @@ def aspect_mask(spark, sf):
     "align_by_position",
     f"""WITH l AS (SELECT doc_id, list_transform(regexp_extract_all(text, '([^.!?\\n]+[.!?]?)'), lambda s: length(s)) AS a,
       {C.SQL_HELD} AS b FROM documents)
-    SELECT doc_id, pos, a[pos + 1] AS sentence_length, b[pos + 1] AS aspect, len(a) = len(b) AS aligned
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(a[pos + 1] AS INTEGER) AS sentence_length, b[pos + 1] AS aspect, len(a) = len(b) AS aligned
     FROM (SELECT *, unnest(range(greatest(len(a), len(b)))) AS pos FROM l)""",
 )
 def align_by_position(spark, sf):
@@ -234,7 +234,7 @@ def rows_to_bundle(spark, sf):
 @query(
     "bundle_to_rows",
     f"""WITH {C.SQL_LABELLED}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM labelled)
-    SELECT rn // {PER_BUNDLE} AS shard, rn % {PER_BUNDLE} AS pos, raw_text AS text, aspect AS target,
+    SELECT rn // {PER_BUNDLE} AS shard, CAST(rn % {PER_BUNDLE} AS INTEGER) AS pos, raw_text AS text, aspect AS target,
     polarity AS label, CAST(implicitness AS INTEGER) AS implicit, TRUE AS aligned FROM r""",
 )
 def bundle_to_rows(spark, sf):

@@ -21,7 +21,7 @@ def tokens(spark, sf):
 
 @query(
     "tokens_cased",
-    """SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos
+    """SELECT doc_id, unnest(ws) AS word, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos
     FROM (SELECT doc_id, regexp_extract_all(text, '(\\p{L}+)') AS ws FROM documents)""",
 )
 def tokens_cased(spark, sf):

@@ -130,13 +130,22 @@ def is_none_aspect(aspect: Column | str) -> Column:
 def trace_record(
     sentence, target, gold, implicit, steps: list[Column], predicted
 ) -> Column:
-    """Ten lines of one reasoning record; every field is put on one line."""
-    line = lambda c: strip(F.regexp_replace(col(c), r"[\t\n\r]", " "))
+    """Ten lines of one reasoning record; every field is put on one line.
+
+    A step without text becomes a blank: line feeds in a row end a record.
+    """
+
+    def line(c: Column | str) -> Column:
+        return strip(F.regexp_replace(col(c), r"[\t\n\r]", " "))
+
+    def step(c: Column) -> Column:
+        return F.coalesce(F.nullif(line(c), F.lit("")), F.lit(" "))
+
     head = F.concat_ws(
-        "\t", line(sentence), line(target), col(gold), col(implicit).cast("string")
+        "\t", step(sentence), step(target), col(gold), col(implicit).cast("string")
     )
     tail = F.concat(F.lit("gold: "), col(gold), F.lit("\tpredicted: "), col(predicted))
-    return F.concat_ws("\n", head, *[F.coalesce(line(s), F.lit("")) for s in steps], tail)
+    return F.concat_ws("\n", head, *[step(s) for s in steps], tail)
 
 
 def trace_fields(record: Column | str) -> Column:
