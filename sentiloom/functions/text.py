@@ -99,15 +99,11 @@ def entropy(tokens: Column) -> Column:
     return let(tokens, bits)
 
 
-def adjacent_pairs(tokens: Column) -> Column:
+def adjacent_pairs(tokens: Column | str) -> Column:
     """``array<struct<v, w>>`` of neighbours, in order."""
-    return let(
-        tokens,
-        lambda ws: F.transform(
-            F.slice(ws, 2, F.greatest(F.array_size(ws) - 1, F.lit(0))),
-            lambda w, i: F.struct(F.get(ws, i).alias("v"), w.alias("w")),
-        ),
-    )
+    ws = col(tokens)
+    n = F.greatest(F.array_size(ws) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(ws, 1, n).alias("v"), F.slice(ws, 2, n).alias("w"))
 
 
 def mark_modifiers(text: Column | str) -> Column:

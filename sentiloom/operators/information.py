@@ -9,8 +9,6 @@ row per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,27 +40,37 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def _word_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Words with what they count for: themselves, pair starts, pair ends."""
-
-    def flagged(ws: Column) -> Column:
-        last = F.array_size(ws) - 1
-        return F.transform(
-            ws,
-            lambda w, i: F.struct(
-                w.alias("word"), (i < last).alias("starts"), (i > 0).alias("ends")
-            ),
-        )
-
-    return docs.select(key, F.inline(X.let(X.words(text), flagged)))
+    ws = F.col("_ws")
+    followed = F.arrays_zip(ws.alias("v"), F.slice(ws, 2, F.array_size(ws)).alias("w"))
+    rows = docs.select(key, X.words(text).alias("_ws")).select(
+        key, F.posexplode(followed).alias("_pos", "_p")
+    )
+    return rows.select(
+        key,
+        F.col("_p.v").alias("word"),
+        F.col("_p.w").isNotNull().alias("starts"),
+        (F.col("_pos") > 0).alias("ends"),
+    )
 
 
-def _pair_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.inline(X.adjacent_pairs(X.words(text))))
+def _pair_rows(docs: DataFrame, text: str, *keys: str) -> DataFrame:
+    rows = docs.select(*keys, X.words(text).alias("_ws")).select(
+        *keys, F.explode(X.adjacent_pairs("_ws")).alias("_p")
+    )
+    return rows.select(*keys, F.col("_p.v").alias("v"), F.col("_p.w").alias("w")).where(
+        F.col("v").isNotNull() & F.col("w").isNotNull()
+    )
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, n)`` over the corpus."""
+    """``(word, n)`` over the corpus.
+
+    The filter spells out what joins on the word ask for, so that every use
+    of the counts in one plan has the same shuffle and shares it.
+    """
     return (
         docs.select(F.explode(X.words(text)).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -71,7 +79,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(v, w, n)``: how often ``w`` follows ``v`` within a row."""
     return (
-        docs.select(F.inline(X.adjacent_pairs(X.words(text))))
+        _pair_rows(docs, text)
         .groupBy("v", "w")
         .agg(F.count("*").alias("n"))
     )
@@ -98,48 +106,52 @@ def unigram_lm(
     )
 
 
+# Sums of logs that all unigram and pair metrics consist of.
+SUMS = ("tokens", "pairs", "uni", "start", "smooth", "end", "pair", "smooth_pair")
+
+
+def _part(df: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """One contribution to the sums; what it does not name is 0."""
+    return df.select(
+        key, *[columns.get(c, F.lit(0.0)).cast("double").alias(c) for c in (*SUMS, "entropy")]
+    )
+
+
 def _language_sums(
-    docs: DataFrame,
-    key: str,
-    text: str,
-    words: DataFrame,
-    pairs: DataFrame,
-    pick: Sequence[str] = ("uni", "start", "smooth", "end", "pair", "smooth_pair"),
+    docs: DataFrame, key: str, text: str, words: DataFrame, pairs: DataFrame, with_entropy: bool = False
 ) -> DataFrame:
-    """Per row the sums of logs that all unigram and pair metrics consist of.
+    """Sums per row: word lookups and pair lookups, stacked and added up in one go.
 
-    Word lookups and pair lookups are stacked and summed by row in one go.
+    ``with_entropy`` adds the row's own entropy, and rows without any word.
     """
     size = words.agg(F.count("*")).scalar()
     n = F.col("n").cast("double")
-    zero = F.lit(0.0)
-    by_word = frequency_join(_word_rows(docs, key, text), words, ["word"]).select(
+    starts = F.col("starts").cast("double")
+    by_word = _part(
+        frequency_join(_word_rows(docs, key, text), words, ["word"]),
         key,
-        F.lit(1).alias("tokens"),
-        F.col("starts").cast("int").alias("pairs"),
-        F.log2(n).alias("uni"),
-        F.when(F.col("starts"), F.log2(n)).otherwise(zero).alias("start"),
-        F.when(F.col("starts"), F.log2(n + size)).otherwise(zero).alias("smooth"),
-        F.when(F.col("ends"), F.log2(n)).otherwise(zero).alias("end"),
-        zero.alias("pair"),
-        zero.alias("smooth_pair"),
+        tokens=F.lit(1.0),
+        pairs=starts,
+        uni=F.log2(n),
+        start=starts * F.log2(n),
+        smooth=starts * F.log2(n + size),
+        end=F.col("ends").cast("double") * F.log2(n),
     )
-    by_pair = frequency_join(_pair_rows(docs, key, text), pairs, ["v", "w"]).select(
+    by_pair = _part(
+        frequency_join(_pair_rows(docs, text, key), pairs, ["v", "w"]),
         key,
-        F.lit(0).alias("tokens"),
-        F.lit(0).alias("pairs"),
-        *[zero.alias(c) for c in ("uni", "start", "smooth", "end")],
-        F.log2(n).alias("pair"),
-        F.log2(n + 1).alias("smooth_pair"),
+        pair=F.log2(n),
+        smooth_pair=F.log2(n + 1),
     )
-    return (
-        by_word.unionByName(by_pair)
-        .groupBy(key)
-        .agg(*[F.sum(c).alias(c) for c in ("tokens", "pairs", *pick)])
+    parts = by_word.unionByName(by_pair)
+    if with_entropy:
+        parts = parts.unionByName(_part(docs, key, entropy=X.entropy(X.words(text))))
+    return parts.groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.sum("entropy").alias("shannon_entropy")
     )
 
 
-def _contextual(sums: DataFrame, words: DataFrame, pairs: DataFrame) -> list[Column]:
+def _contextual(words: DataFrame, pairs: DataFrame) -> list[Column]:
     n = words.agg(F.sum("n")).scalar().cast("double")
     p = pairs.agg(F.sum("n")).scalar().cast("double")
     m = F.col("pairs")
@@ -167,7 +179,7 @@ def bigram_lm(
     words = word_counts(docs, text) if words is None else words
     pairs = pair_counts(docs, text) if pairs is None else pairs
     sums = _language_sums(docs, key, text, words, pairs)
-    return sums.select(key, *_contextual(sums, words, pairs))
+    return sums.select(key, *_contextual(words, pairs))
 
 
 def aspect_pmi(
@@ -176,48 +188,40 @@ def aspect_pmi(
     """Mean pointwise mutual information of an aspect word with the row's words.
 
     Only rows that hold an aspect are paired, and only with that aspect.  The
-    part that depends on the word alone is looked up once per word.
+    score is made once per distinct (aspect, word) and then looked up.
     """
     terms = list(dict.fromkeys(aspects))
     n_docs = docs.agg(F.count("*")).scalar().cast("double")
     df = (
         docs.select(F.explode(F.array_distinct(X.words(text))).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    held = F.array_intersect("_words", F.array(*[F.lit(t) for t in terms]))
-    lowered = F.lower(F.col(text))
-    maybe = reduce(or_, [F.contains(lowered, F.lit(t)) for t in terms])
-    with_aspect = (
-        docs.where(maybe)  # cheap test first: most rows need no word list
-        .select(key, F.array_distinct(X.words(text)).alias("_words"))
-        .select(key, "_words", held.alias("_held"))
-        .where(F.array_size("_held") > 0)
-    )
-    joint = with_aspect.select(
-        key, F.explode("_held").alias("aspect"), "_words"
-    ).select(key, "aspect", F.explode("_words").alias("word")).where("word <> aspect")
-    joint_counts = joint.groupBy("aspect", "word").agg(F.count("*").alias("n"))
-    together = frequency_join(joint, joint_counts, ["aspect", "word"]).select(
-        key, "aspect", F.lit(1).alias("m"), F.log2(F.col("n").cast("double")).alias("bits")
-    )
-    alone = frequency_join(joint, df, ["word"]).select(
-        key, "aspect", F.lit(0).alias("m"), (-F.log2(F.col("n").cast("double"))).alias("bits")
+    listed = F.array(*[F.lit(t) for t in terms])
+
+    def meetings(ws: Column) -> Column:
+        return F.transform(
+            F.array_intersect(ws, listed),
+            lambda a: F.struct(a.alias("aspect"), F.array_remove(ws, a).alias("_others")),
+        )
+
+    held = docs.select(key, F.inline(X.let(F.array_distinct(X.words(text)), meetings)))
+    joint = held.select(key, "aspect", F.explode("_others").alias("word")).where(
+        F.col("word").isNotNull()
     )
-    own = df.where(F.col("word").isin(*terms)).select(
-        F.col("word").alias("aspect"), F.log2(F.col("n").cast("double")).alias("own")
+    own = held.groupBy("aspect").agg(F.count("*").alias("_own"))
+    met = joint.groupBy("aspect", "word").agg(F.count("*").alias("n"))
+    odds = n_docs * F.col("n") / (F.col("_own").cast("double") * F.col("_df"))
+    scores = (
+        met.join(df.select("word", F.col("n").alias("_df")), "word")
+        .join(F.broadcast(own), "aspect")  # one row per term
+        .select("aspect", "word", "n", F.log2(odds).alias("pmi"))
     )
-    sums = (
-        together.unionByName(alone)
+    return (
+        frequency_join(joint, scores, ["aspect", "word"])
         .groupBy(key, "aspect")
-        .agg(F.sum("m").alias("m"), F.sum("bits").alias("bits"))
-    )
-    return sums.join(F.broadcast(own), "aspect").select(  # one row per term
-        key,
-        "aspect",
-        (F.log2(n_docs) - F.col("own") + F.col("bits") / F.col("m")).alias(
-            "mutual_information_score"
-        ),
+        .agg(F.avg("pmi").alias("mutual_information_score"))
     )
 
 
@@ -226,20 +230,18 @@ def information_metrics(
 ) -> DataFrame:
     """All seven metrics, one row per (row, aspect); aspect NULL where none occurs."""
     words, pairs = word_counts(docs, text), pair_counts(docs, text)
-    sums = _language_sums(docs, key, text, words, pairs)
+    sums = _language_sums(docs, key, text, words, pairs, with_entropy=True)
     total = words.agg(F.sum("n")).scalar().cast("double")
-    bits = F.log2(total) - F.col("uni") / F.col("tokens")
+    some = F.col("tokens") > 0
+    bits = F.when(some, F.log2(total) - F.col("uni") / F.col("tokens"))
     corpus = sums.select(
         key,
+        F.when(some, F.col("shannon_entropy")).alias("shannon_entropy"),
         bits.alias("surprisal"),
         F.pow(F.lit(2.0), bits).alias("perplexity"),
-        *_contextual(sums, words, pairs),
-    )
-    out = (
-        entropy(docs, key, text)
-        .join(corpus, key, "left")
-        .join(aspect_pmi(docs, aspects, key, text), key, "left")
+        *_contextual(words, pairs),
     )
+    out = corpus.join(aspect_pmi(docs, aspects, key, text), key, "left")
     return out.select(
         key,
         "aspect",

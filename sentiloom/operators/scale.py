@@ -10,7 +10,7 @@ from sentiloom.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-HEAD_ROWS = 50_000
+HEAD_ROWS = 200_000
 SALTS = 16
 
 
@@ -48,30 +48,37 @@ def frequency_join(
 ) -> DataFrame:
     """Give every row the count ``n`` of its key, however skewed the keys are.
 
-    ``counts`` holds the exact count of every key in ``rows``.  Keys with
-    ``n * head_rows >= total`` number at most ``head_rows``, because counts sum
-    up to the total: that part is broadcast and its rows are never shuffled.
-    Every other key has fewer than ``total / head_rows`` rows, so the shuffled
-    part has no hot key.
+    ``counts`` holds the exact count of every key in ``rows``, and maybe other
+    columns.  Keys with ``n * head_rows >= total`` number at most ``head_rows``,
+    because counts sum up to the total, and for the same reason their text is
+    at most ``head_rows`` keys of average length: that part is broadcast and
+    its rows are never shuffled.  Every other key has fewer than
+    ``total / head_rows`` rows, so the shuffled part has no hot key.  Keys seen
+    once, the bulk of a vocabulary, need not travel: what finds no count has 1.
     """
     total = counts.agg(F.sum("n")).scalar()
     is_head = F.col("n") * head_rows >= total
-    head = F.broadcast(counts.where(is_head))
-    known = rows.join(head, on, "left")
+    known = rows.join(F.broadcast(counts.where(is_head)), on, "left")
+    values = [c for c in counts.columns if c not in on]
     hot = known.where(F.col("n").isNotNull())
-    rare = known.where(F.col("n").isNull()).drop("n").join(counts.where(~is_head), on)
-    return hot.unionByName(rare)
+    rare = known.where(F.col("n").isNull()).drop(*values)
+    if values == ["n"]:
+        often = counts.where(~is_head & (F.col("n") > 1))
+        found = rare.join(often, on, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    else:
+        found = rare.join(counts.where(~is_head), on)
+    return hot.unionByName(found)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Split a scan that has fewer splits than the cluster has slots.
+    """Split a scan that would leave half the cluster idle or more.
 
     A small file with one row group would otherwise be one task.  Rows are
     placed by ``key``, so later groupings by it need no further shuffle.  A
-    scan of many files already has splits enough and is left alone.
+    large table has splits enough and is left alone.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if df.rdd.getNumPartitions() * 2 > slots:
         return df
     return df.repartition(slots, key)
 

@@ -12,6 +12,7 @@ from sentiloom.operators.shape import parse_comment_time
 # Quotes are doubled inside quotes and a comment may span lines.
 CSV_OPTIONS = {
     "header": "true",
+    "enforceSchema": "false",  # every file's header is checked, not only the first
     "multiLine": "true",
     "escape": '"',
     "mode": "PERMISSIVE",

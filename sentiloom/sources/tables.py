@@ -22,14 +22,16 @@ def read_documents(spark: SparkSession, path: str, key: str, columns: list[str]
 
 
 def read_labelled(
-    spark: SparkSession, path: str, schema: T.StructType = schemas.FINAL
+    spark: SparkSession, path: str, schema: T.StructType = schemas.FINAL, merge: bool = True
 ) -> DataFrame:
     """Declared columns by name; absent ones are NULL, a missing path is empty.
 
     Stored types may be wider (``array<bigint>``); they are cast on read.
+    ``merge`` looks at every file's footer, so that a column only later files
+    have is not lost; switch it off for a table written by one job.
     """
     try:
-        stored = spark.read.option("mergeSchema", "true").parquet(path)
+        stored = spark.read.option("mergeSchema", str(merge).lower()).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)

@@ -55,6 +55,23 @@ def test_short_export_and_unknown_header(spark, tmp_path):
         C.read_comments(spark, str(tmp_path / "odd.csv"))
 
 
+def test_every_header_is_checked(spark, tmp_path):
+    export(tmp_path / "a.csv", RECORDS)
+    export(tmp_path / "b.csv", RECORDS, bom=False)
+    assert C.read_comments(spark, str(tmp_path)).count() == 14
+    export(tmp_path / "c.csv", RECORDS, header=HEADER.replace("Username", "Nick"), bom=False)
+    with pytest.raises(Exception, match="CSV header does not conform to the schema"):
+        C.read_comments(spark, str(tmp_path)).collect()
+
+
+def test_read_labelled_merges_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    IO.append_labelled(spark.createDataFrame([("a",)], "aspect string"), path)
+    IO.append_labelled(spark.createDataFrame([("b", "x")], "aspect string, raw_text string"), path)
+    got = IO.read_labelled(spark, path, schemas.LABELLED)
+    assert sorted((r["aspect"], r["raw_text"]) for r in got.collect()) == [("a", None), ("b", "x")]
+
+
 def test_read_labelled_casts_and_fills(spark, tmp_path):
     path = str(tmp_path / "t")
     assert IO.read_labelled(spark, path).count() == 0
