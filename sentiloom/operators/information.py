@@ -226,10 +226,20 @@ def aspect_pmi(
 
 
 def information_metrics(
-    docs: DataFrame, aspects: Sequence[str], key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    aspects: Sequence[str],
+    key: str = "doc_id",
+    text: str = "text",
+    words: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """All seven metrics, one row per (row, aspect); aspect NULL where none occurs."""
-    words, pairs = word_counts(docs, text), pair_counts(docs, text)
+    """All seven metrics, one row per (row, aspect); aspect NULL where none occurs.
+
+    ``words`` and ``pairs`` may be stored results of :func:`word_counts` and
+    :func:`pair_counts`, so that a large corpus is counted once.
+    """
+    words = word_counts(docs, text) if words is None else words
+    pairs = pair_counts(docs, text) if pairs is None else pairs
     sums = _language_sums(docs, key, text, words, pairs, with_entropy=True)
     total = words.agg(F.sum("n")).scalar().cast("double")
     some = F.col("tokens") > 0

@@ -170,21 +170,24 @@ def sarcasm(
     """Does a strongly worded sentence contradict the text as a whole?
 
     Sentence sums add up to the sum of the text, so one pass over the words
-    serves both.
+    serves both.  Only sentences with a hit are shuffled; texts without any
+    come back through their keys.
     """
-    sents = docs.select(
-        key, F.posexplode_outer(X.sentences(text)).alias("sent_id", "sentence")
-    )
-    words = sents.select(key, "sent_id", F.explode_outer(X.words("sentence")).alias("word"))
+    sents = sentences(docs, key, text)
+    words = sents.select(key, "sent_id", F.explode(X.words("sentence")).alias("word"))
     per_sentence = (
-        lexicon_hits(words, lexicon, "left")
-        .groupBy(key, "sent_id")
-        .agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"))
+        lexicon_hits(words, lexicon).groupBy(key, "sent_id").agg(F.sum("valence").alias("_s"))
     )
+    everyone = docs.select(key, F.lit(0.0).alias("_s"))
     score = X.compound(F.col("_s"))
     whole = F.sum("_s")
     conflict = ((whole > 0) & (F.min(score) < -level)) | ((whole < 0) & (F.max(score) > level))
-    return per_sentence.groupBy(key).agg(
-        X.compound(F.sum("_s")).alias("overall"),
-        F.when(conflict, K.SARCASM).otherwise(K.NO_SARCASM).alias("verdict"),
+    return (
+        per_sentence.select(key, "_s")
+        .unionByName(everyone)
+        .groupBy(key)
+        .agg(
+            X.compound(F.sum("_s")).alias("overall"),
+            F.when(conflict, K.SARCASM).otherwise(K.NO_SARCASM).alias("verdict"),
+        )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -81,19 +82,21 @@ def topics(
     vectorizer = CountVectorizer(
         inputCol="words", outputCol="features", vocabSize=max(size, 1), minDF=min_df
     ).fit(content)
-    counts = vectorizer.transform(content).select(key, "features")
-    model = LDA(
-        k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0
-    ).fit(counts)
-    names = docs.sparkSession.createDataFrame(
-        list(enumerate(vectorizer.vocabulary)), "term int, word string"
-    )
+    counts = vectorizer.transform(content).select(key, "features").persist(StorageLevel.DISK_ONLY)
+    try:  # every iteration reads the counts again
+        model = LDA(
+            k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0
+        ).fit(counts)
+    finally:
+        counts.unpersist()
     top = model.describeTopics(n_words).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t")
-    ).select(
-        "topic", "rank", F.col("_t.termIndices").alias("term"), F.col("_t.termWeights").alias("weight")
     )
-    return names.join(F.broadcast(top), "term").select("topic", "rank", "word", "weight")
+    rows = [  # k * n_words rows
+        (r["topic"], r["rank"], vectorizer.vocabulary[r["_t"]["termIndices"]], r["_t"]["termWeights"])
+        for r in top.collect()
+    ]
+    return docs.sparkSession.createDataFrame(rows, "topic int, rank int, word string, weight double")
 
 
 def reduce_embeddings(

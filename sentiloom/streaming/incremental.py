@@ -22,18 +22,28 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def not_stored(df: DataFrame, path: str, key: str, batch_id: int) -> DataFrame:
+    """Rows whose key no other batch has stored; only the key column is read."""
+    keyed = df.where(F.col(key).isNotNull())
+    stored = _stored(df.sparkSession, path)
+    if stored is None:
+        return keyed
+    others = stored.where(F.col("batch_id") != batch_id)
+    return keyed.join(processed_keys(others, key), key, "left_anti")
+
+
+def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write the rows of a batch in place of whatever it wrote before."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
 def idempotent_append(df: DataFrame, path: str, key: str, batch_id: int) -> None:
     """Add rows whose key is not stored yet, as the files of this batch.
 
     A batch owns the directory ``batch_id=…`` and replaces it, so a batch that
     is run again after a failure leaves the same rows, not twice as many.
     """
-    keyed = df.where(F.col(key).isNotNull())
-    stored = _stored(df.sparkSession, path)
-    if stored is not None:
-        others = stored.where(F.col("batch_id") != batch_id)
-        keyed = keyed.join(processed_keys(others, key), key, "left_anti")
-    keyed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    replace_batch(not_stored(df, path, key, batch_id), path, batch_id)
 
 
 def stream_label(
@@ -56,15 +66,12 @@ def stream_label(
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = prepare_comments(batch)
         good = rows.where(F.col("reject_reason").isNull()).drop("reject_reason", "_corrupt_record")
-        stored = _stored(spark, sink)
-        if stored is not None:  # do not ask the model about stored comments
-            others = stored.where(F.col("batch_id") != batch_id)
-            good = good.join(processed_keys(others, key), key, "left_anti")
-        idempotent_append(label(good), sink, key, batch_id)
+        # asked before the model is: neither stored comments nor a second copy
+        fresh = not_stored(good.dropDuplicates([key]), sink, key, batch_id)
+        replace_batch(label(fresh), sink, batch_id)
         if quarantine:
-            rows.where(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(
-                f"{quarantine}/batch_id={batch_id}"
-            )
+            refused = rows.where(F.col("reject_reason").isNotNull())
+            replace_batch(refused, quarantine, batch_id)
 
     (
         spark.readStream.schema(_with_corrupt(schema))

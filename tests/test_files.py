@@ -157,6 +157,7 @@ def test_stream_resumes(spark, tmp_path):
     run()
     assert spark.read.parquet(sink).count() == 5
     export(tmp_path / "in" / "b.csv", [RECORDS[0], line(8, "new")])
+    export(tmp_path / "in" / "c.csv", [line(8, "new")])
     run()
     assert spark.read.parquet(sink).count() == 6
 
