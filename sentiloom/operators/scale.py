@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,21 +46,42 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def head_cut(
+    counts: DataFrame, on: list[str], head_rows: int = HEAD_ROWS, head_bytes: int = BROADCAST_BYTES
+) -> Column:
+    """The count from which on keys are few and short enough to broadcast.
+
+    Keys are tallied by the magnitude of their count (eight steps per power
+    of two, so a few hundred steps in all).  From the top, whole steps are
+    taken while rows and bytes stay within their bounds.
+    """
+    width = reduce(add, [F.coalesce(F.octet_length(c), F.lit(0)) for c in on])
+    steps = counts.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 8).alias("step")).agg(
+        F.min("n").alias("low"), F.count("*").alias("keys"), F.sum(width + 16).alias("bytes")
+    )
+    above = Window.orderBy(F.col("step").desc())
+    fits = (F.sum("keys").over(above) <= head_rows) & (F.sum("bytes").over(above) <= head_bytes)
+    return (
+        steps.select("low", fits.alias("fits"))
+        .agg(F.coalesce(F.min(F.when(F.col("fits"), F.col("low"))), F.lit((1 << 63) - 1)))
+        .scalar()
+    )
+
+
 def frequency_join(
     rows: DataFrame, counts: DataFrame, on: list[str], head_rows: int = HEAD_ROWS
 ) -> DataFrame:
     """Give every row the count ``n`` of its key, however skewed the keys are.
 
     ``counts`` holds the exact count of every key in ``rows``, and maybe other
-    columns.  Keys with ``n * head_rows >= total`` number at most ``head_rows``,
-    because counts sum up to the total, and for the same reason their text is
-    at most ``head_rows`` keys of average length: that part is broadcast and
-    its rows are never shuffled.  Every other key has fewer than
-    ``total / head_rows`` rows, so the shuffled part has no hot key.  Keys seen
-    once, the bulk of a vocabulary, need not travel: what finds no count has 1.
+    columns.  The most frequent keys, as many as :func:`head_cut` measures to
+    be safe, are broadcast and their rows are never shuffled.  Any other key
+    has about ``1 / head_rows`` of the rows at most, so the shuffled part has
+    no hot key.  Keys seen once, the bulk of a vocabulary, need not travel:
+    what finds no count has 1.
     """
-    total = counts.agg(F.sum("n")).scalar()
-    is_head = F.col("n") * head_rows >= total
+    cut = head_cut(counts, on, head_rows)
+    is_head = F.col("n") >= cut
     known = rows.join(F.broadcast(counts.where(is_head)), on, "left")
     values = [c for c in counts.columns if c not in on]
     hot = known.where(F.col("n").isNotNull())
