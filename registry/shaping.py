@@ -69,6 +69,15 @@ def encode(spark, sf):
     return ids.select("doc_id", C.joined("token_ids").alias("token_ids"))
 
 
+@query("encode_by_frequency", ORACLE["encode"])
+def encode_by_frequency(spark, sf):
+    """The same ids, with counts in the vocabulary."""
+    docs = C.docs(spark, sf)
+    vocab = I.vocabulary(docs).where("n >= 2").select("word", "n", (F.col("id") + 1).alias("id"))
+    ids = S.encode(L.tokens(docs), vocab, "doc_id", 0)
+    return ids.select("doc_id", C.joined("token_ids").alias("token_ids"))
+
+
 LINE_IDS = f"list_transform(regexp_extract_all(lower({C.sql_truncate('text')}), '(\\p{{L}}+)'), lambda w: length(w))"
 
 

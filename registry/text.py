@@ -301,3 +301,16 @@ def information_metrics(spark, sf):
 def review_ranking(spark, sf):
     metrics = _rounded(I.information_metrics(C.docs(spark, sf), C.ASPECTS))
     return I.review_ranking(metrics, ["doc_id", "aspect"])
+
+
+@query(
+    "review_top",
+    METRICS
+    + """ ORDER BY perplexity DESC NULLS LAST, surprisal DESC NULLS LAST, mutual_information_score DESC NULLS LAST,
+    contextual_perplexity DESC NULLS LAST, contextual_surprisal DESC NULLS LAST,
+    contextual_mutual_information_score DESC NULLS LAST, d.doc_id, aspect NULLS FIRST LIMIT 100""",
+)
+def review_top(spark, sf):
+    """Top-k report: the hundred rows to look at first."""
+    metrics = _rounded(I.information_metrics(C.docs(spark, sf), C.ASPECTS))
+    return I.review_ranking(metrics, ["doc_id", "aspect"], top=100)

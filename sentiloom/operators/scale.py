@@ -77,8 +77,9 @@ def frequency_join(
     columns.  The most frequent keys, as many as :func:`head_cut` measures to
     be safe, are broadcast and their rows are never shuffled.  Any other key
     has about ``1 / head_rows`` of the rows at most, so the shuffled part has
-    no hot key.  Keys seen once, the bulk of a vocabulary, need not travel:
-    what finds no count has 1.
+    no hot key.  Keys seen once, the bulk of a vocabulary, need not travel
+    when only the count is asked for: what finds none has 1.  No row is lost;
+    a key that ``counts`` leaves out finds NULL in its other columns.
     """
     cut = head_cut(counts, on, head_rows)
     is_head = F.col("n") >= cut
@@ -90,7 +91,7 @@ def frequency_join(
         often = counts.where(~is_head & (F.col("n") > 1))
         found = rare.join(often, on, "left").withColumn("n", F.coalesce("n", F.lit(1)))
     else:
-        found = rare.join(counts.where(~is_head), on)
+        found = rare.join(counts.where(~is_head), on, "left")
     return hot.unionByName(found)
 
 

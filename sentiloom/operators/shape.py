@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentiloom import constants as K
 from sentiloom.functions import text as X
 from sentiloom.functions.arrays import aspect_mask, attention, pad
-from sentiloom.operators.scale import dense_index, lookup_join
+from sentiloom.operators.scale import dense_index, frequency_join, lookup_join
 
 # Names of the training bundle and the columns they come from.
 BUNDLE_COLUMNS = {
@@ -276,10 +276,16 @@ def align_by_position(lists: DataFrame, keys: list[str], columns: list[str]) ->
 def encode(tokens: DataFrame, vocab: DataFrame, key: str, unk_id: int) -> DataFrame:
     """Token rows ``(key, pos, word)`` to one id array per key, in token order.
 
-    Position and id travel as one long, and the ids of a row are put together
+    ``vocab`` is ``(word, id)``.  With the words' counts ``n`` in it, frequent
+    words are looked up without a shuffle however large the vocabulary is;
+    words it leaves out should then be rare ones.  Position and id travel as one long, and the ids of a row are put together
     on the map side, so the shuffle carries one small array per row.
     """
-    found = lookup_join(tokens.select(key, "pos", "word"), vocab.select("word", "id"), ["word"], "left")
+    rows = tokens.select(key, "pos", "word")
+    if "n" in vocab.columns:
+        found = frequency_join(rows, vocab.select("word", "id", "n"), ["word"])
+    else:
+        found = lookup_join(rows, vocab.select("word", "id"), ["word"], "left")
     packed = F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(
         F.coalesce("id", F.lit(unk_id)).cast("bigint")
     )

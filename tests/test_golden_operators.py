@@ -96,6 +96,23 @@ def test_encode_unknown(spark):
     toks = spark.createDataFrame([(1, 0, "b"), (1, 1, "z"), (1, 2, "a")], "doc_id int, pos int, word string")
     vocab = spark.createDataFrame([("a", 10), ("b", 11)], "word string, id bigint")
     assert S.encode(toks, vocab, "doc_id", 1).first()["token_ids"] == [11, 1, 10]
+    counted = spark.createDataFrame([("a", 10, 5), ("b", 11, 2)], "word string, id bigint, n bigint")
+    assert S.encode(toks, counted, "doc_id", 1).first()["token_ids"] == [11, 1, 10]
+
+
+def test_encode_tail_words(spark, monkeypatch):
+    """Without any broadcast head all words go through the shuffled half."""
+    monkeypatch.setattr(scale, "head_cut", lambda *_: F.lit(1 << 40))
+    toks = spark.createDataFrame([(1, 0, "b"), (1, 1, "z"), (1, 2, "a")], "doc_id int, pos int, word string")
+    counted = spark.createDataFrame([("a", 10, 5), ("b", 11, 2)], "word string, id bigint, n bigint")
+    assert S.encode(toks, counted, "doc_id", 1).first()["token_ids"] == [11, 1, 10]
+
+
+def test_head_cut_keeps_rows_and_bytes_in_bounds(spark):
+    counts = spark.createDataFrame([("a", 1000), ("b" * 500, 100), ("c", 10), ("d", 1)], "word string, n bigint")
+    cut = lambda rows, size: counts.where(F.col("n") >= scale.head_cut(counts, ["word"], rows, size)).count()
+    assert [cut(0, 1 << 20), cut(1, 1 << 20), cut(2, 1 << 20), cut(99, 1 << 20)] == [0, 1, 2, 4]
+    assert cut(99, 100) == 1 and cut(99, 5) == 0
 
 
 PRED = [Row(gold=g, pred=p, implicit=0) for g, p in zip((0, 0, 1, 1), (0, 1, 1, 1))]
