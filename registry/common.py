@@ -7,10 +7,13 @@ once as DataFrame expressions and once as SQL.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentiloom.functions import text as X
+from sentiloom.session import ensure_checkpoint_dir
 from sentiloom.sources.tables import read_documents
 
 # Lexicon and aspects of the queries: words that occur in the documents.
@@ -45,6 +48,12 @@ def registry():
     return queries, oracle, query
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/sentiloom-{uuid4().hex}"
+
+
 def sql_list(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 

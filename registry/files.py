@@ -5,8 +5,6 @@ They write below the shared checkpoint folder and return what is read back.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from registry import annotation as AN
@@ -20,7 +18,6 @@ from sentiloom.operators import annotation as A
 from sentiloom.operators import shape as S
 from sentiloom.plans import evaluation as E
 from sentiloom.plans import reasoning as H
-from sentiloom.session import ensure_checkpoint_dir
 from sentiloom.sources import comments as CM
 from sentiloom.sources import tables as IO
 from sentiloom.streaming import incremental as INC
@@ -28,10 +25,7 @@ from sentiloom.streaming import incremental as INC
 QUERIES, ORACLE, query = C.registry()
 
 
-def scratch(spark) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/sentiloom-{uuid4().hex}"
-
+scratch = C.scratch
 
 LABELLED_TEXT = f"""WITH {C.SQL_LABELLED} SELECT raw_text, aspect, array_to_string(token_ids, ',') AS token_ids,
   array_to_string(aspect_mask, ',') AS aspect_mask, implicitness, polarity FROM labelled"""

@@ -9,6 +9,7 @@ from sentiloom import constants as K
 from sentiloom.functions import text as X
 from sentiloom.operators import shape as S
 from sentiloom.plans import labelling as J
+from sentiloom.sources import tables as IO
 
 QUERIES, ORACLE, query = C.registry()
 
@@ -16,7 +17,8 @@ QUERIES, ORACLE, query = C.registry()
 # Answers by rule.  A batch that holds 'idiot' gets one entry too few.
 def job_inputs(spark, sf):
     base = C.docs(spark, sf, "doc_id", "text", "lang", "source")
-    batched = J.open_batches(base, C.table(spark, sf, "labels"), "doc_id", "text")
+    opened = J.open_batches(base, C.table(spark, sf, "labels"), "doc_id", "text")
+    batched = IO.materialise(opened, f"{C.scratch(spark)}/batches")  # answers refer to these numbers
     held = X.contained("text", C.ASPECTS)
     value = F.when(F.array_size(held) == 0, '"NONE"').when(
         F.array_size(held) == 1, F.concat(F.lit('"'), F.get(held, F.lit(0)), F.lit('"'))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,14 +108,34 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(slots, key)
 
 
-def dense_index(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
+def _is_key(df: DataFrame, columns: list[str]) -> bool:
+    """Are these columns free of NULL and different in every row?"""
+    missing = reduce(or_, [F.col(c).isNull() for c in columns])
+    return (
+        df.groupBy(*columns).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | missing).isEmpty()
+    )
+
+
+def dense_index(df: DataFrame, order: list[str], name: str = "idx", wide: bool = False) -> DataFrame:
     """Number rows 0, 1, 2, … in a total order without a one-task window.
 
     Rows are range partitioned and sorted, then stored once through a reliable
     checkpoint, so that both passes below see the same partitions.  The first
     pass counts each partition, the second adds the running sum of these
     counts (one row per partition) to the position within the partition.
+
+    ``wide`` is for rows with texts or arrays: only the order columns are
+    sorted and stored, and the rows get their number by a join.  It is used
+    when the order columns turn out to be a key, and needs ``df`` to give the
+    same rows each time it is read.
     """
+    if wide and set(order) != set(df.columns) and _is_key(df, order):
+        numbers = _numbered(df.select(*order), order, name)
+        return df.join(numbers, order).select(*df.columns, name)
+    return _numbered(df, order, name)
+
+
+def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

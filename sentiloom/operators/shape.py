@@ -100,7 +100,7 @@ def progress(base: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Dense batch number and position in the batch, every batch full but the last."""
     return (
-        dense_index(df, order, "_idx")
+        dense_index(df, order, "_idx", wide=True)
         .withColumn("batch_id", F.floor(F.col("_idx") / size))
         .withColumn("pos", F.pmod(F.col("_idx"), F.lit(size)))
         .drop("_idx")
@@ -146,7 +146,7 @@ def collect_texts(
     df: DataFrame, text: str, order: str, per_array: int = 1000
 ) -> DataFrame:
     """A text column as ordered arrays of at most ``per_array`` values."""
-    numbered = dense_index(df.select(order, text), [order], "_idx")
+    numbered = dense_index(df.select(order, text), [order], "_idx", wide=True)
     return (
         numbered.groupBy(F.floor(F.col("_idx") / per_array).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("_idx", text))).alias("_rows"))
@@ -165,7 +165,9 @@ def rows_to_bundle(
 
     Each value sits in a struct, so that a NULL keeps its place in its list.
     """
-    numbered = dense_index(df.select(*dict.fromkeys([*order, *columns])), order, "_idx")
+    numbered = dense_index(
+        df.select(*dict.fromkeys([*order, *columns])), order, "_idx", wide=True
+    )
     rows = F.array_sort(
         F.collect_list(F.struct("_idx", *[F.struct(c).alias(c) for c in columns]))
     )

@@ -89,7 +89,7 @@ def write_review_csv(
     Up to ``single_file_rows`` rows go into one file.  More rows go into many
     files, the ids running through them in order.
     """
-    numbered = arrays_as_text(dense_index(df, order, "sequential_id"))
+    numbered = arrays_as_text(dense_index(df, order, "sequential_id", wide=True))
     few = numbered.limit(single_file_rows + 1).count() <= single_file_rows
     out = numbered.coalesce(1).sortWithinPartitions("sequential_id") if few else numbered.orderBy("sequential_id")
     out.write.mode("overwrite").option("escape", '"').csv(path, header=True)

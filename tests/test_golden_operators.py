@@ -45,6 +45,16 @@ def test_dense_index_any_partitioning(spark, parts):
     assert all(r["k"] == r["idx"] for r in got) and len(got) == 1000
 
 
+@pytest.mark.parametrize("keys", [["a", "b", "c"], ["a", "a", "b"], ["a", None, "b"]])
+def test_wide_index_with_and_without_a_key(spark, keys):
+    """Repeated or missing order values neither lose nor repeat rows."""
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "k string, text string")
+    got = scale.dense_index(df, ["k"], wide=True).orderBy("idx").collect()
+    assert [r["idx"] for r in got] == [0, 1, 2] and sorted(r["text"] for r in got) == ["t0", "t1", "t2"]
+    order = [r["k"] or "" for r in got]
+    assert order == sorted(order)
+
+
 def test_batches_last_one_is_short(spark):
     got = S.batches(spark.range(25).withColumnRenamed("id", "k"), 10, ["k"]).groupBy("batch_id").count()
     assert rows(got) == [(0, 10), (1, 10), (2, 5)]
