@@ -399,6 +399,18 @@ def reason_chat(spark, sf):
     return H.reason(*reasoning_inputs(spark, sf), style="chat").select(*HOP_COLUMNS)
 
 
+@query(
+    "conversation",
+    f"""WITH {_sql_hops('chat')}, m AS (SELECT row_id, ['Now you are an expert of sentiment and opinion analysis.', prompt_1,
+      answer_1, prompt_2, answer_2, prompt_3, answer_3, prompt_4, answer_4] AS texts FROM hops),
+    t AS (SELECT row_id, unnest(texts) AS text, CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS turn FROM m)
+    SELECT row_id, turn, CASE WHEN turn = 0 THEN 'system' WHEN turn % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, text
+    FROM t WHERE text IS NOT NULL""",
+)
+def conversation(spark, sf):
+    return H.conversation(H.reason(*reasoning_inputs(spark, sf), style="chat"))
+
+
 NAMES = "['positive', 'negative', 'neutral']"
 
 

@@ -107,6 +107,19 @@ def trace_records(reasoned: DataFrame) -> DataFrame:
     )
 
 
+def conversation(reasoned: DataFrame, key: str = "row_id") -> DataFrame:
+    """The chat behind each reasoned row: system line, then prompt and answer by turns."""
+    said = [("system", F.lit(K.CHAT_SYSTEM))]
+    for hop in range(1, len(HOPS) + 1):
+        said += [("user", F.col(f"prompt_{hop}")), ("assistant", F.col(f"answer_{hop}"))]
+    messages = F.array(*[F.struct(F.lit(r).alias("role"), t.alias("text")) for r, t in said])
+    return (
+        reasoned.select(key, F.posexplode(messages).alias("turn", "_m"))
+        .select(key, "turn", "_m.role", "_m.text")
+        .where(F.col("text").isNotNull())
+    )
+
+
 def dialog_history(
     turns: DataFrame, per_chunk: int = 64, conv: str = "conv_id", turn: str = "turn"
 ) -> DataFrame:
