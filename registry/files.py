@@ -115,7 +115,7 @@ def _export(docs, path: str) -> None:
     """Documents as a comment export: guarded ids, quotes doubled, line feeds kept."""
     guarded = F.concat(F.lit('="'), F.col("doc_id").cast("string"), F.lit('"'))
     docs.select(guarded.alias("Comment ID"), F.col("text").alias("Comment")).write.mode("append").options(
-        header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        **IO.CSV_WRITE, quoteAll=True
     ).csv(path)
 
 

@@ -13,6 +13,13 @@ from sentiloom.operators.scale import dense_index, spread
 from sentiloom.operators.shape import BUNDLE_COLUMNS, rows_to_bundle
 
 RECORD_END = "\n\n\n"
+# Quotes doubled, blanks at the ends of a text kept.
+CSV_WRITE = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_documents(spark: SparkSession, path: str, key: str, columns: list[str] | None = None) -> DataFrame:
@@ -92,14 +99,14 @@ def write_review_csv(
     numbered = arrays_as_text(dense_index(df, order, "sequential_id", wide=True))
     few = numbered.limit(single_file_rows + 1).count() <= single_file_rows
     out = numbered.coalesce(1).sortWithinPartitions("sequential_id") if few else numbered.orderBy("sequential_id")
-    out.write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    out.write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
 def write_annotation(df: DataFrame, csv_path: str, parquet_path: str) -> None:
     """The same rows as Parquet and as CSV; the CSV is made from the Parquet."""
     df.write.mode("overwrite").parquet(parquet_path)
     stored = df.sparkSession.read.parquet(parquet_path)
-    arrays_as_text(stored).write.mode("overwrite").option("escape", '"').csv(csv_path, header=True)
+    arrays_as_text(stored).write.mode("overwrite").options(**CSV_WRITE).csv(csv_path)
 
 
 def cache_name(data: str, size: str, model: str) -> str:

@@ -97,12 +97,12 @@ def test_bundle_files(spark, tmp_path):
 
 @pytest.mark.parametrize("limit, files", [(100, 1), (5, None)])
 def test_review_csv(spark, tmp_path, limit, files):
-    df = spark.range(50).select(F.col("id").alias("k"), F.array(F.col("id")).alias("a"), F.lit('x "y",\nz').alias("t"))
+    df = spark.range(50).select(F.col("id").alias("k"), F.array(F.col("id")).alias("a"), F.lit(' x "y",\nz ').alias("t"))
     path = str(tmp_path / "csv")
     for _ in range(2):
         IO.write_review_csv(df.repartition(4), path, ["k"], limit)
     got = spark.read.schema("k bigint, a string, t string, sequential_id bigint").options(**C.CSV_OPTIONS).csv(path)
-    assert all(r["k"] == r["sequential_id"] and r["a"] == f"[{r['k']}]" and r["t"] == 'x "y",\nz' for r in got.collect())
+    assert all(r["k"] == r["sequential_id"] and r["a"] == f"[{r['k']}]" and r["t"] == ' x "y",\nz ' for r in got.collect())
     assert got.count() == 50
     parts = [p for p in (tmp_path / "csv").iterdir() if p.name.startswith("part-")]
     assert files is None or len(parts) == files
