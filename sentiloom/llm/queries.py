@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentiloom.llm import decontaminate, simhash
+from sentiloom.llm import decontaminate, embeddings, language, mixing, quality, shards, simhash
 
 QUERIES, ORACLE = {}, {}
 
@@ -24,6 +24,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def outside(key: str, folds: int, held: int) -> F.Column:
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) != held
+
+
+@query("op1_language_mixture")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(outside("doc_id", 3, 1)))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "row.doc_id",
+        (~outside("row.doc_id", 3, 1)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "languages",
+    )
+
+
+@query("op3_embedding_quantisation")
+def op3(spark, sf):
+    return embeddings.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op5_simhash_wildcards")
 def op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -65,3 +87,66 @@ def op7(spark, sf):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op8_vector_packing")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return shards.shards(docs, 40).select(
+        "row.doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM sums),
+level AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(source_size) OVER before, 0) AS size_before, coalesce(sum(weight) OVER before, 0) AS weight_before
+  FROM weighed WINDOW before AS (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+eaches AS (SELECT *, (total - 2 * size_before)::DOUBLE / (weights - weight_before)::DOUBLE AS each FROM level),
+open AS (SELECT first(each ORDER BY source_size / weight, source IS NULL, source) AS l FROM eaches WHERE each * weight < 2 * source_size),
+targets AS (SELECT source, source_size,
+    CASE WHEN each * weight >= 2 * source_size THEN source_size * 2.0::DOUBLE ELSE (SELECT l FROM open) * weight END AS target FROM eaches),
+plan AS (SELECT *, target - whole * source_size AS rest FROM (SELECT *,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets)),
+sizes AS (SELECT source, size, count(*)::HUGEINT AS n FROM docs WHERE size > 0 GROUP BY source, size),
+scales AS (SELECT source, size, coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS above,
+    sum(n * size * size) OVER (PARTITION BY source ORDER BY size)::DOUBLE AS squares FROM sizes),
+edges AS (SELECT p.source, max(size) AS largest, arg_max((rest - above) / squares, size) AS scale, arg_max(rest - above, size) AS wanted
+  FROM scales s JOIN plan p ON p.source IS NOT DISTINCT FROM s.source WHERE rest > above AND (rest - above) / squares * size < 1 GROUP BY p.source),
+odds AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, e.largest, e.wanted, e.scale * d.size AS p,
+    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM docs d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source LEFT JOIN edges e ON e.source IS NOT DISTINCT FROM d.source),
+ranked AS (SELECT *, CASE WHEN size > 0 AND size <= largest THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM odds),
+placed AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size) - size / 2.0::DOUBLE AS middle FROM ranked)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN size > largest THEN 1
+  WHEN rank IS NOT NULL AND middle <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed
+"""
+
+
+@query("op9_pareto_mix", OP9_SQL)
+def op9(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select(
+        "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+@query("op10_byte_convolution")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    net = quality.fit(docs, labels.where(outside("doc_id", 5, 0)))
+    return quality.scored(docs, net).select(
+        "row.doc_id",
+        (~outside("row.doc_id", 5, 0)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
