@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentiloom.llm import decontaminate, embeddings, language, mixing, quality, shards, simhash
+from sentiloom.llm import decontaminate, embeddings, language, mixing, quality, shards, simhash, urls
 
 QUERIES, ORACLE = {}, {}
 
@@ -150,3 +150,55 @@ def op10(spark, sf):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+SQL_RULES = "rules(verdict, rule) AS (VALUES " + ", ".join(f"('{v}', '{r}')" for v, r in URL_RULES) + ")"
+OP6_SQL = f"""
+WITH {SQL_RULES},
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (SELECT page_id, {SQL_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled FROM urls, rules
+  WHERE ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id),
+segs AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS s FROM urls LEFT JOIN fits USING (page_id)),
+rows_ AS (SELECT *, array_to_string(list_transform(s[1:8], lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches(x, '[0-9]')
+    AND regexp_matches(x, '[a-fA-F-]') THEN '<hex>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END)
+    || CASE WHEN len(s) > 8 THEN ['**'] ELSE [] END, '/') AS form FROM segs),
+forms AS (SELECT host, form, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled FROM rows_ GROUP BY host, form),
+parts AS (SELECT *, string_split(form, '/') AS p FROM forms),
+levels AS (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts),
+steps AS (SELECT host, form, n, i AS level, array_to_string(p[1:i - 1], '/') AS parent, p[i] AS segment, coalesce(p[i + 1], '') AS next FROM levels),
+follow AS (SELECT host, level, parent, segment, next, sum(n) AS n FROM steps GROUP BY ALL),
+branch AS (SELECT host, level, parent, segment, sum(n) AS total FROM follow GROUP BY ALL),
+par AS (SELECT host, level, parent, count(*) AS children, sum(total) AS every FROM branch GROUP BY ALL),
+pooled AS (SELECT host, level, parent, next, sum(n) AS pool FROM follow GROUP BY ALL),
+kinds AS (SELECT host, level, parent, count(*) AS kinds FROM pooled GROUP BY ALL),
+g AS (SELECT host, level, parent, segment, 2 * sum(n * ln(n::DOUBLE * every / (total * pool))) AS g
+  FROM follow JOIN branch USING (host, level, parent, segment) JOIN pooled USING (host, level, parent, next) JOIN par USING (host, level, parent) GROUP BY ALL),
+names AS (SELECT host, level, parent, segment, CASE WHEN (children >= 8 AND every < 4 * children)
+    OR (children > 1 AND g <= kinds - 1 + 3 * sqrt(2 * (kinds - 1)) + 1e-9) THEN '*' ELSE segment END AS name
+  FROM g JOIN par USING (host, level, parent) JOIN kinds USING (host, level, parent)),
+spelled AS (SELECT host, form, string_agg(name, '/' ORDER BY level) AS template FROM steps JOIN names USING (host, level, parent, segment) GROUP BY host, form),
+placed AS (SELECT * FROM spelled JOIN forms USING (host, form)),
+overall AS (SELECT (sum(blocked) + 2.5::DOUBLE) / (sum(labelled) + 5.0::DOUBLE) AS o FROM placed),
+hosts AS (SELECT host, (sum(blocked) + 5.0::DOUBLE * any_value(o)) / (sum(labelled) + 5.0::DOUBLE) AS h FROM placed, overall GROUP BY host),
+known AS (SELECT host, template, (sum(blocked) + 5.0::DOUBLE * any_value(h)) / (sum(labelled) + 5.0::DOUBLE) AS purity FROM placed JOIN hosts USING (host) GROUP BY host, template)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.7 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
+FROM rows_ JOIN placed USING (host, form) JOIN known USING (host, template)
+"""
+
+
+@query("op6_path_templates", OP6_SQL)
+def op6(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return urls.judged(pages, URL_RULES).select(
+        "row.page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity")
+    )
