@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentiloom.llm import decontaminate, embeddings, language, mixing, quality, shards, simhash, urls
+from sentiloom.llm import decontaminate, embeddings, language, mixing, pii, quality, shards, simhash, urls
 
 QUERIES, ORACLE = {}, {}
 
@@ -41,6 +41,22 @@ def op1(spark, sf):
     )
 
 
+@query("op2_contextual_pii")
+def op2(spark, sf):
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    number = [
+        F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *number,
+        F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"),
+        pii.digest(F.array_sort(F.concat("base", "found"))).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+    )
+
+
 @query("op3_embedding_quantisation")
 def op3(spark, sf):
     return embeddings.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
