@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentiloom.llm import decontaminate, embeddings, language, mixing, pii, quality, shards, simhash, urls
+from sentiloom.llm import decontaminate, embeddings, language, licenses, mixing, pii, quality, shards, simhash, urls
 
 QUERIES, ORACLE = {}, {}
 
@@ -62,6 +62,31 @@ def op3(spark, sf):
     return embeddings.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
+SQL_TEXTS = "templates(template, text) AS (VALUES " + ", ".join(
+    "('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items())
+) + ")"
+OP4_SQL = f"""
+WITH {SQL_TEXTS},
+runs AS (SELECT template, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM templates),
+shingles AS (SELECT DISTINCT template, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM runs),
+known AS (SELECT template, s, count(*) OVER (PARTITION BY template) AS m FROM shingles),
+docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(list_transform(range(0, len(w) - 4), lambda i: {{'pos': i, 's': array_to_string(w[i + 1:i + 5], ' ')}})) AS p
+  FROM docs WHERE len(w) >= 5),
+met AS (SELECT doc_id, p.pos AS pos, template, k.s, m FROM places JOIN known k ON k.s = p.s),
+windows AS (SELECT doc_id, template, m, s, pos, unnest([pos // m, pos // m - 1]) AS block FROM met),
+held AS (SELECT doc_id, template, block, count(DISTINCT s) / any_value(m)::DOUBLE AS containment, min(pos) AS start_word, max(pos) + 5 AS end_word,
+    count(DISTINCT s) AS n, any_value(m) AS m FROM windows WHERE block >= 0 GROUP BY doc_id, template, block)
+SELECT doc_id, template, containment, start_word, end_word FROM held WHERE n >= 0.8 * m
+QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY containment DESC, block) = 1
+"""
+
+
+@query("op4_license_windows", OP4_SQL)
+def op4(spark, sf):
+    return licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op5_simhash_wildcards")
 def op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
