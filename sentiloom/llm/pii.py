@@ -112,23 +112,23 @@ def base(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def spans(kept: DataFrame) -> DataFrame:
-    """``(place, kind, start, end, ok)`` of each match; ``ok`` says that it passed its check."""
+    """``(place, kind, start, end, value, ok)`` of each match; ``ok`` says that it passed its check."""
     rows = None
     for k, kind in enumerate(KINDS):
         own = kept.select("place", F.posexplode(f"m{k}").alias("pos", "match")).select(
             "place", F.lit(k).alias("kind"), "pos", "match.gap", "match.value", passes(kind, F.col("match.value")).alias("ok")
         )
         rows = own if rows is None else rows.union(own)
-    return _placed(rows, "kind").select("place", "kind", "start", "end", "ok")
+    return _placed(rows, "kind").select("place", "kind", "start", "end", "value", "ok")
 
 
 def candidates(kept: DataFrame, known: DataFrame) -> DataFrame:
     """``(place, start, end, value, patterns, seed, refused)`` of each token.
 
     Punctuation at a token's ends is left out.  ``seed`` is the kind of a base
-    span that starts in the token; ``refused`` says that it touches a base span
-    or a match that failed its check.  Tokens and matches are gone through once
-    in the order of their places.
+    span that starts in the token, whose ``value`` it then has; ``refused`` says
+    that it touches a base span or a match that failed its check.  Tokens and
+    matches are gone through once in the order of their places.
     """
     order = Window.partitionBy("place").orderBy("pos")
     rows = kept.select("place", F.posexplode("tokens").alias("pos", "token")).select("place", "pos", "token.*")
@@ -154,22 +154,23 @@ def candidates(kept: DataFrame, known: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     events = tokens.select(
         "place", (F.col("end") - 1).alias("at"), F.lit(1).alias("token"), "start", "end", "value", "patterns",
-        none("int").alias("reach"), none("struct<start:int,kind:int>").alias("seen"),
+        none("int").alias("reach"), none("struct<start:int,kind:int,value:string>").alias("seen"),
     ).union(
         known.select(
             "place", F.col("start").alias("at"), F.lit(0), "start", "end", none("string"), none("array<string>"),
-            "end", F.when(F.col("ok"), F.struct("start", (-F.col("kind")).alias("kind"))),
+            "end", F.when(F.col("ok"), F.struct("start", (-F.col("kind")).alias("kind"), "value")),
         )
     )
     so_far = Window.partitionBy("place").orderBy("at", "token").rowsBetween(Window.unboundedPreceding, 0)
     seen = events.withColumns({"reach": F.max("reach").over(so_far), "seen": F.max("seen").over(so_far)}).where("token = 1")
+    starts = F.col("seen.start") >= F.col("start")
     return seen.select(
         "place",
         "start",
         "end",
-        "value",
+        F.when(starts, F.col("seen.value")).otherwise(F.col("value")).alias("value"),
         "patterns",
-        F.when(F.col("seen.start") >= F.col("start"), -F.col("seen.kind")).alias("seed"),
+        F.when(starts, -F.col("seen.kind")).alias("seed"),
         F.coalesce(F.col("reach") > F.col("start"), F.lit(False)).alias("refused"),
     )
 

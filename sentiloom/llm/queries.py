@@ -216,16 +216,17 @@ rows_ AS (SELECT *, array_to_string(list_transform(s[1:8], lambda x: CASE WHEN r
 forms AS (SELECT host, form, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled FROM rows_ GROUP BY host, form),
 parts AS (SELECT *, string_split(form, '/') AS p FROM forms),
 levels AS (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts),
-steps AS (SELECT host, form, n, i AS level, array_to_string(p[1:i - 1], '/') AS parent, p[i] AS segment, coalesce(p[i + 1], '') AS next FROM levels),
+steps AS (SELECT host, form, n, blocked, labelled, i AS level, array_to_string(p[1:i - 1], '/') AS parent, p[i] AS segment, coalesce(p[i + 1], '') AS next FROM levels),
 follow AS (SELECT host, level, parent, segment, next, sum(n) AS n FROM steps GROUP BY ALL),
-branch AS (SELECT host, level, parent, segment, sum(n) AS total FROM follow GROUP BY ALL),
-par AS (SELECT host, level, parent, count(*) AS children, sum(total) AS every FROM branch GROUP BY ALL),
+branch AS (SELECT host, level, parent, segment, sum(n) AS total, sum(blocked) AS b, sum(labelled) AS l FROM steps GROUP BY ALL),
+par AS (SELECT host, level, parent, count(*) AS children, sum(total) AS every, sum(b) AS bs, sum(l) AS ls FROM branch GROUP BY ALL),
 pooled AS (SELECT host, level, parent, next, sum(n) AS pool FROM follow GROUP BY ALL),
 kinds AS (SELECT host, level, parent, count(*) AS kinds FROM pooled GROUP BY ALL),
-g AS (SELECT host, level, parent, segment, 2 * sum(n * ln(n::DOUBLE * every / (total * pool))) AS g
+g AS (SELECT host, level, parent, segment, any_value(b) AS b, any_value(l) AS l, 2 * sum(n * ln(n::DOUBLE * every / (total * pool))) AS g
   FROM follow JOIN branch USING (host, level, parent, segment) JOIN pooled USING (host, level, parent, next) JOIN par USING (host, level, parent) GROUP BY ALL),
 names AS (SELECT host, level, parent, segment, CASE WHEN (children >= 8 AND every < 4 * children)
-    OR (children > 1 AND g <= kinds - 1 + 3 * sqrt(2 * (kinds - 1)) + 1e-9) THEN '*' ELSE segment END AS name
+    OR (children > 1 AND g <= kinds - 1 + 3 * sqrt(2 * (kinds - 1)) + 1e-9 AND 2 * (CASE WHEN b > 0 THEN b * ln(b::DOUBLE * ls / (l * bs)) ELSE 0 END
+      + CASE WHEN l > b THEN (l - b) * ln((l - b)::DOUBLE * ls / (l * (ls - bs))) ELSE 0 END) <= 1 + 3 * sqrt(2)) THEN '*' ELSE segment END AS name
   FROM g JOIN par USING (host, level, parent) JOIN kinds USING (host, level, parent)),
 spelled AS (SELECT host, form, string_agg(name, '/' ORDER BY level) AS template FROM steps JOIN names USING (host, level, parent, segment) GROUP BY host, form),
 placed AS (SELECT * FROM spelled JOIN forms USING (host, form)),

@@ -18,6 +18,8 @@ from sentiloom.llm.common import packed, store
 DEPTH = 8
 #: A parent's children vary if there are so many and each occurs fewer times on average.
 VARIED, REPEATS = 8, 4
+#: The G test of two verdicts: one degree of freedom and three deviations.
+LABEL_G = 1 + 3 * 2**0.5
 #: Labelled urls that a template's prior counts for, and the purity that rejects it.
 PRIOR, REJECT = 5.0, 0.7
 
@@ -78,17 +80,15 @@ def form(path: Column, depth: int = DEPTH) -> Column:
 
 
 def templates(forms: DataFrame, depth: int = DEPTH, varied: int = VARIED, repeats: int = REPEATS) -> DataFrame:
-    """``(host, form, template)`` from ``(host, form, n)``.
+    """``(host, form, template)`` from ``(host, form, n, blocked, labelled)``.
 
-    A segment turns into ``*`` if its parent's children vary, or if what
-    follows it does not differ from what follows its siblings (G test, three
-    standard deviations above its mean).
+    A segment turns into ``*`` if its parent's children vary, or if neither
+    what follows it nor the verdicts of its labelled urls differ from those of
+    its siblings (G tests, three standard deviations above their means).
     """
     segments = F.split("form", "/")
     steps = forms.select(
-        "host",
-        "form",
-        "n",
+        *forms.columns,
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(1), F.size(segments)),
@@ -99,24 +99,30 @@ def templates(forms: DataFrame, depth: int = DEPTH, varied: int = VARIED, repeat
                 ),
             )
         ).alias("level", "step"),
-    ).select("host", "form", "n", "level", "step.*")
+    ).select(*forms.columns, "level", "step.*")
     node = ["host", "level", "parent"]
     follow = steps.groupBy(*node, "segment", "next").agg(F.sum("n").alias("n"))
-    branch = follow.groupBy(*node, "segment").agg(F.sum("n").alias("total"))
-    parent = branch.groupBy(*node).agg(F.count("*").alias("children"), F.sum("total").alias("all"))
+    branch = steps.groupBy(*node, "segment").agg(
+        F.sum("n").alias("total"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l")
+    )
+    parent = branch.groupBy(*node).agg(
+        F.count("*").alias("children"), F.sum("total").alias("all"), F.sum("b").alias("all_b"), F.sum("l").alias("all_l")
+    )
     pooled = follow.groupBy(*node, "next").agg(F.sum("n").alias("pool"))
     kinds = pooled.groupBy(*node).agg(F.count("*").alias("kinds"))
     differs = (
         follow.join(branch, [*node, "segment"])
         .join(pooled, [*node, "next"])
         .join(parent, node)
-        .groupBy(*node, "segment")
+        .groupBy(*node, "segment", "b", "l")
         .agg((2 * F.sum(F.col("n") * F.log(F.col("n") * F.col("all") / (F.col("total") * F.col("pool"))))).alias("g"))
     )
     free = F.col("kinds") - 1
+    part = lambda x, every: F.when(x > 0, x * F.log(x * F.col("all_l") / (F.col("l") * every))).otherwise(0.0)
+    by_label = 2 * (part(F.col("b"), F.col("all_b")) + part(F.col("l") - F.col("b"), F.col("all_l") - F.col("all_b")))
     merged = F.when(
         ((F.col("children") >= varied) & (F.col("all") < repeats * F.col("children")))
-        | ((F.col("children") > 1) & (F.col("g") <= free + 3 * F.sqrt(2 * free) + 1e-9)),
+        | ((F.col("children") > 1) & (F.col("g") <= free + 3 * F.sqrt(2 * free) + 1e-9) & (by_label <= LABEL_G)),
         F.lit("*"),
     ).otherwise(F.col("segment"))
     names = (
