@@ -81,6 +81,22 @@ def opinion_of(spark, sf):
     return A.opinion_of(annotation(spark, sf), C.CONTEXT_ASPECT.upper())
 
 
+@query(
+    "opinion_of_rows",
+    f"""WITH {SQL_TOKENS}, r AS (SELECT DISTINCT doc_id, text AS aspect FROM toks WHERE upos = 'NOUN' AND sent_id = 0),
+    hit AS (SELECT r.doc_id, r.aspect, o.text AS opinion, row_number() OVER (PARTITION BY r.doc_id, r.aspect
+      ORDER BY n.sent_id, n.tok_id, o.tok_id) AS k FROM r JOIN toks n ON n.doc_id = r.doc_id AND n.lemma = lower(r.aspect)
+      JOIN toks o ON n.doc_id = o.doc_id AND n.sent_id = o.sent_id AND o.head = n.tok_id WHERE o.upos = 'ADJ')
+    SELECT r.doc_id, r.aspect, coalesce(opinion, 'False') AS opinion FROM r
+    LEFT JOIN (SELECT * FROM hit WHERE k = 1) h USING (doc_id, aspect)""",
+)
+def opinion_of_rows(spark, sf):
+    """Aspects are the nouns of a document's first sentence."""
+    tokens = annotation(spark, sf)
+    rows = tokens.where("upos = 'NOUN' AND sent_id = 0").select("doc_id", F.col("text").alias("aspect")).distinct()
+    return A.opinion_of_rows(tokens, rows)
+
+
 LISTED = ", ".join(
     f"string_agg(coalesce({c}::VARCHAR, '_'), ' ' ORDER BY sent_id, tok_id) AS {c}_list" for c in A.LISTS
 )

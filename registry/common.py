@@ -181,38 +181,34 @@ def sql_macro(among: str = "TRUE") -> str:
     return "round(100 * (" + " + ".join(f"({f1(c)})" for c in (0, 1, 2)) + ") / 3, 3)"
 
 
-# Labelled rows by rule: first aspect of the list that the text holds, word
-# lengths of the truncated line as token ids.
+# Labelled rows by rule: each aspect of the list that the text holds, or one row
+# without any; word lengths of the whole text as token ids.
 def ids_of(text) -> F.Column:
     return F.transform(X.words(text), lambda w: F.length(w))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    aspect = F.coalesce(F.get(X.contained("text", ASPECTS), F.lit(0)), F.lit("NONE"))
+    held = X.contained("text", ASPECTS)
+    aspects = F.when(F.size(held) > 0, held).otherwise(F.array(F.lit("NONE")))
     return (
         docs(spark, sf, "doc_id", "text")
         .join(table(spark, sf, "labels"), "doc_id")
         .select(
             "doc_id",
             F.col("text").alias("raw_text"),
-            aspect.alias("aspect"),
-            ids_of(X.truncate_words("text")).alias("token_ids"),
-            F.transform(ids_of(X.truncate_words("text")), lambda n: (n > 6).cast("int")).alias("aspect_mask"),
+            F.explode(aspects).alias("aspect"),
+            ids_of("text").alias("token_ids"),
+            F.transform(ids_of("text"), lambda n: (n > 6).cast("int")).alias("aspect_mask"),
             (F.col("toxic") == 1).alias("implicitness"),
             F.when(F.col("quality") == 1, 0).otherwise(1).alias("polarity"),
         )
     )
 
 
-SQL_FIRST_ASPECT = (
-    "CASE "
-    + " ".join(f"WHEN contains(text, '{a}') THEN '{a}'" for a in ASPECTS)
-    + " ELSE 'NONE' END"
-)
 SQL_HELD = "list_filter([" + sql_list(ASPECTS) + "], lambda a: contains(text, a))"
-SQL_LABELLED = f"""labelled AS (SELECT doc_id, text AS raw_text, {SQL_FIRST_ASPECT} AS aspect,
-  list_transform(regexp_extract_all(lower({sql_truncate('text')}), '(\\p{{L}}+)'), lambda w: length(w)) AS token_ids,
-  list_transform(regexp_extract_all(lower({sql_truncate('text')}), '(\\p{{L}}+)'),
+SQL_LABELLED = f"""labelled AS (SELECT doc_id, text AS raw_text, unnest(CASE WHEN len({SQL_HELD}) = 0 THEN ['NONE'] ELSE {SQL_HELD} END) AS aspect,
+  list_transform(regexp_extract_all(lower(text), '(\\p{{L}}+)'), lambda w: length(w)) AS token_ids,
+  list_transform(regexp_extract_all(lower(text), '(\\p{{L}}+)'),
     lambda w: CASE WHEN length(w) > 6 THEN 1 ELSE 0 END) AS aspect_mask,
   toxic = 1 AS implicitness, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS polarity
   FROM documents JOIN labels USING (doc_id))"""

@@ -17,7 +17,7 @@ def similar_words(spark, sf):
 
 @query("topics")
 def topics(spark, sf):
-    return M.topics(C.docs(spark, sf), iterations=3)
+    return M.topics(C.docs(spark, sf))
 
 
 @query("reduce_embeddings")

@@ -60,7 +60,7 @@ def materialise(spark, sf):
 @query("write_bundle", SH.ORACLE["bundle_to_rows"])
 def write_bundle(spark, sf):
     path = scratch(spark)
-    IO.write_bundle(C.labelled(spark, sf), path, ["doc_id"], SH.PER_BUNDLE)
+    IO.write_bundle(C.labelled(spark, sf), path, ["doc_id", "aspect"], SH.PER_BUNDLE)
     return S.bundle_to_rows(IO.read_bundle(spark, path), "shard")
 
 

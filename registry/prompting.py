@@ -310,79 +310,101 @@ def one_line(spark, sf):
     return C.table(spark, sf, "conversations").select("conv_id", "turn", X.one_line("text").alias("line"))
 
 
-# Reasoning inputs from conversations: the first user turn is the sentence, the
-# following assistant turns are the answers of the hops, the label answer goes
-# by the length of the first of them.
+# Reasoning inputs from conversations: every user turn is a sentence, the four
+# assistant turns after it are the answers of its hops; a conversation that ends
+# before leaves answers out.
 def reasoning_inputs(spark, sf):
     turns = C.table(spark, sf, "conversations")
     n = F.length("text")
-    rows = turns.where((F.col("role") == "user") & (F.col("turn") <= 1)).select(
-        F.col("conv_id").alias("row_id"),
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    rows = turns.where(F.col("role") == "user").select(
+        number.alias("row_id"),
+        "conv_id",
+        "turn",
         "text",
-        F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("target"),
+        F.concat(F.lit(" conversation "), F.col("conv_id").cast("string"), F.lit(" <pad>")).alias("target"),
         F.when(n > 300, 0).when(n > 100, 1).otherwise(2).alias("label"),
         F.contains("text", F.lit("\n")).cast("int").alias("implicit"),
     )
-    said = turns.where(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("row_id"), ((F.col("turn") + 1) / 2).cast("int").alias("hop"), F.col("text").alias("answer")
-    )
-    size = F.length("answer")
+    said = turns.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("said"))
+    size = F.length("said")
     verdict = F.when(size > 700, "It is Negative.").when(size > 300, "</s>neutral<pad>").otherwise("positive")
-    answers = said.where("hop <= 3").unionByName(
-        said.where("hop = 1").select("row_id", F.lit(4).alias("hop"), verdict.alias("answer"))
+    answers = (
+        rows.select("row_id", "conv_id", "turn")
+        .join(said, "conv_id")
+        .withColumn("gap", F.col("at") - F.col("turn"))
+        .where(F.col("gap").isin(1, 3, 5, 7))
+        .select(
+            "row_id",
+            ((F.col("gap") + 1) / 2).cast("int").alias("hop"),
+            F.when(F.col("gap") == 7, verdict).otherwise(F.col("said")).alias("answer"),
+        )
     )
-    return rows, answers
+    return rows.drop("conv_id", "turn"), answers
 
 
-CLEAN = C.sql_strip(
-    "replace(replace(" + C.sql_strip("replace(answer, chr(10), ' ')") + ", '<pad>', ''), '</s>', '')"
-)
-SQL_REASON = f"""rws AS (SELECT conv_id AS row_id, text, 'conversation ' || conv_id AS target,
+def _clean(text: str, style: str) -> str:
+    """Framed: pad marks and both ends go.  Chat: line feeds first."""
+    if style == "chat":
+        text = C.sql_strip(f"replace({text}, chr(10), ' ')")
+    return C.sql_strip(f"replace(replace({text}, '<pad>', ''), '</s>', '')")
+
+
+def _sql_reason(style: str) -> str:
+    return f"""rws AS (SELECT conv_id * 1000 + turn AS row_id, conv_id, turn, text, ' conversation ' || conv_id || ' <pad>' AS target,
     CASE WHEN length(text) > 300 THEN 0 WHEN length(text) > 100 THEN 1 ELSE 2 END AS label,
-    CAST(contains(text, chr(10)) AS INTEGER) AS implicit FROM conversations WHERE role = 'user' AND turn <= 1),
-  said AS (SELECT conv_id AS row_id, (turn + 1) // 2 AS hop, text AS answer FROM conversations WHERE role = 'assistant'),
-  ans AS (SELECT row_id, hop, {CLEAN} AS answer FROM (SELECT * FROM said WHERE hop <= 3 UNION ALL
-    SELECT row_id, 4, CASE WHEN length(answer) > 700 THEN 'It is Negative.' WHEN length(answer) > 300
-    THEN '</s>neutral<pad>' ELSE 'positive' END FROM said WHERE hop = 1)),
+    CAST(contains(text, chr(10)) AS INTEGER) AS implicit FROM conversations WHERE role = 'user'),
+  said AS (SELECT row_id, (s.turn - r.turn + 1) // 2 AS hop, s.text AS t FROM rws r JOIN conversations s USING (conv_id)
+    WHERE s.role = 'assistant' AND s.turn - r.turn IN (1, 3, 5, 7)),
+  ans AS (SELECT row_id, hop, {_clean('a', style)} AS answer FROM (SELECT row_id, hop, CASE WHEN hop < 4 THEN t
+    WHEN length(t) > 700 THEN 'It is Negative.' WHEN length(t) > 300 THEN '</s>neutral<pad>' ELSE 'positive' END AS a FROM said)),
   a AS (SELECT row_id, max(answer) FILTER (WHERE hop = 1) AS answer_1, max(answer) FILTER (WHERE hop = 2) AS answer_2,
     max(answer) FILTER (WHERE hop = 3) AS answer_3, max(answer) FILTER (WHERE hop = 4) AS answer_4 FROM ans GROUP BY row_id),
-  j AS (SELECT *, 'Given the sentence "' || text || '", ' AS c1 FROM rws LEFT JOIN a USING (row_id))"""
+  j AS (SELECT *, 'Given the sentence "' || text || '", ' AS c1, {_clean('target', 'framed') if style == 'framed' else 'target'} AS t
+    FROM rws LEFT JOIN a USING (row_id))"""
 
 
 def _sql_hops(style: str) -> str:
     framed = style == "framed"
-    c2 = "c1 || ' The mentioned aspect is about ' || answer_1 || '.'" if framed else "c1 || ' ' || answer_1"
+    kept = lambda c: _clean(c, "framed") if framed else c
+    c2 = (
+        f"{kept('c1')} || ' The mentioned aspect is about ' || answer_1 || '.'" if framed else "c1 || ' ' || answer_1"
+    )
     c3 = (
-        "c2 || ' The opinion towards the mentioned aspect of ' || target || ' is ' || answer_2 || '.'"
+        f"{kept('c2')} || ' The opinion towards the mentioned aspect of ' || t || ' is ' || answer_2 || '.'"
         if framed
         else "c2 || ' ' || answer_2"
     )
     p4 = (
-        f"c3 || ' The sentiment polarity is ' || answer_3 || '.' || {FRAMED_LABEL}"
+        f"{kept('c3')} || ' The sentiment polarity is ' || answer_3 || '.' || {FRAMED_LABEL}"
         if framed
         else f"answer_3 || {CHAT_LABEL}"
     )
     code = C.sql_exact("answer_4") if framed else C.sql_contains("answer_4")
-    return f"""{SQL_REASON}, s2 AS (SELECT *, {c2} AS c2 FROM j), s3 AS (SELECT *, {c3} AS c3 FROM s2),
+    return f"""{_sql_reason(style)}, s2 AS (SELECT *, {c2} AS c2 FROM j), s3 AS (SELECT *, {c3} AS c3 FROM s2),
   hops AS (SELECT row_id, text, target, label, implicit,
     c1 || 'which specific aspect of ' || target || ' is possibly mentioned?' AS prompt_1, answer_1,
-    c2 || ' Based on the common sense, what is the implicit opinion towards the mentioned aspect of ' || target ||
+    c2 || ' Based on the common sense, what is the implicit opinion towards the mentioned aspect of ' || t ||
       ', and why?' AS prompt_2, answer_2,
-    c3 || ' Based on such opinion, what is the sentiment polarity towards ' || target || '?' AS prompt_3, answer_3,
-    {p4} AS prompt_4, answer_4, {code} AS predicted FROM s3)"""
+    c3 || ' Based on such opinion, what is the sentiment polarity towards ' || t || '?' AS prompt_3, answer_3,
+    {p4} AS prompt_4, answer_4, CASE WHEN answer_4 IS NOT NULL THEN {code} END AS predicted,
+    CASE WHEN answer_1 IS NULL THEN 'no answer to hop 1' WHEN answer_2 IS NULL THEN 'no answer to hop 2'
+      WHEN answer_3 IS NULL THEN 'no answer to hop 3' WHEN answer_4 IS NULL THEN 'no answer to hop 4' END AS reject_reason
+    FROM s3)"""
 
 
 HOP_COLUMNS = (
     "row_id", "target", "label", "implicit", "prompt_1", "answer_1", "prompt_2", "answer_2",
-    "prompt_3", "answer_3", "prompt_4", "answer_4", "predicted",
+    "prompt_3", "answer_3", "prompt_4", "answer_4", "predicted", "reject_reason",
 )
 
 
 @query(
     "next_hop",
-    f"""WITH {SQL_REASON} SELECT row_id, c1 || ' The mentioned aspect is about ' || answer_1 || '.' AS context, answer_1,
-    c1 || ' The mentioned aspect is about ' || answer_1 || '.' || ' Based on the common sense, what is the implicit '
-    || 'opinion towards the mentioned aspect of ' || target || ', and why?' AS prompt_2 FROM j""",
+    f"""WITH {_sql_reason('framed')}, c AS (SELECT *, {_clean('c1', 'framed')} || ' The mentioned aspect is about ' || answer_1 || '.'
+      AS context FROM j)
+    SELECT row_id, context, answer_1, context || ' Based on the common sense, what is the implicit '
+    || 'opinion towards the mentioned aspect of ' || t || ', and why?' AS prompt_2 FROM c""",
 )
 def next_hop(spark, sf):
     rows, answers = reasoning_inputs(spark, sf)
@@ -416,8 +438,9 @@ NAMES = "['positive', 'negative', 'neutral']"
 
 @query(
     "trace_fields",
-    f"""WITH {_sql_hops('chat')} SELECT {C.sql_strip("regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')")} AS sentence, target,
-    {NAMES}[label + 1] AS gold, implicit, {NAMES}[predicted + 1] AS predicted, NULL::VARCHAR AS reject_reason FROM hops""",
+    f"""WITH {_sql_hops('chat')} SELECT {C.sql_strip("regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')")} AS sentence, {C.sql_strip('target')} AS target,
+    {NAMES}[label + 1] AS gold, implicit, coalesce({NAMES}[predicted + 1], 'none') AS predicted,
+    CASE WHEN predicted IS NULL THEN 'unknown label' END AS reject_reason FROM hops""",
 )
 def trace_fields(spark, sf):
     records = H.trace_records(H.reason(*reasoning_inputs(spark, sf), style="chat"))
@@ -435,7 +458,7 @@ SCORE = (
 
 @query(
     "evaluate_trace",
-    f"""WITH {_sql_hops('chat')}, s AS (SELECT label AS gold, predicted AS pred, implicit FROM hops)
+    f"""WITH {_sql_hops('chat')}, s AS (SELECT label AS gold, predicted AS pred, implicit FROM hops WHERE predicted IS NOT NULL)
     SELECT {SCORE}, 'test' AS mode FROM s""",
 )
 def evaluate_trace(spark, sf):
@@ -444,26 +467,30 @@ def evaluate_trace(spark, sf):
     return E.evaluate_trace(trace.select("f.*", "reject_reason"))
 
 
+def _histories(spark, sf):
+    out = H.dialog_history(C.table(spark, sf, "conversations"))
+    said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    return out.select("conv_id", "turn", C.joined(said, C.SEP).alias("history"))
+
+
 @query(
     "dialog_history",
-    """SELECT conv_id, turn, turn // 4 AS chunk, string_agg(role || ': ' || text, chr(31))
-    OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) AS history FROM conversations""",
+    """SELECT conv_id, turn, string_agg(role || ': ' || text, chr(31))
+    OVER (PARTITION BY conv_id ORDER BY turn) AS history FROM conversations""",
 )
 def dialog_history(spark, sf):
-    out = H.dialog_history(C.table(spark, sf, "conversations"), per_chunk=4)
-    said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
-    return out.select("conv_id", "turn", "chunk", C.joined(said, C.SEP).alias("history"))
+    return _histories(spark, sf)
 
 
 @query(
     "dialog_history_whole",
-    """SELECT conv_id, turn, turn // 64 AS chunk, string_agg(role || ': ' || text, chr(31))
-    OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) AS history FROM conversations""",
+    """SELECT conv_id, max(turn) AS turn, string_agg(role || ': ' || text, chr(31) ORDER BY turn) AS history
+    FROM conversations GROUP BY conv_id""",
 )
 def dialog_history_whole(spark, sf):
-    out = H.dialog_history(C.table(spark, sf, "conversations"))
-    said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
-    return out.select("conv_id", "turn", "chunk", C.joined(said, C.SEP).alias("history"))
+    """What a conversation's last turn has before it."""
+    last = F.max(F.struct("turn", "history"))
+    return _histories(spark, sf).groupBy("conv_id").agg(last.alias("m")).select("conv_id", "m.turn", "m.history")
 
 
 @query(

@@ -78,7 +78,7 @@ def encode_by_frequency(spark, sf):
     return ids.select("doc_id", C.joined("token_ids").alias("token_ids"))
 
 
-LINE_IDS = f"list_transform(regexp_extract_all(lower({C.sql_truncate('text')}), '(\\p{{L}}+)'), lambda w: length(w))"
+LINE_IDS = "list_transform(regexp_extract_all(lower(text), '(\\p{L}+)'), lambda w: length(w))"
 
 
 @query(
@@ -93,7 +93,7 @@ LINE_IDS = f"list_transform(regexp_extract_all(lower({C.sql_truncate('text')}),
         AS attention_mask FROM m""",
 )
 def pad_batch(spark, sf):
-    docs = C.docs(spark, sf).select("doc_id", C.ids_of(X.truncate_words("text")).alias("token_ids"))
+    docs = C.docs(spark, sf).select("doc_id", C.ids_of("text").alias("token_ids"))
     padded = S.pad_batch(S.batches(docs, K.EVALUATION_BATCH, ["doc_id"]).drop("pos"))
     return padded.select(
         "doc_id", "batch_id", *[C.joined(c).alias(c) for c in ("input_ids", "token_type_ids", "attention_mask")]
@@ -107,7 +107,7 @@ def pad_batch(spark, sf):
 )
 def attach_tokens(spark, sf):
     base = C.docs(spark, sf, "doc_id", "lang")
-    tokens = C.labelled(spark, sf).select("doc_id", C.joined("token_ids").alias("token_ids"))
+    tokens = C.labelled(spark, sf).select("doc_id", C.joined("token_ids").alias("token_ids")).distinct()
     return S.attach_tokens(base, tokens, "doc_id")
 
 
@@ -212,19 +212,19 @@ def _bundle(spark, sf):
     rows = C.labelled(spark, sf).select(
         "doc_id", *[F.col(src).alias(dst) for dst, src in S.BUNDLE_COLUMNS.items()]
     )
-    return S.rows_to_bundle(rows, ["doc_id"], list(S.BUNDLE_COLUMNS), PER_BUNDLE)
+    return S.rows_to_bundle(rows, ["doc_id", "raw_aspect_terms"], list(S.BUNDLE_COLUMNS), PER_BUNDLE)
 
 
 @query(
     "rows_to_bundle",
-    f"""WITH {C.SQL_LABELLED}, r AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {PER_BUNDLE} AS shard
+    f"""WITH {C.SQL_LABELLED}, r AS (SELECT *, (row_number() OVER (ORDER BY doc_id, aspect) - 1) // {PER_BUNDLE} AS shard
       FROM labelled)
-    SELECT shard, string_agg(raw_text, chr(31) ORDER BY doc_id) AS raw_texts,
-      string_agg(aspect, chr(31) ORDER BY doc_id) AS raw_aspect_terms,
-      string_agg(array_to_string(token_ids, ','), chr(31) ORDER BY doc_id) AS bert_tokens,
-      string_agg(array_to_string(aspect_mask, ','), chr(31) ORDER BY doc_id) AS aspect_masks,
-      string_agg(CASE WHEN implicitness THEN 'true' ELSE 'false' END, chr(31) ORDER BY doc_id) AS implicits,
-      string_agg(polarity::VARCHAR, chr(31) ORDER BY doc_id) AS labels FROM r GROUP BY shard""",
+    SELECT shard, string_agg(raw_text, chr(31) ORDER BY doc_id, aspect) AS raw_texts,
+      string_agg(aspect, chr(31) ORDER BY doc_id, aspect) AS raw_aspect_terms,
+      string_agg(array_to_string(token_ids, ','), chr(31) ORDER BY doc_id, aspect) AS bert_tokens,
+      string_agg(array_to_string(aspect_mask, ','), chr(31) ORDER BY doc_id, aspect) AS aspect_masks,
+      string_agg(CASE WHEN implicitness THEN 'true' ELSE 'false' END, chr(31) ORDER BY doc_id, aspect) AS implicits,
+      string_agg(polarity::VARCHAR, chr(31) ORDER BY doc_id, aspect) AS labels FROM r GROUP BY shard""",
 )
 def rows_to_bundle(spark, sf):
     nested = lambda c: F.array_join(F.transform(c, lambda a: F.array_join(a, ",")), C.SEP)
@@ -242,7 +242,7 @@ def rows_to_bundle(spark, sf):
 
 @query(
     "bundle_to_rows",
-    f"""WITH {C.SQL_LABELLED}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM labelled)
+    f"""WITH {C.SQL_LABELLED}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, aspect) - 1 AS rn FROM labelled)
     SELECT rn // {PER_BUNDLE} AS shard, CAST(rn % {PER_BUNDLE} AS INTEGER) AS pos, raw_text AS text, aspect AS target,
     polarity AS label, CAST(implicitness AS INTEGER) AS implicit, TRUE AS aligned FROM r""",
 )

@@ -33,22 +33,28 @@ def sentences(spark, sf):
     return L.sentences(C.docs(spark, sf))
 
 
+ALNUM = (
+    "alnum AS (SELECT doc_id, unnest(ws) AS word, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos"
+    " FROM (SELECT doc_id, regexp_extract_all(lower(text), '(\\p{L}+|\\p{N}+)') AS ws FROM documents))"
+)
+
+
 @query(
     "content_words",
-    f"WITH {C.SQL_WORDS} SELECT doc_id, pos, word FROM words WHERE word NOT IN ({C.sql_list(K.STOP_WORDS)})",
+    f"WITH {ALNUM} SELECT doc_id, pos, word FROM alnum WHERE word NOT IN ({C.sql_list(K.STOP_WORDS)})",
 )
 def content_words(spark, sf):
-    return L.content_words(L.tokens(C.docs(spark, sf)))
+    return L.content_words(L.content_tokens(C.docs(spark, sf)))
 
 
 @query(
     "content_words_table",
-    f"""WITH {C.SQL_WORDS}, stop AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\\p{{L}}+)'))
-    AS word FROM benchmark) SELECT doc_id, pos, word FROM words ANTI JOIN stop USING (word)""",
+    f"""WITH {ALNUM}, stop AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\\p{{L}}+)'))
+    AS word FROM benchmark) SELECT doc_id, pos, word FROM alnum ANTI JOIN stop USING (word)""",
 )
 def content_words_table(spark, sf):
     stop = C.table(spark, sf, "benchmark").select(F.explode(X.words("text")).alias("word"))
-    return L.content_words(L.tokens(C.docs(spark, sf)), stop).select("doc_id", "pos", "word")
+    return L.content_words(L.content_tokens(C.docs(spark, sf)), stop).select("doc_id", "pos", "word")
 
 
 @query(
@@ -94,14 +100,13 @@ def aspects_present(spark, sf):
 @query(
     "aspects_present_table",
     """WITH terms AS (SELECT DISTINCT aspect FROM (SELECT unnest(regexp_extract_all(text, '(\\p{L}+)'))
-    AS aspect FROM benchmark) WHERE length(aspect) >= 7)
+    AS aspect FROM benchmark))
     SELECT doc_id, aspect FROM documents JOIN terms ON contains(text, aspect)""",
 )
 def aspects_present_table(spark, sf):
     terms = (
         C.table(spark, sf, "benchmark")
         .select(F.explode(X.words("text", lower=False)).alias("aspect"))
-        .where(F.length("aspect") >= 7)
         .distinct()
     )
     return L.aspects_present(C.docs(spark, sf), terms)
@@ -159,6 +164,52 @@ def context_sentiment(spark, sf):
     return out.withColumn("sentiment", F.round("sentiment", 4))
 
 
+# Rows that bring their own aspect: the first word of the text's last sentence.
+OWN = (
+    "own AS (SELECT doc_id, text, regexp_extract_all(regexp_extract_all(text, '([^.!?\\n]+[.!?]?)')[-1], '(\\p{L}+)')[1]"
+    " AS aspect FROM documents)"
+)
+
+
+def own_aspects(spark, sf):
+    last = F.element_at(X.sentences("text"), -1)
+    first = F.get(X.words(F.when(F.size(X.sentences("text")) > 0, last), lower=False), F.lit(0))
+    return C.docs(spark, sf).withColumn("aspect", first)
+
+
+@query(
+    "aspect_sentiment_rows",
+    f"""WITH {C.SQL_LEXICON}, {OWN},
+    firsts AS (SELECT doc_id, aspect, list_filter(regexp_extract_all(text, '([^.!?\\n]+[.!?]?)'),
+      lambda s: contains(s, aspect))[1] AS sentence FROM own),
+    hits AS (SELECT doc_id, sum(valence) AS s FROM (SELECT doc_id,
+      unnest(regexp_extract_all(lower(sentence), '(\\p{{L}}+)')) AS word FROM firsts) JOIN lex USING (word) GROUP BY doc_id)
+    SELECT f.doc_id, f.aspect, CASE WHEN sentence IS NOT NULL THEN round({C.sql_compound('coalesce(s, 0)')}, 4) END AS sentiment
+    FROM firsts f LEFT JOIN hits USING (doc_id)""",
+)
+def aspect_sentiment_rows(spark, sf):
+    out = L.aspect_sentiment_rows(own_aspects(spark, sf), C.lexicon(spark))
+    return out.withColumn("sentiment", F.round("sentiment", 4))
+
+
+@query(
+    "context_sentiment_rows",
+    f"""WITH {C.SQL_LEXICON}, {OWN},
+    toks AS (SELECT doc_id, aspect, {SURFACE} AS ts FROM own),
+    spans AS (SELECT doc_id, aspect, ts, list_position(ts, aspect) AS hit FROM toks),
+    ctx AS (SELECT doc_id, aspect, CASE WHEN hit > 0 THEN
+      array_to_string(ts[greatest(hit - 5, 1):hit + 5], ' ') END AS context FROM spans),
+    hits AS (SELECT doc_id, sum(valence) AS s FROM (SELECT doc_id,
+      unnest(regexp_extract_all(lower(context), '(\\p{{L}}+)')) AS word FROM ctx) JOIN lex USING (word) GROUP BY doc_id)
+    SELECT c.doc_id, aspect, context, CASE WHEN context IS NOT NULL THEN
+      round({C.sql_compound('coalesce(s, 0)')}, 4) END AS sentiment
+    FROM ctx c LEFT JOIN hits USING (doc_id)""",
+)
+def context_sentiment_rows(spark, sf):
+    out = L.context_sentiment_rows(own_aspects(spark, sf), C.lexicon(spark))
+    return out.withColumn("sentiment", F.round("sentiment", 4))
+
+
 @query(
     "mark_modifiers",
     f"""WITH toks AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i

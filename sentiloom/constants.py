@@ -47,6 +47,7 @@ STORED_TIME = "yyyy-MM-dd HH:mm:ss"
 
 # Patterns (ours).  The blank class lists what Python's ``str.split`` cuts at.
 WORD = r"(\p{L}+)"
+WORD_OR_NUMBER = r"(\p{L}+|\p{N}+)"
 SURFACE_TOKEN = r"([\p{L}]+(?:['’][\p{L}]+)*+|\p{N}+|[^\s\p{L}\p{N}])"
 SENTENCE = r"([^.!?\n]+[.!?]?)"
 BLANK = (
@@ -134,3 +135,6 @@ STOP_WORDS = (
     " que qui sur un une das dem den der die ein eine im ist mit nicht sich und"
     " von zu como con del el es lo los las no para por se su una y"
 ).split()
+
+# Ours: stands in a record for a label that no answer gave.
+NO_LABEL = "none"

@@ -144,7 +144,7 @@ def trace_record(
     head = F.concat_ws(
         "\t", step(sentence), step(target), col(gold), col(implicit).cast("string")
     )
-    tail = F.concat(F.lit("gold: "), col(gold), F.lit("\tpredicted: "), col(predicted))
+    tail = F.concat(F.lit("gold: "), col(gold), F.lit("\tpredicted: "), F.coalesce(col(predicted), F.lit(K.NO_LABEL)))
     return F.concat_ws("\n", head, *[step(s) for s in steps], tail)
 
 

@@ -32,6 +32,11 @@ def words(text: Column | str, lower: bool = True) -> Column:
     return F.regexp_extract_all(text, F.lit(K.WORD), F.lit(1))
 
 
+def alphanumerics(text: Column | str) -> Column:
+    """Runs of letters and runs of digits, lower-cased."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(K.WORD_OR_NUMBER), F.lit(1))
+
+
 def surface_tokens(text: Column | str) -> Column:
     """Words with inner apostrophes, numbers and single punctuation marks."""
     return F.regexp_extract_all(col(text), F.lit(K.SURFACE_TOKEN), F.lit(1))

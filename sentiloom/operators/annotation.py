@@ -41,16 +41,44 @@ def aspect_opinion_pairs(tokens: DataFrame) -> DataFrame:
     )
 
 
+def opinion_of_rows(tokens: DataFrame, rows: DataFrame, aspect: str = "aspect") -> DataFrame:
+    """``(doc_id, aspect, opinion)``: first adjective of the first token that equals the row's aspect.
+
+    'False' if there is none.  ``rows`` has one row per (doc_id, aspect).
+    """
+    wanted = rows.select("doc_id", F.lower(aspect).alias("_name")).distinct()
+    nouns = tokens.select(*SENTENCE, "tok_id", F.lower("text").alias("_name")).join(wanted, ["doc_id", "_name"])
+    found = (
+        nouns.join(_opinions(tokens), [*SENTENCE, "tok_id"])
+        .groupBy("doc_id", "_name")
+        .agg(F.min(F.struct("sent_id", "tok_id", "opinion_tok_id", "opinion")).alias("_hit"))
+    )
+    return (
+        rows.select("doc_id", aspect, F.lower(aspect).alias("_name"))
+        .join(found, ["doc_id", "_name"], "left")
+        .select("doc_id", aspect, F.coalesce("_hit.opinion", F.lit(K.NO_OPINION)).alias("opinion"))
+    )
+
+
 def opinion_of(tokens: DataFrame, aspect: str) -> DataFrame:
-    """First adjective of the first token that equals the aspect, else 'False'."""
-    named = tokens.where(F.lower("text") == aspect.lower()).select(*SENTENCE, "tok_id")
-    found = named.join(_opinions(tokens), [*SENTENCE, "tok_id"]).select(
-        "doc_id",
-        F.struct("sent_id", "tok_id", "opinion_tok_id", "opinion").alias("_hit"),
+    """The same for one aspect, in one grouping of the tokens by sentence.
+
+    A sentence gives the first named token and the first adjective under it;
+    the first such sentence of a document counts.
+    """
+    named = F.lower("text") == aspect.lower()
+    adjective = F.when(
+        F.col("upos") == K.OPINION_CLASS, F.struct("head", F.col("tok_id").alias("tok"), F.col("text").alias("opinion"))
+    )
+    by_sentence = tokens.groupBy(*SENTENCE).agg(
+        F.array_sort(F.collect_list(F.when(named, F.col("tok_id")))).alias("_named"),
+        F.array_sort(F.collect_list(adjective)).alias("_adjectives"),
     )
-    everyone = tokens.select("doc_id", F.lit(None).cast(found.schema["_hit"].dataType).alias("_hit"))
+    under = F.filter("_adjectives", lambda a: F.array_contains("_named", a["head"]))
+    first = F.get(under, F.lit(0))
+    hit = F.when(F.size(under) > 0, F.struct("sent_id", first["head"].alias("tok_id"), first["opinion"].alias("opinion")))
     return (
-        everyone.unionByName(found)
+        by_sentence.select("doc_id", hit.alias("_hit"))
         .groupBy("doc_id")
         .agg(F.min("_hit").alias("_hit"))
         .select("doc_id", F.coalesce("_hit.opinion", F.lit(K.NO_OPINION)).alias("opinion"))

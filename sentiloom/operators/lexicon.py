@@ -15,7 +15,6 @@ from sentiloom import constants as K
 from sentiloom.functions import text as X
 from sentiloom.operators.scale import lookup_join
 
-FEW_TERMS = 64
 START_CHARS = 6
 
 
@@ -28,6 +27,11 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", lower: bool
     return docs.select(key, F.posexplode(X.words(text, lower)).alias("pos", "word"))
 
 
+def content_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``(key, pos, word)`` of words and numbers in lower case."""
+    return docs.select(key, F.posexplode(X.alphanumerics(text)).alias("pos", "word"))
+
+
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sentence rows ``(key, sent_id, sentence)``."""
     return docs.select(key, F.posexplode(X.sentences(text)).alias("sent_id", "sentence"))
@@ -71,95 +75,110 @@ def aspects_present(
 ) -> DataFrame:
     """Rows ``(key, aspect)`` for each aspect that is part of the text.
 
-    A few terms are tested inside the row.  A long list, or a table
-    ``(aspect)``, is joined: each distinct piece of the text, as long as the
-    longest aspect, is looked up by its first characters, then compared.
+    The terms of a list are tested inside the row, those of a table
+    ``(aspect)`` are joined: the first characters of every place of the text
+    find the terms that may begin there, and the text decides.  Both ways a
+    term counts once, and empty and NULL terms never.
     """
-    if not isinstance(aspects, DataFrame) and len(aspects) <= FEW_TERMS:
-        return docs.select(key, F.explode(X.contained(text, aspects)).alias("aspect"))
     if not isinstance(aspects, DataFrame):
-        aspects = docs.sparkSession.createDataFrame([(a,) for a in aspects], "aspect string")
+        terms = [a for a in dict.fromkeys(aspects) if a]
+        return docs.select(key, F.explode(X.contained(text, terms)).alias("aspect"))
     size = F.least(F.length("aspect"), F.lit(START_CHARS))
     terms = (
         aspects.where(F.length("aspect") > 0)
         .select("aspect", F.substr("aspect", F.lit(1), size).alias("start"))
         .distinct()
     )
-    longest = terms.agg(F.max(F.length("aspect"))).scalar()
     sizes = terms.agg(F.collect_set(F.length("start"))).scalar()  # at most START_CHARS values
 
     def pieces(chars: Column) -> Column:
         return F.array_distinct(
-            F.transform(
-                chars, lambda _, i: F.array_join(F.slice(chars, i + 1, F.col("_longest")), "")
-            )
+            F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, START_CHARS), ""))
         )
 
     starts = (
-        docs.select(
-            key, F.col(text).alias("_text"), longest.alias("_longest"), sizes.alias("_sizes")
-        )
-        .select(key, "_sizes", F.explode(X.let(F.split("_text", ""), pieces)).alias("piece"))
+        docs.select(key, sizes.alias("_sizes"), F.explode(X.let(F.split(text, ""), pieces)).alias("piece"))
         .select(key, "piece", F.explode("_sizes").alias("_n"))
         .where(F.length("piece") >= F.col("_n"))
-        .select(key, "piece", F.substr("piece", F.lit(1), F.col("_n")).alias("start"))
-    )
-    return (
-        lookup_join(starts, terms, ["start"])
-        .where(F.startswith("piece", "aspect"))
-        .select(key, "aspect")
-        .distinct()
+        .select(key, F.substr("piece", F.lit(1), F.col("_n")).alias("start"))
     )
+    may = lookup_join(starts, terms, ["start"]).select(key, "aspect").distinct()
+    held = docs.select(key, F.col(text).alias("_text")).join(may, key)
+    return held.where(F.contains("_text", "aspect")).select(key, "aspect")
 
 
-def aspect_sentiment(
-    docs: DataFrame, aspects: Sequence[str], lexicon: DataFrame, key: str = "doc_id", text: str = "text"
+def aspect_sentiment_rows(
+    rows: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", aspect: str = "aspect"
 ) -> DataFrame:
-    """For each aspect in the text: score of the first sentence that holds it.
+    """``(key, aspect, sentiment)``: score of the first sentence that holds the row's aspect.
 
-    The aspect may cross a sentence end; then no sentence holds it and the
-    score is NULL.
+    Each row brings its own aspect.  Where no sentence holds it, as it crosses
+    a sentence end or is not in the text, the score is NULL.  Rows are one
+    (key, aspect) each.
     """
-    found = docs.select(
-        key, F.col(text).alias("_text"), F.explode(X.contained(text, aspects)).alias("aspect")
-    ).select(key, "aspect", X.first_sentence_with("_text", F.col("aspect")).alias("_sent"))
+    found = rows.select(key, aspect, X.first_sentence_with(text, F.col(aspect)).alias("_sent"))
     words = found.select(
         key,
-        "aspect",
+        aspect,
         F.col("_sent").isNotNull().alias("_held"),
         F.explode_outer(X.words("_sent")).alias("word"),
     )
     return (
         lexicon_hits(words, lexicon, "left")
-        .groupBy(key, "aspect")
+        .groupBy(key, aspect)
         .agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_sum"), F.max("_held").alias("_held"))
-        .select(key, "aspect", F.when(F.col("_held"), X.compound(F.col("_sum"))).alias("sentiment"))
+        .select(key, aspect, F.when(F.col("_held"), X.compound(F.col("_sum"))).alias("sentiment"))
     )
 
 
-def context_sentiment(
-    docs: DataFrame,
-    aspect: str,
+def aspect_sentiment(
+    docs: DataFrame, aspects: Sequence[str], lexicon: DataFrame, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The same for each aspect of a list that is part of the text."""
+    held = docs.select(key, F.col(text).alias("_text"), F.explode(X.contained(text, aspects)).alias("aspect"))
+    return aspect_sentiment_rows(held, lexicon, key, "_text")
+
+
+def context_sentiment_rows(
+    rows: DataFrame,
     lexicon: DataFrame,
     size: int = K.CONTEXT_WINDOW,
     key: str = "doc_id",
     text: str = "text",
+    aspect: str = "aspect",
 ) -> DataFrame:
-    """Score of the tokens around the first occurrence; NULL if there is none."""
-    windows = docs.select(key, X.context_window(text, F.lit(aspect), size).alias("context"))
-    words = windows.select(key, "context", F.explode_outer(X.words("context")).alias("word"))
+    """``(key, aspect, context, sentiment)`` around the first token that is the row's aspect.
+
+    NULL if there is none.  Rows are one (key, aspect) each.
+    """
+    windows = rows.select(key, aspect, X.context_window(text, F.col(aspect), size).alias("context"))
+    words = windows.select(key, aspect, "context", F.explode_outer(X.words("context")).alias("word"))
     return (
         lexicon_hits(words, lexicon, "left")
-        .groupBy(key)
+        .groupBy(key, aspect)
         .agg(F.first("context", True).alias("context"), F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_sum"))
         .select(
             key,
+            aspect,
             "context",
             F.when(F.col("context").isNotNull(), X.compound(F.col("_sum"))).alias("sentiment"),
         )
     )
 
 
+def context_sentiment(
+    docs: DataFrame,
+    aspect: str,
+    lexicon: DataFrame,
+    size: int = K.CONTEXT_WINDOW,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The same for one aspect that all rows are asked for."""
+    rows = docs.select(key, F.col(text).alias("_text"), F.lit(aspect).alias("_aspect"))
+    return context_sentiment_rows(rows, lexicon, size, key, "_text", "_aspect").drop("_aspect")
+
+
 def mark_modifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(key, X.mark_modifiers(text).alias("marked"))
 

@@ -12,18 +12,8 @@ from pyspark.sql import functions as F
 from sentiloom import constants as K
 from sentiloom.functions import text as X
 
-# The models keep one row of numbers per word in the driver.
-MODEL_WORDS = 5_000_000
-
-
-def _vocabulary_size(words: DataFrame, min_count: int) -> int:
-    """Distinct words a model would hold; refuses what the driver cannot."""
-    size = (
-        words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).count()
-    )
-    if size > MODEL_WORDS:
-        raise ValueError(f"{size} words in the model; raise the minimum count")
-    return size
+# No vocabulary is larger: as many as an array has places.
+ALL_WORDS = (1 << 31) - 1
 
 
 def word_vectors(
@@ -33,20 +23,23 @@ def word_vectors(
     window: int = 5,
     min_count: int = 1,
     iterations: int = 1,
-    partitions: int = 8,
+    partitions: int | None = None,
     seed: int = 42,
 ):
-    """Skip-gram vectors over the sentences' words."""
+    """Skip-gram vectors over the sentences' words.
+
+    ``min_count`` decides which words the model, and with it the driver, holds;
+    without ``partitions`` as many tasks train as the session runs at a time.
+    """
     lines = docs.select(F.explode(X.sentences(text)).alias("_s")).select(
         X.words("_s").alias("words")
     )
-    _vocabulary_size(lines.select(F.explode("words").alias("word")), min_count)
     return Word2Vec(
         vectorSize=size,
         windowSize=window,
         minCount=min_count,
         maxIter=iterations,
-        numPartitions=partitions,
+        numPartitions=partitions or docs.sparkSession.sparkContext.defaultParallelism,
         seed=seed,
         inputCol="words",
         outputCol="vector",
@@ -71,16 +64,14 @@ def topics(
 ) -> DataFrame:
     """LDA topics ``(topic, rank, word, weight)`` over the content words.
 
-    The dictionary is the whole vocabulary and every iteration sees the whole
-    corpus.
+    The dictionary is every word and number that ``min_df`` texts hold, and
+    every iteration sees the whole corpus.
     """
     content = docs.select(
-        key, F.filter(X.words(text), lambda w: ~w.isin(*stop)).alias("words")
+        key, F.filter(X.alphanumerics(text), lambda w: ~w.isin(*stop)).alias("words")
     )
-    distinct = content.select(F.explode(F.array_distinct("words")).alias("word"))
-    size = _vocabulary_size(distinct, min_df)
     vectorizer = CountVectorizer(
-        inputCol="words", outputCol="features", vocabSize=max(size, 1), minDF=min_df
+        inputCol="words", outputCol="features", vocabSize=ALL_WORDS, minDF=min_df
     ).fit(content)
     counts = vectorizer.transform(content).select(key, "features").persist(StorageLevel.DISK_ONLY)
     try:  # every iteration reads the counts again

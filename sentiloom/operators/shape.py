@@ -117,18 +117,14 @@ def batch_count(df: DataFrame, size: int = K.EVALUATION_BATCH) -> DataFrame:
 def split_last_n(
     df: DataFrame, order: list[str], n: int = K.VALIDATION_ROWS, name: str = "split"
 ) -> DataFrame:
-    """Last ``n`` rows of a total order are 'valid', the others 'train'.
+    """Last ``n`` rows of an order are 'valid', the others 'train'.
 
-    The n-th last key is found as a top-n, then the split is one comparison.
+    Rows alike in ``order`` are told apart by a hash of all they hold; only
+    rows alike in everything share their side.  The n-th last key is found as
+    a top-n, then the split is one comparison.
     """
-    key = F.struct(*order)
-    cut = (
-        df.select(*order)
-        .orderBy(*[F.col(c).desc() for c in order])
-        .limit(n)
-        .agg(F.min(F.struct(*order)))
-        .scalar()
-    )
+    key = F.struct(*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_tie"))
+    cut = df.select(key.alias("_key")).orderBy(F.col("_key").desc()).limit(n).agg(F.min("_key")).scalar()
     return df.withColumn(name, F.when(key >= cut, "valid").otherwise("train"))
 
 

@@ -7,7 +7,7 @@ not fit is set aside with its reason and labels nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,15 +55,27 @@ def prompt_batch_labels(pairs: DataFrame, text: str = "text", role: str = K.LABE
     )
 
 
-def check_response(expected: DataFrame, responses: DataFrame) -> DataFrame:
+def label_reject(response: Column | str) -> Column:
+    """The first label that is no polarity 0, 1, 2 or no boolean; NULL when all are."""
+    labels = R.parse(response, R.LABEL_ENTRY)
+    known = F.sequence(F.lit(0), F.lit(len(K.LABELS) - 1))
+    no_code = F.exists(labels, lambda e: ~F.coalesce(F.array_contains(known, e["polarity"]), F.lit(False)))
+    no_flag = F.exists(labels, lambda e: R.parse_bool(e["implicitness"]).isNull())
+    return F.when(no_code, "unknown polarity").when(no_flag, "not a boolean")
+
+
+def check_response(expected: DataFrame, responses: DataFrame, labels: bool = False) -> DataFrame:
     """Does each batch have an answer of the right length, made of objects?
 
     ``expected`` has ``(batch_id, expected_n)``, ``responses`` ``(batch_id, response)``.
+    ``labels`` checks the values of label entries as well: one wrong value
+    refuses the batch.
     """
     read = responses.select(
         "batch_id",
         F.array_size(R.items("response")).alias("actual_n"),
         R.reject_reason("response").alias("_why"),
+        (label_reject("response") if labels else F.lit(None).cast("string")).alias("_value"),
         F.lit(True).alias("_given"),
     )
     return expected.join(read, "batch_id", "left").select(
@@ -73,12 +85,13 @@ def check_response(expected: DataFrame, responses: DataFrame) -> DataFrame:
         F.when(F.col("_given").isNull(), "no answer")
         .when(F.col("_why").isNotNull(), F.col("_why"))
         .when(F.col("actual_n") != F.col("expected_n"), "wrong length")
+        .otherwise(F.col("_value"))
         .alias("reject_reason"),
     ).withColumn("ok", F.col("reject_reason").isNull())
 
 
-def _usable(expected: DataFrame, responses: DataFrame) -> DataFrame:
-    good = check_response(expected, responses).where("ok").select("batch_id")
+def _usable(expected: DataFrame, responses: DataFrame, labels: bool = False) -> DataFrame:
+    good = check_response(expected, responses, labels).where("ok").select("batch_id")
     return responses.join(good, "batch_id", "left_semi")
 
 
@@ -97,7 +110,7 @@ def aspect_rows(batched: DataFrame, responses: DataFrame) -> DataFrame:
 def label_rows(pairs: DataFrame, responses: DataFrame) -> DataFrame:
     """Polarity and implicitness for each pair of an accepted batch."""
     expected = pairs.groupBy("batch_id").agg(F.count("*").alias("expected_n"))
-    labels = _usable(expected, responses).select(
+    labels = _usable(expected, responses, True).select(
         "batch_id", F.posexplode(R.parse("response", R.LABEL_ENTRY)).alias("pair_no", "e")
     ).select(
         "batch_id",
@@ -116,7 +129,7 @@ def rejected_batches(
     aspects = check_response(expected, aspect_answers).where(~F.col("ok"))
     pairs = aspect_rows(batched, aspect_answers)
     expected = pairs.groupBy("batch_id").agg(F.count("*").alias("expected_n"))
-    labels = check_response(expected, label_answers).where(~F.col("ok"))
+    labels = check_response(expected, label_answers, True).where(~F.col("ok"))
     return aspects.select(F.lit("aspects").alias("step"), *aspects.columns).unionByName(
         labels.select(F.lit("labels").alias("step"), *labels.columns)
     )
@@ -138,11 +151,19 @@ def open_batches(
     """What is not done yet, cut into batches ``(key, text, batch_id, pos)``.
 
     Store the result before asking the model: answers refer to these numbers.
+    Rows without a text are in :func:`without_text`, those without a key in
+    ``shape.without_key``.
     """
     todo = shape.remaining(base, done, key).where(F.col(text).isNotNull())
     return shape.batches(todo.select(key, text), size, [key])
 
 
+def without_text(base: DataFrame, done: DataFrame, key: str, text: str) -> DataFrame:
+    """The quarantine of :func:`open_batches`: what is not done and has no text."""
+    todo = shape.remaining(base, done, key).where(F.col(text).isNull())
+    return todo.withColumn("reject_reason", F.lit("no text"))
+
+
 def label_comments(
     base: DataFrame,
     batched: DataFrame,

@@ -6,9 +6,8 @@ next context and prompt.  The model itself stays outside.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sentiloom import constants as K
 from sentiloom.functions import prompts as P
@@ -38,6 +37,16 @@ def first_hop(rows: DataFrame, n_words: int | None = None) -> DataFrame:
     return rows.withColumn("context", context).withColumn("prompt_1", prompt)
 
 
+def clean_answer(style: str) -> Column:
+    """Pad marks and both ends go; only a chat puts an answer on one line."""
+    return R.strip_specials("answer" if style == "framed" else X.one_line("answer"))
+
+
+def _carried(style: str, name: str) -> Column:
+    """What the framed style carries from hop to hop loses pad marks and both ends."""
+    return R.strip_specials(name) if style == "framed" else F.col(name)
+
+
 def next_hop(
     rows: DataFrame, answers: DataFrame, hop: int, key: str = "row_id", style: str = "framed"
 ) -> DataFrame:
@@ -46,22 +55,23 @@ def next_hop(
     ``answers`` has ``(key, hop, answer)``.
     """
     name = f"answer_{hop}"
-    given = answers.where(F.col("hop") == hop).select(key, R.strip_specials(X.one_line("answer")).alias(name))
+    given = answers.where(F.col("hop") == hop).select(key, clean_answer(style).alias(name))
     joined = rows.join(given, key, "left")
+    context, target = _carried(style, "context"), _carried(style, "target")
     if hop == 1:
-        context, prompt = P.opinion("context", "target", name, style)
+        context, prompt = P.opinion(context, target, name, style)
     elif hop == 2:
-        context, prompt = P.polarity("context", "target", name, style)
+        context, prompt = P.polarity(context, target, name, style)
     elif hop == 3:
-        context, prompt = F.col("context"), P.label("context", name, style)
+        prompt = P.label(context, name, style)
     else:
         return joined
     return joined.withColumn(f"prompt_{hop + 1}", prompt).withColumn("context", context)
 
 
-def pivot_answers(answers: DataFrame, key: str = "row_id") -> DataFrame:
+def pivot_answers(answers: DataFrame, key: str = "row_id", style: str = "framed") -> DataFrame:
     """Answers of all hops side by side, so that one join attaches them."""
-    clean = R.strip_specials(X.one_line("answer"))
+    clean = clean_answer(style)
     return answers.groupBy(key).agg(
         *[
             F.max(F.when(F.col("hop") == h, clean)).alias(f"answer_{h}")
@@ -80,16 +90,23 @@ def reason(
     """Three hops and the label, every prompt and answer kept.
 
     With all answers stored, one join serves every hop.  ``predicted`` follows
-    the decoder that belongs to the style.
+    the decoder that belongs to the style.  Without a label answer it is NULL,
+    and ``reject_reason`` names the first answer that is missing.
     """
-    out = first_hop(rows, n_words).join(pivot_answers(answers, key), key, "left")
-    context, prompt = P.opinion("context", "target", "answer_1", style)
-    out = out.withColumn("prompt_2", prompt).withColumn("context", context)
-    context, prompt = P.polarity("context", "target", "answer_2", style)
-    out = out.withColumn("prompt_3", prompt).withColumn("context", context)
-    out = out.withColumn("prompt_4", P.label("context", "answer_3", style))
+    out = first_hop(rows, n_words).join(pivot_answers(answers, key, style), key, "left")
+    context, target = _carried(style, "context"), _carried(style, "target")
+    carried, prompt = P.opinion(context, target, "answer_1", style)
+    out = out.withColumn("prompt_2", prompt).withColumn("context", carried)
+    carried, prompt = P.polarity(context, target, "answer_2", style)
+    out = out.withColumn("prompt_3", prompt).withColumn("context", carried)
+    out = out.withColumn("prompt_4", P.label(context, "answer_3", style))
     decode = R.decode_exact if style == "framed" else R.decode_contains
-    return out.withColumn("predicted", decode("answer_4"))
+    missing = F.coalesce(
+        *[F.when(F.col(f"answer_{h}").isNull(), F.lit(f"no answer to hop {h}")) for h in range(1, len(HOPS) + 1)]
+    )
+    return out.withColumn("predicted", F.when(F.col("answer_4").isNotNull(), decode("answer_4"))).withColumn(
+        "reject_reason", missing
+    )
 
 
 def trace_records(reasoned: DataFrame) -> DataFrame:
@@ -120,20 +137,15 @@ def conversation(reasoned: DataFrame, key: str = "row_id") -> DataFrame:
     )
 
 
-def dialog_history(
-    turns: DataFrame, per_chunk: int = 64, conv: str = "conv_id", turn: str = "turn"
-) -> DataFrame:
-    """Messages up to and including each turn.
+def dialog_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Messages up to and including each turn, all of them.
 
-    The history of a turn is the messages of its own chunk up to it, after all
-    messages of the chunks before it.  A chunk spans ``per_chunk`` turn
-    numbers, so a conversation of usual length is one chunk and ``history`` is
-    complete; an endless one neither fills one task nor grows quadratically.
+    A conversation becomes one ordered array, and each turn gets the slice up
+    to itself; the result is as long as the histories together.
     """
-    so_far = Window.partitionBy(conv, "chunk").orderBy(turn)
-    return turns.withColumn("chunk", F.floor(F.col(turn) / per_chunk)).select(
-        conv,
-        turn,
-        "chunk",
-        F.collect_list(F.struct("role", "text")).over(so_far).alias("history"),
+    said = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), "role", "text")))
+    whole = turns.groupBy(conv).agg(said.alias("said")).select(conv, "said", F.posexplode("said").alias("pos", "now"))
+    heard = F.transform(
+        F.slice("said", F.lit(1), F.col("pos") + 1), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))
     )
+    return whole.select(conv, F.col("now.turn").alias(turn), heard.alias("history"))

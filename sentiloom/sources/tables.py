@@ -88,17 +88,17 @@ def arrays_as_text(df: DataFrame) -> DataFrame:
     )
 
 
-def write_review_csv(
-    df: DataFrame, path: str, order: list[str], single_file_rows: int = 100_000
-) -> None:
+def write_review_csv(df: DataFrame, path: str, order: list[str], single_file: bool = False) -> None:
     """CSV with a sequential id, replacing what was there.
 
-    Up to ``single_file_rows`` rows go into one file.  More rows go into many
-    files, the ids running through them in order.
+    The ids run through as many files as there are partitions, in order.
+    ``single_file`` is for a table that one person opens: rows come sorted and
+    one task writes them.
     """
     numbered = arrays_as_text(dense_index(df, order, "sequential_id", wide=True))
-    few = numbered.limit(single_file_rows + 1).count() <= single_file_rows
-    out = numbered.coalesce(1).sortWithinPartitions("sequential_id") if few else numbered.orderBy("sequential_id")
+    out = numbered.orderBy("sequential_id")
+    if single_file:  # numbers are joined before, in as many tasks as ever
+        out = numbered.repartition(1).sortWithinPartitions("sequential_id")
     out.write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
