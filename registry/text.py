@@ -10,6 +10,7 @@ from sentiloom.functions import text as X
 from sentiloom.operators import information as I
 from sentiloom.operators import lexicon as L
 from sentiloom.operators import shape as S
+from sentiloom.operators.scale import dense_index
 
 QUERIES, ORACLE, query = C.registry()
 
@@ -343,6 +344,66 @@ def _rounded(df):
     )
 
 
+OWN_DOCS = "WITH documents AS (SELECT d.* FROM main.documents d JOIN labels USING (doc_id)), "
+OWN_PMI = """dw AS (SELECT DISTINCT doc_id, word FROM words),
+  dfs AS (SELECT word, count(*) AS n FROM dw GROUP BY word),
+  held AS (SELECT DISTINCT l.doc_id, lower(l.aspect) AS aspect FROM labelled l JOIN dw ON dw.doc_id = l.doc_id AND dw.word = lower(l.aspect)),
+  fa AS (SELECT aspect, count(*) AS n FROM held GROUP BY aspect),
+  jt AS (SELECT h.doc_id, h.aspect, b.word FROM held h JOIN dw b USING (doc_id) WHERE b.word <> h.aspect),
+  jc AS (SELECT aspect, word, count(*) AS n FROM jt GROUP BY aspect, word),
+  dn AS (SELECT count(*)::DOUBLE AS d FROM documents),
+  pmi AS (SELECT doc_id, jt.aspect, avg(log2(d * jc.n / (fa.n * fw.n))) AS mi
+    FROM jt JOIN jc USING (aspect, word) JOIN dfs fw ON fw.word = jt.word JOIN fa USING (aspect), dn GROUP BY doc_id, jt.aspect)"""
+
+
+def _own_docs(spark, sf):
+    return C.docs(spark, sf).join(C.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query(
+    "aspect_pmi_rows",
+    f"{OWN_DOCS}{C.SQL_WORDS}, {C.SQL_LABELLED}, {OWN_PMI} SELECT doc_id, aspect, round(mi, 5) AS mutual_information_score FROM pmi",
+)
+def aspect_pmi_rows(spark, sf):
+    rows = C.labelled(spark, sf).select("doc_id", "aspect", F.col("raw_text").alias("text"))
+    out = I.aspect_pmi_rows(rows, _own_docs(spark, sf))
+    return out.withColumn("mutual_information_score", F.round("mutual_information_score", 5))
+
+
+SCORED = f"""{OWN_DOCS}{UNIGRAM}, {BIGRAM}, {C.SQL_LABELLED}, {OWN_PMI},
+  cc AS (SELECT doc_id, word, count(*) AS k, any_value(n_words) AS n FROM words GROUP BY doc_id, word),
+  ent AS (SELECT doc_id, -sum((k::DOUBLE / n) * log2(k::DOUBLE / n)) AS h FROM cc GROUP BY doc_id)
+  SELECT l.doc_id::VARCHAR AS "Comment ID", row_number() OVER (ORDER BY l.doc_id, l.aspect) - 1 AS "index", raw_text, l.aspect,
+    implicitness, polarity, round(h, 5) + 0.0 AS shannon_entropy, round(mi, 5) AS mutual_information_score,
+    round(surprisal, 5) AS surprisal, round(pow(2, surprisal), 2) AS perplexity,
+    round(cm, 5) AS contextual_mutual_information_score, round(cs, 5) AS contextual_surprisal,
+    round(pow(2, cs), 2) AS contextual_perplexity
+  FROM labelled l LEFT JOIN ent USING (doc_id) LEFT JOIN uni USING (doc_id) LEFT JOIN ctx USING (doc_id)
+    LEFT JOIN pmi ON pmi.doc_id = l.doc_id AND pmi.aspect = lower(l.aspect)"""
+
+
+def scored_rows(spark, sf):
+    rows = dense_index(C.labelled(spark, sf).drop("token_ids", "aspect_mask"), ["doc_id", "aspect"], "index", wide=True)
+    docs = _own_docs(spark, sf).withColumnRenamed("text", "raw_text")
+    out = I.scored_table(rows, docs, "doc_id")
+    cut = {"perplexity": 2, "contextual_perplexity": 2}
+    return out.select(
+        F.col("doc_id").cast("string").alias("Comment ID"),
+        *[c for c in I.REVIEW_COLUMNS[1:6]],
+        *[(F.round(c, cut.get(c, 5)) + 0.0).alias(c) for c in I.METRICS],
+    )
+
+
+@query("scored_table", SCORED)
+def scored_table(spark, sf):
+    return scored_rows(spark, sf)
+
+
+@query("review_rows", SCORED + " ORDER BY perplexity DESC")
+def review_rows(spark, sf):
+    return I.review_rows(scored_rows(spark, sf))
+
+
 @query("information_metrics", METRICS)
 def information_metrics(spark, sf):
     return _rounded(I.information_metrics(C.docs(spark, sf), C.ASPECTS))

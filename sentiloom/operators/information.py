@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentiloom.functions import text as X
-from sentiloom.operators.scale import dense_index, frequency_join
+from sentiloom.operators.scale import dense_index, frequency_join, stored
+from sentiloom.schemas import METRICS
 
 
 def bow(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,7 +95,7 @@ def unigram_lm(
     docs: DataFrame, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None
 ) -> DataFrame:
     """Mean −log2 p(word) under the corpus' own word counts, and 2 to it."""
-    counts = word_counts(docs, text) if counts is None else counts
+    counts = stored(word_counts(docs, text), "word-counts") if counts is None else counts
     total = counts.agg(F.sum("n")).scalar()
     rows = docs.select(key, F.explode(X.words(text)).alias("word"))
     bits = F.avg(F.log2(F.col("n").cast("double")))
@@ -176,29 +177,50 @@ def bigram_lm(
 
     Rows with a single word have no pair: their metrics are NULL.
     """
-    words = word_counts(docs, text) if words is None else words
-    pairs = pair_counts(docs, text) if pairs is None else pairs
+    words = stored(word_counts(docs, text), "word-counts") if words is None else words
+    pairs = stored(pair_counts(docs, text), "pair-counts") if pairs is None else pairs
     sums = _language_sums(docs, key, text, words, pairs)
     return sums.select(key, *_contextual(words, pairs))
 
 
+def _document_words(docs: DataFrame, text: str) -> DataFrame:
+    """``(word, _df)``: in how many rows a word occurs."""
+    words = docs.select(F.explode(F.array_distinct(X.words(text))).alias("word")).where(F.col("word").isNotNull())
+    return words.groupBy("word").agg(F.count("*").alias("_df"))
+
+
+def _pmi(held: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Mean PMI by (key, aspect) from rows ``(key, aspect, _others)`` that hold their aspect.
+
+    The words beside each held aspect are stored once, as are the document
+    counts: the texts are read twice.  The score is made once per distinct
+    (aspect, word) and then looked up.
+    """
+    joint = stored(held.select(key, "aspect", F.explode_outer("_others").alias("word")), "aspect-words")
+    frequency = stored(_document_words(docs, text), "document-counts")
+    n_docs = docs.agg(F.count("*")).scalar().cast("double")
+    own = joint.groupBy("aspect").agg(F.countDistinct(key).alias("_own"))
+    words = joint.where(F.col("word").isNotNull())
+    met = words.groupBy("aspect", "word").agg(F.count("*").alias("n"))
+    odds = n_docs * F.col("n") / (F.col("_own").cast("double") * F.col("_df"))
+    scores = stored(
+        met.join(frequency, "word").join(own, "aspect").select("aspect", "word", "n", F.log2(odds).alias("pmi")), "aspect-scores"
+    )
+    return (
+        frequency_join(words, scores, ["aspect", "word"])
+        .groupBy(key, "aspect")
+        .agg(F.avg("pmi").alias("mutual_information_score"))
+    )
+
+
 def aspect_pmi(
     docs: DataFrame, aspects: Sequence[str], key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Mean pointwise mutual information of an aspect word with the row's words.
 
-    Only rows that hold an aspect are paired, and only with that aspect.  The
-    score is made once per distinct (aspect, word) and then looked up.
+    Only rows that hold an aspect of the list are paired, and only with it.
     """
-    terms = list(dict.fromkeys(aspects))
-    n_docs = docs.agg(F.count("*")).scalar().cast("double")
-    df = (
-        docs.select(F.explode(F.array_distinct(X.words(text))).alias("word"))
-        .where(F.col("word").isNotNull())
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
-    listed = F.array(*[F.lit(t) for t in terms])
+    listed = F.array(*[F.lit(t) for t in dict.fromkeys(aspects)])
 
     def meetings(ws: Column) -> Column:
         return F.transform(
@@ -207,21 +229,37 @@ def aspect_pmi(
         )
 
     held = docs.select(key, F.inline(X.let(F.array_distinct(X.words(text)), meetings)))
-    joint = held.select(key, "aspect", F.explode("_others").alias("word")).where(
-        F.col("word").isNotNull()
-    )
-    own = held.groupBy("aspect").agg(F.count("*").alias("_own"))
-    met = joint.groupBy("aspect", "word").agg(F.count("*").alias("n"))
-    odds = n_docs * F.col("n") / (F.col("_own").cast("double") * F.col("_df"))
-    scores = (
-        met.join(df.select("word", F.col("n").alias("_df")), "word")
-        .join(F.broadcast(own), "aspect")  # one row per term
-        .select("aspect", "word", "n", F.log2(odds).alias("pmi"))
+    return _pmi(held, docs, key, text)
+
+
+def aspect_pmi_rows(
+    rows: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", aspect: str = "aspect"
+) -> DataFrame:
+    """The same for rows ``(key, aspect, text)`` that bring their own aspect.
+
+    ``docs`` is the corpus, a row per key, that words are counted in.  A row
+    whose aspect is no word of its text has no score; rows are one (key,
+    aspect) each.
+    """
+    words = rows.select(key, F.lower(aspect).alias("aspect"), F.array_distinct(X.words(text)).alias("_ws"))
+    held = words.where(F.array_contains("_ws", F.col("aspect"))).select(
+        key, "aspect", F.array_remove("_ws", F.col("aspect")).alias("_others")
     )
-    return (
-        frequency_join(joint, scores, ["aspect", "word"])
-        .groupBy(key, "aspect")
-        .agg(F.avg("pmi").alias("mutual_information_score"))
+    return _pmi(held.dropDuplicates([key, "aspect"]), docs, key, text)
+
+
+def _corpus_metrics(docs: DataFrame, key: str, text: str, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The six metrics that do not ask for an aspect, one row per key."""
+    sums = _language_sums(docs, key, text, words, pairs, with_entropy=True)
+    total = words.agg(F.sum("n")).scalar().cast("double")
+    some = F.col("tokens") > 0
+    bits = F.when(some, F.log2(total) - F.col("uni") / F.col("tokens"))
+    return sums.select(
+        key,
+        F.when(some, F.col("shannon_entropy")).alias("shannon_entropy"),
+        bits.alias("surprisal"),
+        F.pow(F.lit(2.0), bits).alias("perplexity"),
+        *_contextual(words, pairs),
     )
 
 
@@ -238,31 +276,32 @@ def information_metrics(
     ``words`` and ``pairs`` may be stored results of :func:`word_counts` and
     :func:`pair_counts`, so that a large corpus is counted once.
     """
-    words = word_counts(docs, text) if words is None else words
-    pairs = pair_counts(docs, text) if pairs is None else pairs
-    sums = _language_sums(docs, key, text, words, pairs, with_entropy=True)
-    total = words.agg(F.sum("n")).scalar().cast("double")
-    some = F.col("tokens") > 0
-    bits = F.when(some, F.log2(total) - F.col("uni") / F.col("tokens"))
-    corpus = sums.select(
-        key,
-        F.when(some, F.col("shannon_entropy")).alias("shannon_entropy"),
-        bits.alias("surprisal"),
-        F.pow(F.lit(2.0), bits).alias("perplexity"),
-        *_contextual(words, pairs),
-    )
-    out = corpus.join(aspect_pmi(docs, aspects, key, text), key, "left")
-    return out.select(
-        key,
-        "aspect",
-        "shannon_entropy",
-        "mutual_information_score",
-        "surprisal",
-        "perplexity",
-        "contextual_mutual_information_score",
-        "contextual_surprisal",
-        "contextual_perplexity",
-    )
+    words = stored(word_counts(docs, text), "word-counts") if words is None else words
+    pairs = stored(pair_counts(docs, text), "pair-counts") if pairs is None else pairs
+    corpus = _corpus_metrics(docs, key, text, words, pairs)
+    return corpus.join(aspect_pmi(docs, aspects, key, text), key, "left").select(key, "aspect", *METRICS)
+
+
+def scored_table(
+    rows: DataFrame,
+    docs: DataFrame,
+    key: str,
+    text: str = "raw_text",
+    aspect: str = "aspect",
+    words: DataFrame | None = None,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
+    """Labelled rows with their seven metrics; the row's own aspect counts.
+
+    ``docs`` has a row per key with the same text column; metrics of a text
+    are made once and joined to each of its rows.
+    """
+    words = stored(word_counts(docs, text), "word-counts") if words is None else words
+    pairs = stored(pair_counts(docs, text), "pair-counts") if pairs is None else pairs
+    corpus = _corpus_metrics(docs, key, text, words, pairs)
+    pmi = aspect_pmi_rows(rows.select(key, aspect, text), docs, key, text, aspect).withColumnRenamed("aspect", "_aspect")
+    out = rows.withColumn("_aspect", F.lower(aspect)).join(corpus, key, "left").join(pmi, [key, "_aspect"], "left")
+    return out.select(*rows.columns, *METRICS)
 
 
 # Sort columns of the review ranking, most important first.
@@ -276,6 +315,29 @@ RANKING = (
 )
 
 
+# What the ranking shows of a scored row, in this order.
+REVIEW_COLUMNS = (
+    "Comment ID",
+    "index",
+    "raw_text",
+    "aspect",
+    "implicitness",
+    "polarity",
+    "shannon_entropy",
+    "mutual_information_score",
+    "surprisal",
+    "perplexity",
+    "contextual_mutual_information_score",
+    "contextual_surprisal",
+    "contextual_perplexity",
+)
+
+
+def review_rows(scored: DataFrame, top: int | None = None) -> DataFrame:
+    """The thirteen columns of a scored table, ranked."""
+    return review_ranking(scored.select(*[F.col(f"`{c}`") for c in REVIEW_COLUMNS]), ["`Comment ID`", "index", "aspect"], top)
+
+
 def review_ranking(df: DataFrame, keys: Sequence[str], top: int | None = None) -> DataFrame:
     """Rows by decreasing metrics, ties by key; ``top`` turns it into a report."""
     ranked = df.orderBy(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add, or_
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,21 @@ HEAD_ROWS = 200_000
 SALTS = 16
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared checkpoint folder and go on from there.
+
+    Whatever reads it more than once does not repeat the work above it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(
     df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 ) -> bool:
     """Measure a table, reading at most ``rows + 1`` rows of it."""
-    if df.isLocal():
-        return len(df.take(rows + 1)) <= rows
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
     return seen["n"] <= rows and (seen["b"] or 0) <= size

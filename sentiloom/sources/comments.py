@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,29 +30,49 @@ def clean_id(value) -> F.Column:
     return F.regexp_replace(value, GUARD, "")
 
 
-def comment_schema(columns: list[str]) -> T.StructType:
+def comment_schema(columns: list[str], file: str = "") -> T.StructType:
     """The known schema with this header; unknown headers are refused."""
-    header = [c.lstrip("﻿") for c in columns]
+    header = [c.lstrip("\ufeff") for c in columns]
     for known in (schemas.COMMENTS, schemas.COMMENTS_SHORT):
         if header == known.fieldNames():
             return known
-    raise ValueError(f"unknown comment header: {header}")
+    raise ValueError(f"unknown comment header: {header} {file}".rstrip())
 
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The columns that the first line of each file names."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        "value",
+        F.monotonically_increasing_id().alias("place"),
+    )
+    start = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    return {unquote(r["file"]): next(csv.reader([r["line"]])) for r in start.collect()}
+
+
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
     """Comment rows as exported, plus a clean id, a timestamp and a verdict.
 
-    The schema follows the header.  A multi-line CSV file cannot be split, so
-    the scan scales with the number of files; land it as Parquet once.
+    The schema of a file follows its own header, so a folder may mix exports;
+    columns a file has not are NULL, an unknown header is refused with the
+    file's name.  A multi-line CSV file cannot be split, so the scan scales
+    with the number of files; land it as Parquet once.
     """
-    columns = spark.read.options(**CSV_OPTIONS).csv(path).columns
-    schema = comment_schema(columns)
-    raw = spark.read.schema(_with_corrupt(schema)).options(**CSV_OPTIONS).csv(path)
-    return prepare_comments(raw)
+    files: dict[tuple[str, ...], list[str]] = {}
+    for file, columns in sorted(headers(spark, path).items()):
+        files.setdefault(tuple(comment_schema(columns, file).fieldNames()), []).append(file)
+    parts = [
+        spark.read.schema(_with_corrupt(comment_schema(list(columns)))).options(**CSV_OPTIONS).csv(own)
+        for columns, own in sorted(files.items(), key=lambda x: -len(x[0]))
+    ]
+    if not parts:
+        return prepare_comments(spark.createDataFrame([], _with_corrupt(schemas.COMMENTS)))
+    return prepare_comments(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts))
 
 
 def prepare_comments(raw: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def test_every_header_is_checked(spark, tmp_path):
     export(tmp_path / "b.csv", RECORDS, bom=False)
     assert C.read_comments(spark, str(tmp_path)).count() == 14
     export(tmp_path / "c.csv", RECORDS, header=HEADER.replace("Username", "Nick"), bom=False)
-    with pytest.raises(Exception, match="CSV header does not conform to the schema"):
+    with pytest.raises(Exception, match="unknown comment header"):
         C.read_comments(spark, str(tmp_path)).collect()
 
 
@@ -95,12 +95,12 @@ def test_bundle_files(spark, tmp_path):
         assert [(r["text"], r["implicit"]) for r in back] == [(f"t{i}", i % 2) for i in range(5)]
 
 
-@pytest.mark.parametrize("limit, files", [(100, 1), (5, None)])
-def test_review_csv(spark, tmp_path, limit, files):
+@pytest.mark.parametrize("single, files", [(True, 1), (False, None)])
+def test_review_csv(spark, tmp_path, single, files):
     df = spark.range(50).select(F.col("id").alias("k"), F.array(F.col("id")).alias("a"), F.lit(' x "y",\nz ').alias("t"))
     path = str(tmp_path / "csv")
     for _ in range(2):
-        IO.write_review_csv(df.repartition(4), path, ["k"], limit)
+        IO.write_review_csv(df.repartition(4), path, ["k"], single)
     got = spark.read.schema("k bigint, a string, t string, sequential_id bigint").options(**C.CSV_OPTIONS).csv(path)
     assert all(r["k"] == r["sequential_id"] and r["a"] == f"[{r['k']}]" and r["t"] == ' x "y",\nz ' for r in got.collect())
     assert got.count() == 50
@@ -170,3 +170,26 @@ def test_replay_replaces_its_batch(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     INC.idempotent_append(df.union(spark.createDataFrame([("c", 1)], df.schema)), path, "k", 1)
     assert spark.read.parquet(path).count() == 4
+
+
+def test_folder_with_two_kinds_of_exports(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('﻿Comment ID,Comment\n"=""7""","one\nline, two"\n', encoding="utf-8")
+    header = ",".join(schemas.COMMENTS.fieldNames())
+    (tmp_path / "b c.csv").write_text(f'{header}\n"=""8""",,u,n,k,text,"31/03/2024, 21:28:15",3,No,0,No,h\n', encoding="utf-8")
+    got = {r["comment_key"]: r for r in C.read_comments(spark, str(tmp_path)).collect()}
+    assert set(got) == {"7", "8"} and all(r["reject_reason"] is None for r in got.values())
+    assert got["7"]["Comment"] == "one\nline, two" and got["7"]["Digg Count"] is None
+    assert got["8"]["Comment"] == "text" and got["8"]["Digg Count"] == 3
+    (tmp_path / "z.csv").write_text("x,y\n1,2\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="z.csv"):
+        C.read_comments(spark, str(tmp_path))
+
+
+def test_first_copy_is_the_same_in_every_run(spark):
+    rows = [("a", None, "x"), ("a", "2024-01-02 00:00:00", "y"), ("a", "2024-01-01 00:00:00", "z"), ("b", None, "p"), ("b", None, "q")]
+    df = spark.createDataFrame(rows, "comment_key string, t string, Comment string").withColumn("comment_time", F.col("t").cast("timestamp"))
+    got = [
+        {r["comment_key"]: (r["Comment"], r["_copies"]) for r in INC.first_copies(df.repartition(n), "comment_key").collect()}
+        for n in (1, 3, 5)
+    ]
+    assert got[0] == got[1] == got[2] and got[0]["a"] == ("z", 3) and got[0]["b"][1] == 2

@@ -301,18 +301,54 @@ def test_reasoning_join_equals_hop_by_hop(spark):
     for r in step.collect():
         for c in ("prompt_1", "prompt_2", "prompt_3", "prompt_4", "answer_4"):
             assert r[c] == whole[r["row_id"]][c]
-    assert whole[1]["answer_1"] == "a b" and whole[1]["predicted"] == 1
-    assert whole[2]["prompt_2"] is None and whole[2]["predicted"] == 0
-
-
-def test_dialog_history_chunks_hold_everything(spark):
-    turns = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(10)], "conv_id int, turn int, role string, text string")
-    got = H.dialog_history(turns, per_chunk=4).orderBy("turn").collect()
-    full = {}
-    for r in got:
-        full[r["chunk"]] = [m["text"] for m in r["history"]]
-        before = [m for c in sorted(full) if c < r["chunk"] for m in full[c]]
-        assert before + full[r["chunk"]] == [f"m{t}" for t in range(r["turn"] + 1)]
+    assert whole[1]["answer_1"] == "a\nb" and whole[1]["predicted"] == 1 and whole[1]["reject_reason"] is None
+    assert whole[2]["prompt_2"] is None and whole[2]["predicted"] is None
+    assert whole[2]["reject_reason"] == "no answer to hop 1"
+    chat = {r["row_id"]: r for r in H.reason(rws, answers, style="chat").collect()}
+    assert chat[1]["answer_1"] == "a b" and chat[2]["predicted"] is None
+
+
+def test_framed_contexts_lose_blanks_between_hops(spark):
+    rws = spark.createDataFrame([(1, "good food", " food<pad> ")], "row_id int, text string, target string")
+    answers = spark.createDataFrame([(1, 1, " taste </s>"), (1, 2, "nice\nindeed")], "row_id int, hop int, answer string")
+    got = H.reason(rws, answers).first()
+    assert got["prompt_2"].startswith('Given the sentence "good food", The mentioned aspect is about taste. Based on')
+    assert " of food, and why?" in got["prompt_2"]
+    assert " of food is nice\nindeed. Based on" in got["prompt_3"]
+
+
+def test_dialog_history_holds_every_message(spark):
+    turns = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(70)], "conv_id int, turn int, role string, text string")
+    got = {r["turn"]: [m["text"] for m in r["history"]] for r in H.dialog_history(turns.repartition(5)).collect()}
+    assert got == {t: [f"m{i}" for i in range(t + 1)] for t in range(70)}
+
+
+def test_aspects_of_lists_and_tables_agree(spark):
+    docs = spark.createDataFrame([(1, "workplace work"), (2, ""), (3, None)], "doc_id int, text string")
+    for terms in (["work", "work", "", "place work"], ["work", "place work", *[f"none{i}" for i in range(100)]]):
+        table = spark.createDataFrame([(t,) for t in terms], "aspect string")
+        both = [sorted(map(tuple, L.aspects_present(docs, x).collect())) for x in (terms, table)]
+        assert both == [[(1, "place work"), (1, "work")]] * 2
+
+
+def test_split_breaks_ties(spark):
+    rows = spark.createDataFrame([(i // 10, i) for i in range(60)], "k int, v int")
+    for n in (1, 15, 20, 60, 99):
+        assert S.split_last_n(rows, ["k"], n).where("split = 'valid'").count() == min(n, 60)
+
+
+def test_label_values_are_checked(spark):
+    expected = spark.createDataFrame([(i, 2) for i in range(4)], "batch_id int, expected_n int")
+    good = "{'polarity': 1, 'implicitness': 'True'}"
+    given = [
+        (0, f"[{good}, {good}]"),
+        (1, f"[{good}, {{'polarity': 7, 'implicitness': 'no'}}]"),
+        (2, f"[{good}, {{'polarity': 'bad', 'implicitness': 'maybe'}}]"),
+        (3, f"[{good}, {{'polarity': 0, 'implicitness': 'maybe'}}]"),
+    ]
+    answers = spark.createDataFrame(given, "batch_id int, response string")
+    got = {r["batch_id"]: r["reject_reason"] for r in J.check_response(expected, answers, labels=True).collect()}
+    assert got == {0: None, 1: "unknown polarity", 2: "unknown polarity", 3: "not a boolean"}
 
 
 def test_row_key_separates_neighbours(spark):

@@ -40,11 +40,9 @@ def test_topics_rank_by_weight_without_stop_words(spark):
         assert weights == sorted(weights, reverse=True)
 
 
-def test_model_vocabulary_is_refused_when_too_large(spark, monkeypatch):
-    monkeypatch.setattr(M, "MODEL_WORDS", 2)
-    docs = spark.createDataFrame([(0, "one two three")], "doc_id int, text string")
-    with pytest.raises(ValueError, match="3 words"):
-        M.word_vectors(docs)
+def test_topics_know_numbers(spark):
+    docs = spark.createDataFrame([(i, "model 4000 camera") for i in range(8)], "doc_id int, text string")
+    assert "4000" in {r["word"] for r in M.topics(docs, k=1, n_words=3, iterations=2).collect()}
 
 
 def test_infer_keeps_keys_and_checks_length(spark):
