@@ -1,26 +1,114 @@
-"""Queries: word vectors, topics, reduced embeddings (rows only)."""
+"""Queries: word vectors, topics, reduced embeddings.
+
+Their numbers are not SQL's, but what must hold of them is: the ``check_``
+queries state it and SQL says what is to come out.
+"""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from registry import common as C
+from sentiloom.functions import text as X
 from sentiloom.operators import models as M
 
 QUERIES, ORACLE, query = C.registry()
+K_NEAREST, K_TOPICS, N_WORDS, K_REDUCED = 10, 5, 5, 3
 
 
 @query("similar_words")
 def similar_words(spark, sf):
-    return M.similar_words(M.word_vectors(C.docs(spark, sf)), C.CONTEXT_ASPECT, 10)
+    return M.similar_words(M.word_vectors(C.docs(spark, sf)), C.CONTEXT_ASPECT, K_NEAREST)
 
 
 @query("topics")
 def topics(spark, sf):
-    return M.topics(C.docs(spark, sf))
+    return M.topics(C.docs(spark, sf), k=K_TOPICS, n_words=N_WORDS)
 
 
 @query("reduce_embeddings")
 def reduce_embeddings(spark, sf):
-    out = M.reduce_embeddings(C.table(spark, sf, "embeddings"))
-    return out.select("vec_id", "label", *[F.round(F.col("reduced")[i], 6).alias(f"pc{i + 1}") for i in range(3)])
+    out = M.reduce_embeddings(C.table(spark, sf, "embeddings"), k=K_REDUCED)
+    return out.select(
+        "vec_id", "label", *[F.round(F.col("reduced")[i], 6).alias(f"pc{i + 1}") for i in range(K_REDUCED)]
+    )
+
+
+@query(
+    "check_word_vectors",
+    f"SELECT unnest(range(1, {K_NEAREST + 1})) AS rank, TRUE AS is_cosine, TRUE AS in_corpus, TRUE AS nothing_nearer",
+)
+def check_word_vectors(spark, sf):
+    """The nearest words by the model are those of the cosines of its vectors."""
+    docs = C.docs(spark, sf)
+    model = M.word_vectors(docs)
+    vectors = model.getVectors().select("word", vector_to_array("vector").alias("v"))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    target = vectors.where(F.col("word") == C.CONTEXT_ASPECT).agg(F.first("v")).scalar()
+    dot = F.aggregate(F.zip_with("v", "t", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    cosines = (
+        vectors.where(F.col("word") != C.CONTEXT_ASPECT)
+        .withColumn("t", target)
+        .select("word", (dot / (length(F.col("v")) * length(F.col("t")))).alias("cosine"))
+    )
+    best = cosines.orderBy(F.desc("cosine")).limit(K_NEAREST)
+    least = best.agg(F.min("cosine")).scalar()
+    corpus = docs.select(F.explode(X.words("text")).alias("word")).distinct().withColumn("known", F.lit(True))
+    ranked = M.similar_words(model, C.CONTEXT_ASPECT, K_NEAREST).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "word")).cast("bigint")
+    )
+    return (
+        ranked.join(cosines, "word", "left")
+        .join(corpus, "word", "left")
+        .select(
+            "rank",
+            (F.abs(F.col("similarity") - F.col("cosine")) < 1e-4).alias("is_cosine"),
+            F.coalesce("known", F.lit(False)).alias("in_corpus"),
+            (F.col("cosine") > least - 1e-4).alias("nothing_nearer"),
+        )
+    )
+
+
+@query(
+    "check_topics",
+    f"""SELECT t.topic::INTEGER AS topic, r.rank::INTEGER AS rank, TRUE AS descending, TRUE AS in_corpus
+    FROM range({K_TOPICS}) t(topic), range({N_WORDS}) r(rank)""",
+)
+def check_topics(spark, sf):
+    """As many words for each topic as asked for, by weight, all from the texts."""
+    docs = C.docs(spark, sf)
+    corpus = docs.select(F.explode(X.alphanumerics("text")).alias("word")).distinct().withColumn("known", F.lit(True))
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    rows = M.topics(docs, k=K_TOPICS, n_words=N_WORDS).withColumn(
+        "descending", F.coalesce(before >= F.col("weight"), F.lit(True))
+    )
+    return rows.join(corpus, "word", "left").select(
+        "topic", "rank", "descending", F.coalesce("known", F.lit(False)).alias("in_corpus")
+    )
+
+
+@query(
+    "check_reduced",
+    "SELECT count(*) AS n, TRUE AS centred, TRUE AS uncorrelated, TRUE AS by_variance, TRUE AS within_input FROM embeddings",
+)
+def check_reduced(spark, sf):
+    """Means are zero, components uncorrelated, by variance, and hold no more of it than there is."""
+    table = C.table(spark, sf, "embeddings")
+    size = F.size("embedding")
+    entries = table.select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    total = entries.groupBy("i").agg(F.var_samp("x").alias("v")).agg(F.sum("v")).scalar()
+    out = M.reduce_embeddings(table.where(size > 0), k=K_REDUCED).select(*[F.col("reduced")[i].alias(f"p{i}") for i in range(K_REDUCED)])
+    names = out.columns
+    small = lambda c: F.abs(c) < 1e-6
+    pairs = [(a, b) for a in names for b in names if a < b]
+    variances = [F.var_samp(c) for c in names]
+    every = lambda conditions: F.least(*conditions) if len(conditions) > 1 else conditions[0]
+    return out.agg(
+        F.count("*").alias("n"),
+        every([small(F.avg(c)) for c in names]).alias("centred"),
+        every([small(F.corr(a, b)) for a, b in pairs]).alias("uncorrelated"),
+        every([variances[i] >= variances[i + 1] for i in range(len(names) - 1)]).alias("by_variance"),
+        (sum(variances[1:], variances[0]) <= total + 1e-9).alias("within_input"),
+    )
