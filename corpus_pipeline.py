@@ -18,7 +18,7 @@ SHARDS = 40
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go if they have no letter, or no language holds half of their words.
+    """Documents go if they have no letter, or no language holds three tenths of their words.
 
     Languages are learned from the documents that name one.
     """

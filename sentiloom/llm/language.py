@@ -196,7 +196,7 @@ def identify(
 
 
 def known_language(
-    df: DataFrame, model: Model, text: str = "text", least: float = 0.5, **options
+    df: DataFrame, model: Model, text: str = "text", least: float = 0.3, **options
 ) -> DataFrame:
     """The rows that have a language, one of them with at least ``least`` of the words."""
     found = identify(df, model, text, **options)
