@@ -69,11 +69,18 @@ def encode(spark, sf):
     return ids.select("doc_id", C.joined("token_ids").alias("token_ids"))
 
 
-@query("encode_by_frequency", ORACLE["encode"])
+@query(
+    "encode_by_frequency",
+    f"""WITH {C.SQL_WORDS}, v AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY word) AS id
+    FROM words GROUP BY word)
+    SELECT doc_id, string_agg(CASE WHEN n >= 2 AND word NOT IN ({C.sql_list(K.STOP_WORDS)}) THEN id ELSE 0 END::VARCHAR, ','
+      ORDER BY pos) AS token_ids FROM words JOIN v USING (word) GROUP BY doc_id""",
+)
 def encode_by_frequency(spark, sf):
-    """The same ids, with counts in the vocabulary."""
+    """By the tokens' counts; the vocabulary leaves out the most frequent words."""
     docs = C.docs(spark, sf)
     vocab = I.vocabulary(docs).where("n >= 2").select("word", "n", (F.col("id") + 1).alias("id"))
+    vocab = L.content_words(vocab)
     ids = S.encode(L.tokens(docs), vocab, "doc_id", 0)
     return ids.select("doc_id", C.joined("token_ids").alias("token_ids"))
 

@@ -15,7 +15,6 @@ from sentiloom.session import ensure_checkpoint_dir
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 HEAD_ROWS = 200_000
-SALTS = 16
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,22 +37,16 @@ def fits_broadcast(
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 
-def lookup_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join ``big`` to a table with one row per key.
 
-    A table measured as small is broadcast.  Any other is shuffled, with the
-    rows of ``big`` spread over ``salts`` copies of it, so that a key that
-    holds much of ``big`` is not one task's work.  The salt is a hash of the
-    row, hence the same when a task is run again.
+    A table measured as small is broadcast.  Any other is joined by a shuffle;
+    a key that holds much of ``big`` makes a partition that adaptive execution
+    splits by its bytes, as ``big`` is the side that may be split in inner,
+    left, semi and anti joins.  Where most rows have few keys, and their counts
+    are at hand, :func:`frequency_join` does not move these rows at all.
     """
-    if fits_broadcast(small):
-        return big.join(F.broadcast(small), on, how)
-    row = [F.col(f"`{c}`") for c in big.columns]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.join(F.broadcast(small) if fits_broadcast(small) else small, on, how)
 
 
 def head_cut(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentiloom import constants as K
 from sentiloom.functions import text as X
 from sentiloom.functions.arrays import aspect_mask, attention, pad
-from sentiloom.operators.scale import dense_index, frequency_join, lookup_join
+from sentiloom.operators.scale import dense_index, fits_broadcast, frequency_join, stored
 
 # Names of the training bundle and the columns they come from.
 BUNDLE_COLUMNS = {
@@ -274,16 +274,20 @@ def align_by_position(lists: DataFrame, keys: list[str], columns: list[str]) ->
 def encode(tokens: DataFrame, vocab: DataFrame, key: str, unk_id: int) -> DataFrame:
     """Token rows ``(key, pos, word)`` to one id array per key, in token order.
 
-    ``vocab`` is ``(word, id)``.  With the words' counts ``n`` in it, frequent
-    words are looked up without a shuffle however large the vocabulary is;
-    words it leaves out should then be rare ones.  Position and id travel as one long, and the ids of a row are put together
-    on the map side, so the shuffle carries one small array per row.
+    ``vocab`` is ``(word, id)``.  One that fits a broadcast needs no shuffle
+    of tokens.  For any other, or with a column ``n`` in it, the tokens' own
+    words are counted, with their ids or without: frequent words, known or
+    not, are looked up where they are, and only rare ones move.  Position and
+    id travel as one long, and the ids of a row are put together on the map
+    side, so the shuffle carries one small array per row.
     """
     rows = tokens.select(key, "pos", "word")
-    if "n" in vocab.columns:
-        found = frequency_join(rows, vocab.select("word", "id", "n"), ["word"])
+    ids = vocab.select("word", "id")
+    if "n" in vocab.columns or not fits_broadcast(ids):
+        seen = rows.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
+        found = frequency_join(rows, stored(seen.join(ids, "word", "left"), "token-counts"), ["word"])
     else:
-        found = lookup_join(rows, vocab.select("word", "id"), ["word"], "left")
+        found = rows.join(F.broadcast(ids), ["word"], "left")
     packed = F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(
         F.coalesce("id", F.lit(unk_id)).cast("bigint")
     )

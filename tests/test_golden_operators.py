@@ -179,7 +179,7 @@ def test_aspects_present_table_equals_list(spark, as_table):
     assert rows(L.aspects_present(docs, given)) == want
 
 
-def test_lookup_join_salted_equals_broadcast(spark, monkeypatch):
+def test_lookup_join_shuffled_equals_broadcast(spark, monkeypatch):
     big = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("word"))
     small = spark.createDataFrame([("hot", 1), ("1", 2), ("5", 3)], "word string, v int")
     for how in ("inner", "left", "left_anti", "left_semi"):
