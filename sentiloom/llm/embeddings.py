@@ -44,15 +44,12 @@ class Index:
         return float(np.sqrt(2 - 2 * self.threshold))
 
 
-def unit(vector: list[float] | None, size: int | None = None) -> np.ndarray | None:
-    """In double precision; None unless all numbers are finite and one is not zero."""
-    if vector is None or not len(vector) or (size is not None and len(vector) != size) or any(x is None for x in vector):
+def usable(vector: list[float] | None, size: int, kind: str) -> bytes | None:
+    """The vector's bytes; None unless all numbers are finite and one is not zero."""
+    if vector is None or len(vector) != size or any(x is None for x in vector):
         return None
-    v = np.array(vector, np.float64)
-    if not np.isfinite(v).all() or not v.any():
-        return None
-    v = v / np.abs(v).max()
-    return v / np.sqrt((v * v).sum())
+    v = np.array(vector, kind) + 0.0  # no negative zeros, so that equal vectors have equal bytes
+    return v.astype(kind).tobytes() if np.isfinite(v).all() and v.any() else None
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -155,13 +152,17 @@ def _forest(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> list[tuple[int, i
     return [(int(p), int(q)) for p, q in out if p != q]
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    """Vectors, sent as bytes of doubles."""
+def _unpack(column: pa.Array, kind: str) -> np.ndarray:
+    """Unit vectors in double precision, from the bytes of numbers as they were given."""
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 0))
+    if not raw:
+        return np.zeros((0, 0))
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
-def links(vectors: DataFrame, index: Index, block: int = BLOCK) -> DataFrame:
+def links(vectors: DataFrame, index: Index, kind: str = "<f8", block: int = BLOCK) -> DataFrame:
     """What comparisons find among distinct vectors ``(id, copies, vector)``.
 
     Rows ``(a, b, n)``: with a null ``b``, vector ``a`` has links to ``n``
@@ -177,7 +178,7 @@ def links(vectors: DataFrame, index: Index, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             ids, copies = batch.column(0), batch.column(1)
             for i in range(0, batch.num_rows, 2048):
-                x = _unpack(batch.column(2).slice(i, 2048))
+                x = _unpack(batch.column(2).slice(i, 2048), kind)
                 at = probes(x, shared.value)
                 own = _nearest(x, shared.value.centres)
                 at[np.arange(len(x)), own] = True
@@ -205,7 +206,7 @@ def links(vectors: DataFrame, index: Index, block: int = BLOCK) -> DataFrame:
     def meet(key, table):
         index, cell = shared.value, key[0].as_py()
         home = table.column("home").to_numpy()
-        ids, copies, x = table.column("id").to_numpy(), table.column("copies").to_numpy(), _unpack(table.column("vector"))
+        ids, copies, x = table.column("id").to_numpy(), table.column("copies").to_numpy(), _unpack(table.column("vector"), kind)
         out_a, out_b, out_n = [], [], []
         if home.any() and not home.all():
             a, b = ids[~home], ids[home]
@@ -224,7 +225,14 @@ def links(vectors: DataFrame, index: Index, block: int = BLOCK) -> DataFrame:
     return homes.union(visitors).groupBy("cell", "h", "v").applyInArrow(meet, "a long, b long, n long")
 
 
-def fit(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = None, deviations: float = DEVIATIONS, sample: int = SAMPLE) -> Index | None:
+def fit(
+    vectors: DataFrame,
+    kind: str = "<f8",
+    threshold: float = THRESHOLD,
+    lists: int | None = None,
+    deviations: float = DEVIATIONS,
+    sample: int = SAMPLE,
+) -> Index | None:
     """Centres and codes from about ``sample`` distinct vectors, chosen by their hash.
 
     The number of lists follows the square root of the number of vectors, as
@@ -235,9 +243,9 @@ def fit(vectors: DataFrame, threshold: float = THRESHOLD, lists: int | None = No
     if not n:
         return None
     share = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < max(1, int(min(1.0, sample / n) * (1 << 30)))
-    x = _unpack(vectors.where(share).select("vector").limit(2 * sample).toArrow().column("vector"))
+    x = _unpack(vectors.where(share).select("vector").limit(2 * sample).toArrow().column("vector"), kind)
     if not len(x):  # few vectors, and none of them by chance
-        x = _unpack(vectors.select("vector").limit(1).toArrow().column("vector"))
+        x = _unpack(vectors.select("vector").limit(1).toArrow().column("vector"), kind)
     x = x[np.lexsort(x.T)]
     wanted = lists or int(np.ceil(np.sqrt(n)))
     return train(x, max(1, min(wanted, len(x) // 16)), threshold, deviations)
@@ -264,15 +272,16 @@ def near_duplicates(
     linked with nothing.  An id must not be null; repeated ids are vectors of
     their own, linked if alike.
     """
-    ids = df.select(quoted(vec_id).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("vector"))
+    kind = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    numbers = "array<float>" if kind == "<f4" else "array<double>"
+    ids = df.select(quoted(vec_id).cast("long").alias("id"), quoted(vector).cast(numbers).alias("vector"))
     sizes = ids.where("size(vector) > 0").groupBy(F.size("vector").alias("size")).count()
     usual = sizes.orderBy(F.desc("count"), "size").first()
     usual = usual[0] if usual else 1
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [unit(v, usual) for v in batch.column(1).to_pylist()]
-            raw = [None if u is None else u.tobytes() for u in units]
+            raw = [usable(v, usual, kind) for v in batch.column(1).to_pylist()]
             keys = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(raw, pa.binary()), pa.array(keys, pa.binary())], names=["id", "vector", "key"]
@@ -282,13 +291,13 @@ def near_duplicates(
     valid = rows.where("key IS NOT NULL")
     same = valid.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     distinct = store(same.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    index = fit(distinct, threshold, lists, deviations)
+    index = fit(distinct, kind, threshold, lists, deviations)
     lone = rows.where("key IS NULL").select(
         F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
     )
     if index is None:
         return lone.withColumn("kept", F.lit(True))
-    found = store(links(distinct, index, block), "vector-links")
+    found = store(links(distinct, index, kind, block), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"), name="vector-components")
     known = (
