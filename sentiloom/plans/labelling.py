@@ -90,18 +90,28 @@ def check_response(expected: DataFrame, responses: DataFrame, labels: bool = Fal
     ).withColumn("ok", F.col("reject_reason").isNull())
 
 
-def _usable(expected: DataFrame, responses: DataFrame, labels: bool = False) -> DataFrame:
-    good = check_response(expected, responses, labels).where("ok").select("batch_id")
-    return responses.join(good, "batch_id", "left_semi")
+def _answered(rows: DataFrame, responses: DataFrame, entry: str, labels: bool = False) -> DataFrame:
+    """Rows of the batches whose answer passes, each with the batch's ``_entries``.
+
+    Rows are counted where they meet the answer of their batch, so they are
+    read once and need no table of expected lengths.
+    """
+    read = responses.select(
+        "batch_id",
+        R.parse("response", entry).alias("_entries"),
+        R.reject_reason("response").alias("_why"),
+        (label_reject("response") if labels else F.lit(None).cast("string")).alias("_value"),
+    )
+    counted = rows.withColumn("_expected", F.count("*").over(Window.partitionBy("batch_id")))
+    fits = F.col("_why").isNull() & F.col("_value").isNull() & (F.array_size("_entries") == F.col("_expected"))
+    return counted.join(read, "batch_id").where(fits).drop("_expected", "_why", "_value")
 
 
 def aspect_rows(batched: DataFrame, responses: DataFrame) -> DataFrame:
     """Rows of accepted batches, one per aspect, numbered within the batch."""
-    expected = batched.groupBy("batch_id").agg(F.count("*").alias("expected_n"))
-    listed = _usable(expected, responses).select(
-        "batch_id", F.posexplode(R.parse("response", R.ASPECT_ENTRY)).alias("pos", "e")
-    ).select("batch_id", F.col("pos").cast("bigint").alias("pos"), R.as_list("e.aspectTerm").alias("aspects"))
-    rows = shape.explode_aspects(batched.join(listed, ["batch_id", "pos"]), "aspects")
+    own = F.get("_entries", F.col("pos").cast("int"))
+    listed = _answered(batched, responses, R.ASPECT_ENTRY).withColumn("aspects", R.as_list(own["aspectTerm"]))
+    rows = shape.explode_aspects(listed.drop("_entries"), "aspects")
     # a batch is bounded by its size, so numbering inside it is too
     inside = Window.partitionBy("batch_id").orderBy("pos", "aspect_pos")
     return rows.withColumn("pair_no", F.row_number().over(inside) - 1)
@@ -109,16 +119,11 @@ def aspect_rows(batched: DataFrame, responses: DataFrame) -> DataFrame:
 
 def label_rows(pairs: DataFrame, responses: DataFrame) -> DataFrame:
     """Polarity and implicitness for each pair of an accepted batch."""
-    expected = pairs.groupBy("batch_id").agg(F.count("*").alias("expected_n"))
-    labels = _usable(expected, responses, True).select(
-        "batch_id", F.posexplode(R.parse("response", R.LABEL_ENTRY)).alias("pair_no", "e")
-    ).select(
-        "batch_id",
-        "pair_no",
-        R.parse_bool("e.implicitness").alias("implicitness"),
-        F.col("e.polarity").alias("polarity"),
+    own = F.get("_entries", F.col("pair_no").cast("int"))
+    found = _answered(pairs, responses, R.LABEL_ENTRY, True)
+    return found.select(
+        *pairs.columns, R.parse_bool(own["implicitness"]).alias("implicitness"), own["polarity"].alias("polarity")
     )
-    return pairs.join(labels, ["batch_id", "pair_no"])
 
 
 def rejected_batches(
