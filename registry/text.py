@@ -385,11 +385,10 @@ SCORED = f"""{OWN_DOCS}{UNIGRAM}, {BIGRAM}, {C.SQL_LABELLED}, {OWN_PMI},
 def scored_rows(spark, sf):
     rows = dense_index(C.labelled(spark, sf).drop("token_ids", "aspect_mask"), ["doc_id", "aspect"], "index", wide=True)
     docs = _own_docs(spark, sf).withColumnRenamed("text", "raw_text")
-    out = I.scored_table(rows, docs, "doc_id")
+    out = I.scored_table(rows, docs, "doc_id").withColumnRenamed("doc_id", "Comment ID")
     cut = {"perplexity": 2, "contextual_perplexity": 2}
-    return out.select(
-        F.col("doc_id").cast("string").alias("Comment ID"),
-        *[c for c in I.REVIEW_COLUMNS[1:6]],
+    return I.declared(out).select(
+        *[f"`{c}`" for c in I.REVIEW_COLUMNS[:6]],
         *[(F.round(c, cut.get(c, 5)) + 0.0).alias(c) for c in I.METRICS],
     )
 

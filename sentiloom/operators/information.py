@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentiloom.functions import text as X
 from sentiloom.operators.scale import dense_index, frequency_join, stored
-from sentiloom.schemas import METRICS
+from sentiloom.schemas import METRICS, SCORED
 
 
 def bow(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,7 +302,15 @@ def scored_table(
     corpus = _corpus_metrics(docs, key, text, words, pairs)
     pmi = aspect_pmi_rows(rows.select(key, aspect, text), docs, key, text, aspect).withColumnRenamed("aspect", "_aspect")
     out = rows.withColumn("_aspect", F.lower(aspect)).join(corpus, key, "left").join(pmi, [key, "_aspect"], "left")
-    return out.select(*rows.columns, *METRICS)
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *METRICS)
+
+
+def declared(df: DataFrame, schema: T.StructType = SCORED) -> DataFrame:
+    """The declared columns of a scored table, by name; what is absent is NULL."""
+    have = set(df.columns)
+    return df.select(
+        *[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 # Sort columns of the review ranking, most important first.

@@ -110,8 +110,12 @@ def reason(
 
 
 def trace_records(reasoned: DataFrame) -> DataFrame:
-    """Ten-line records of a reasoned table with label and implicit columns."""
+    """Ten-line records of a reasoned table with label and implicit columns.
+
+    The label's answer is stored in lower case.
+    """
     steps = [F.col(f"{kind}_{h}") for h in range(1, 5) for kind in ("prompt", "answer")]
+    steps[-1] = F.lower(steps[-1])
     return reasoned.select(
         R.trace_record(
             "text",

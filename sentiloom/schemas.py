@@ -4,48 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_S, _I, _L, _D, _B = (
-    T.StringType(),
-    T.IntegerType(),
-    T.LongType(),
-    T.DoubleType(),
-    T.BooleanType(),
-)
-_IDS = T.ArrayType(_I)
-
-
-def _struct(**columns: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n.replace("__", " "), t) for n, t in columns.items()])
-
-
-def _fields(names: str, kind: T.DataType) -> list[T.StructField]:
-    return [T.StructField(n.strip(), kind) for n in names.split(",")]
-
-
 # Header of the twelve-column comment export.
-COMMENTS = T.StructType(
-    _fields(
-        "Comment ID, Reply to Which Comment, User ID, Username, Nick Name,"
-        " Comment, Comment Time",
-        _S,
-    )
-    + _fields("Digg Count", _I)
-    + _fields("Author Digged", _S)
-    + _fields("Reply Count", _I)
-    + _fields("Pinned to Top, User Homepage", _S)
+COMMENTS = T.StructType.fromDDL(
+    """
+    `Comment ID` string,
+    `Reply to Which Comment` string,
+    `User ID` string,
+    `Username` string,
+    `Nick Name` string,
+    `Comment` string,
+    `Comment Time` string,
+    `Digg Count` int,
+    `Author Digged` string,
+    `Reply Count` int,
+    `Pinned to Top` string,
+    `User Homepage` string
+    """
 )
+
 # Header of the two-column development file.
-COMMENTS_SHORT = T.StructType(_fields("Comment ID, Comment", _S))
+COMMENTS_SHORT = T.StructType.fromDDL(
+    """
+    `Comment ID` string,
+    `Comment` string
+    """
+)
 
-LABELLED = T.StructType(
-    _fields("aspect", _S)
-    + _fields("aspect_mask, token_ids, token_type_ids, attention_mask", _IDS)
-    + _fields("implicitness", _B)
-    + _fields("polarity", _I)
-    + _fields("raw_text", _S)
+# Columns of stored labelled rows.
+LABELLED = T.StructType.fromDDL(
+    """
+    aspect string,
+    aspect_mask array<int>,
+    token_ids array<int>,
+    token_type_ids array<int>,
+    attention_mask array<int>,
+    implicitness boolean,
+    polarity int,
+    raw_text string
+    """
 )
 FINAL = T.StructType(COMMENTS.fields + LABELLED.fields)
 
+# Metric columns of the scored table.
 METRICS = (
     "shannon_entropy",
     "mutual_information_score",
@@ -55,49 +55,66 @@ METRICS = (
     "contextual_surprisal",
     "contextual_perplexity",
 )
+
+# What the scored table has after the comment's own columns.
 SCORED = T.StructType(
     COMMENTS.fields
-    + _fields("index", _L)
-    + _fields("aspect_mask, token_ids, token_type_ids, attention_mask", _IDS)
-    + _fields("raw_text, aspect", _S)
-    + _fields("implicitness", _B)
-    + _fields("polarity", _I)
-    + _fields(", ".join(METRICS), _D)
+    + T.StructType.fromDDL(
+        """
+        `index` bigint,
+        aspect_mask array<int>,
+        token_ids array<int>,
+        token_type_ids array<int>,
+        attention_mask array<int>,
+        raw_text string,
+        aspect string,
+        implicitness boolean,
+        polarity int
+        """
+    ).fields
+    + [T.StructField(name, T.DoubleType()) for name in METRICS]
 )
 
-BUNDLE = _struct(
-    raw_texts=T.ArrayType(_S),
-    raw_aspect_terms=T.ArrayType(_S),
-    bert_tokens=T.ArrayType(_IDS),
-    aspect_masks=T.ArrayType(_IDS),
-    implicits=T.ArrayType(_B),
-    labels=_IDS,
+# Lists of the training bundle.
+BUNDLE = T.StructType.fromDDL(
+    """
+    raw_texts array<string>,
+    raw_aspect_terms array<string>,
+    bert_tokens array<array<int>>,
+    aspect_masks array<array<int>>,
+    implicits array<boolean>,
+    labels array<int>
+    """
 )
-ANNOTATION = _struct(
-    doc_id=_L, sent_id=_I, tok_id=_I, text=_S, lemma=_S, upos=_S, head=_I, deprel=_S, ner=_S
-)
-TRACE = _struct(sentence=_S, target=_S, gold=_S, implicit=_I, predicted=_S)
-HISTORY = _struct(
-    idx=_I, mode=_S, Acc_SA=_D, F1_SA=_D, F1_ESA=_D, F1_ISA=_D, default=_D
+
+ANNOTATION = T.StructType.fromDDL(
+    """
+    doc_id bigint,
+    sent_id int,
+    tok_id int,
+    text string,
+    lemma string,
+    upos string,
+    head int,
+    deprel string,
+    ner string
+    """
 )
-ASPECT_XML = T.StructType(
-    [
-        T.StructField("_id", _S),
-        T.StructField("text", _S),
-        T.StructField(
-            "aspectTerms",
-            _struct(
-                aspectTerm=T.ArrayType(
-                    _struct(
-                        _term=_S,
-                        _polarity=_S,
-                        _from=_I,
-                        _to=_I,
-                        _implicit_sentiment=_S,
-                        _opinion_words=_S,
-                    )
-                )
-            ),
-        ),
-    ]
+
+# Attributes and elements of annotated sentences in XML.
+ASPECT_XML = T.StructType.fromDDL(
+    """
+    _id string,
+    text string,
+    aspectTerms struct<
+      aspectTerm: array<struct<
+        _term: string,
+        _polarity: string,
+        _from: int,
+        _to: int,
+        _implicit_sentiment: string,
+        _opinion_words: string
+      >>
+    >
+    """
 )
