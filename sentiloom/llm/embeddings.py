@@ -26,7 +26,7 @@ SAMPLE = 1 << 15
 SUBSPACES, CODES = 8, 32
 #: A neighbour's offset points along any one direction with a deviation of
 #: 1 / sqrt(dimensions); lists within so many deviations are probed.
-DEVIATIONS = 4.0
+DEVIATIONS = 3.0
 #: Vectors of a list or its visitors that one comparison holds.
 BLOCK = 2048
 
