@@ -24,9 +24,10 @@ THRESHOLD = 0.9
 #: Centres and codes are fitted on so many vectors, the first by a hash.
 SAMPLE = 1 << 15
 SUBSPACES, CODES = 8, 32
-#: A neighbour's offset points along any one direction with a deviation of
-#: 1 / sqrt(dimensions); lists within so many deviations are probed.
-DEVIATIONS = 3.0
+#: All lists that can hold a neighbour are probed.  A finite number probes those
+#: within so many deviations of an offset that is alike in all dimensions, and
+#: loses links where vectors have fewer dimensions than numbers.
+DEVIATIONS = float("inf")
 #: Vectors of a list or its visitors that one comparison holds.
 BLOCK = 2048
 
@@ -96,7 +97,8 @@ def probes(x: np.ndarray, index: Index) -> np.ndarray:
 
     A neighbour lies in a cell only if it crosses the plane halfway between
     the cell's centre and the vector's own; a cell is probed if that plane is
-    within ``deviations`` of the offsets a neighbour at the threshold has.
+    within the radius of the threshold, so that none is lost, or within
+    ``deviations`` if these are finite.
     """
     c = index.centres
     square = np.einsum("kd,kd->k", c, c)
@@ -105,7 +107,13 @@ def probes(x: np.ndarray, index: Index) -> np.ndarray:
     apart = np.sqrt(np.maximum(square[own][:, None] + square[None, :] - 2 * c[own] @ c.T, 0))
     reach = index.radius * min(1.0, index.deviations / np.sqrt(x.shape[1]))
     ahead = far - far[np.arange(len(x)), own][:, None]
-    return ahead <= 2 * reach * apart
+    return ahead <= 2 * reach * apart + 1e-9
+
+
+def hosts(own: np.ndarray, lists: int) -> np.ndarray:
+    """Of two lists one receives the other's vectors: which (columns) receive those of ``own`` (rows)."""
+    cell = np.arange(lists)[None, :]
+    return (cell == own[:, None]) | (((cell + own[:, None]) % 2 == 0) == (cell > own[:, None]))
 
 
 def compare(x: np.ndarray, y: np.ndarray, codes: np.ndarray, off: np.ndarray, cell: int, index: Index) -> np.ndarray:
@@ -168,8 +176,10 @@ def links(vectors: DataFrame, index: Index, kind: str = "<f8", block: int = BLOC
     Rows ``(a, b, n)``: with a null ``b``, vector ``a`` has links to ``n``
     vectors, copies counted, in one comparison; else a link, as many as keep
     each comparison's components together.  Every vector is in one list and
-    visits all that :func:`probes` names.  Lists and visitors are dealt into
-    blocks by their counts, so that no comparison grows with a list.
+    visits those that :func:`probes` and :func:`hosts` name; a link between two
+    lists is found in one of them and counted for both its ends.  Lists and
+    visitors are dealt into blocks by their counts, so that no comparison grows
+    with a list.
     """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(index)
@@ -182,6 +192,7 @@ def links(vectors: DataFrame, index: Index, kind: str = "<f8", block: int = BLOC
                 at = probes(x, shared.value)
                 own = _nearest(x, shared.value.centres)
                 at[np.arange(len(x)), own] = True
+                at &= hosts(own, at.shape[1])
                 row, cell = np.nonzero(at)
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
@@ -200,8 +211,12 @@ def links(vectors: DataFrame, index: Index, kind: str = "<f8", block: int = BLOC
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["cell", "id", "copies", "vector"]
-    homes = dealt.where("home").select(*columns, F.lit(True).alias("home"), spread("homes").alias("h"), every("visits").alias("v"))
-    visitors = dealt.select(*columns, F.lit(False).alias("home"), every("homes").alias("h"), spread("visits").alias("v"))
+    homes = dealt.where("home").select(
+        *columns, F.lit(True).alias("home"), F.lit(False).alias("guest"), spread("homes").alias("h"), every("visits").alias("v")
+    )
+    visitors = dealt.select(
+        *columns, F.lit(False).alias("home"), (~F.col("home")).alias("guest"), every("homes").alias("h"), spread("visits").alias("v")
+    )
 
     def meet(key, table):
         index, cell = shared.value, key[0].as_py()
@@ -214,10 +229,11 @@ def links(vectors: DataFrame, index: Index, kind: str = "<f8", block: int = BLOC
             codes, off = encode(near_to, np.full(len(b), cell), index)
             near = compare(x[~home], near_to, codes, off, cell, index)
             near[a[:, None] == b[None, :]] = False
-            n = near @ copies[home].astype(np.float64)
+            guest = table.column("guest").to_numpy()[~home]
+            n = np.concatenate([near @ copies[home].astype(np.float64), copies[~home][guest].astype(np.float64) @ near[guest]])
             some = np.flatnonzero(n)
             pairs = _forest(a, b, near)
-            out_a = [*a[some].tolist(), *(p for p, _ in pairs)]
+            out_a = [*np.concatenate([a, b])[some].tolist(), *(p for p, _ in pairs)]
             out_b = [*[None] * len(some), *(q for _, q in pairs)]
             out_n = [*n[some].astype(np.int64).tolist(), *[0] * len(pairs)]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "n": pa.array(out_n, pa.int64())})

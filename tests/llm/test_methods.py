@@ -257,6 +257,27 @@ def test_embeddings_are_brute_force(spark):
     assert sum(r["n_links"] for r in usual) >= 0.99 * near.sum()
 
 
+@pytest.mark.parametrize("rank, size", [(6, 64), (16, 256)])
+def test_embeddings_of_low_rank_lose_no_link(spark, rank, size):
+    rng = np.random.default_rng(rank)
+    low = rng.normal(size=(1200, rank))
+    low /= np.linalg.norm(low, axis=1, keepdims=True)
+    aside = rng.normal(size=(600, rank))
+    aside -= (aside * low[:600]).sum(axis=1, keepdims=True) * low[:600]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    low[600:] = 0.905 * low[:600] + (1 - 0.905**2) ** 0.5 * aside  # partners at the edge of the threshold
+    turned = low @ np.linalg.qr(rng.normal(size=(size, rank)))[0].T
+    padded = np.zeros((1200, size))
+    padded[:, :rank] = low
+    for x in (turned, padded):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        near = x @ x.T >= 0.9 * np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+        np.fill_diagonal(near, False)
+        roots = unite(range(1200), [(int(a), int(b)) for a, b in np.argwhere(np.triu(near))])
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(near[i].sum()), roots[i]) for i in range(1200)}
+
+
 def test_shards_are_balanced_and_hot_groups_cut(spark):
     rng = random.Random(1)
     rows = [(i, "copy of one text " * 20 if i % 3 == 0 else "w " * rng.randint(1, 400) + str(i)) for i in range(6000)]
