@@ -176,8 +176,9 @@ def candidates(kept: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _mean(pairs: DataFrame, by: str, prior: float, *more) -> DataFrame:
-    """The mean of each score, by the number of occurrences, towards zero by ``prior``."""
-    means = [(F.sum(F.col("n") * F.col(f"s{k}")) / (F.sum("n") + prior)).alias(f"s{k}") for k in range(len(KINDS))]
+    """The mean of each score there is, by the number of occurrences, towards zero by ``prior``."""
+    counted = F.sum(F.when(F.col("s0").isNotNull(), F.col("n"))) + prior
+    means = [(F.sum(F.col("n") * F.col(f"s{k}")) / counted).alias(f"s{k}") for k in range(len(KINDS))]
     return pairs.groupBy(by).agg(*means, *more)
 
 
@@ -186,8 +187,10 @@ def bootstrap(tokens: DataFrame, rounds: int = 3, support: int = 3, prior: float
 
     A pattern's confidence in a kind is the mean score of what it precedes,
     zero unless ``support`` different values with a score do; a value's score
-    is the mean confidence of the patterns before it.  Seeds keep score one,
-    values that failed a check count against every kind.
+    is the mean confidence of the patterns before it.  A pattern that fewer
+    than ``support`` values speak for or against, with a score, as seeds or as
+    failures of a check, says nothing and is left out of the mean.  Seeds keep
+    score one, values that failed a check count against every kind.
     """
     scores = [f"s{k}" for k in range(len(KINDS))]
     links = store(
@@ -203,8 +206,10 @@ def bootstrap(tokens: DataFrame, rounds: int = 3, support: int = 3, prior: float
     now = values
     for _ in range(rounds):
         some = F.count(F.when(F.greatest(*scores) > 0, F.lit(1))).alias("some")
-        patterns = _mean(links.join(now, "value"), "pattern", prior, some).where(F.col("some") >= support).drop("some")
-        heard = _mean(links.join(open_, "value").join(patterns, "pattern", "left").na.fill(0.0, scores), "value", 0.0)
+        sure = F.count(F.when((F.greatest(*scores) > 0) | F.col("fixed"), F.lit(1))).alias("sure")
+        enough = [F.when(F.col("some") >= support, F.col(s)).otherwise(0.0).alias(s) for s in scores]
+        patterns = _mean(links.join(now, "value"), "pattern", prior, some, sure).where(F.col("sure") >= support).select("pattern", *enough)
+        heard = _mean(links.join(open_, "value").join(patterns, "pattern", "left"), "value", 0.0).na.fill(0.0, scores)
         now = store(fixed.unionByName(heard.withColumn("fixed", F.lit(False))), "values")
     return now.where("not fixed").select("value", *scores)
 

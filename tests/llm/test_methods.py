@@ -193,6 +193,22 @@ def test_contexts_discover_identifiers(spark):
     assert got[101]["found"] == [] and all(got[i]["found"] == [] for i in range(8))
 
 
+def test_sure_cues_after_varied_words(spark):
+    rows = [(i, f"w{chr(97 + i)} phone: +1 (30{i % 10}) 555-01{10 + i} x{chr(97 + i)} card: 4111-1111-1111-{2000 + i}") for i in range(20)]
+    rows += [(100, "never phone: 0049-30-5550199 seen"), (101, "never card: 0049-30-5550188 seen"), (102, "wa part: 0049-30-5550177")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[100]["found"]] == [(3, 13, 28)]
+    assert got[101]["found"] == got[102]["found"] == [] and all(got[i]["found"] == [] for i in range(20))
+
+
+def test_patterns_of_failures_are_heard(spark):
+    known = [(f"v{i}", f"{w} no:", 3 if i < 30 else None, i >= 30) for i in range(33) for w in [chr(97 + i) if i < 30 else "part"]]
+    tokens = [(v, ["no:", p], seed, refused) for v, p, seed, refused in known] + [("new", ["no:", "odd no:"], None, False), ("part", ["no:", "part no:"], None, False)]
+    df = spark.createDataFrame(tokens, "value string, patterns array<string>, seed int, refused boolean")
+    got = {r["value"]: r["s3"] for r in pii.bootstrap(df).collect()}
+    assert set(got) == {"new", "part"} and got["new"] >= 0.8 and got["part"] < 0.5
+
+
 # --- licenses, benchmark, urls ------------------------------------------------
 
 
