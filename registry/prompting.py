@@ -316,31 +316,28 @@ def one_line(spark, sf):
 def reasoning_inputs(spark, sf):
     turns = C.table(spark, sf, "conversations")
     n = F.length("text")
-    number = F.col("conv_id") * 1000 + F.col("turn")
     rows = turns.where(F.col("role") == "user").select(
-        number.alias("row_id"),
-        "conv_id",
-        "turn",
+        F.struct("conv_id", "turn").alias("row_id"),
         "text",
         F.concat(F.lit(" conversation "), F.col("conv_id").cast("string"), F.lit(" <pad>")).alias("target"),
         F.when(n > 300, 0).when(n > 100, 1).otherwise(2).alias("label"),
         F.contains("text", F.lit("\n")).cast("int").alias("implicit"),
     )
-    said = turns.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("said"))
-    size = F.length("said")
+    said = turns.where((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    size = F.length("text")
     verdict = F.when(size > 700, "It is Negative.").when(size > 300, "</s>neutral<pad>").otherwise("positive")
-    answers = (
-        rows.select("row_id", "conv_id", "turn")
-        .join(said, "conv_id")
-        .withColumn("gap", F.col("at") - F.col("turn"))
-        .where(F.col("gap").isin(1, 3, 5, 7))
-        .select(
-            "row_id",
-            ((F.col("gap") + 1) / 2).cast("int").alias("hop"),
-            F.when(F.col("gap") == 7, verdict).otherwise(F.col("said")).alias("answer"),
-        )
+    gaps = F.explode(F.array(*[F.lit(g) for g in (1, 3, 5, 7)]))
+    answers = said.select("conv_id", "turn", "text", gaps.alias("gap")).select(
+        F.struct("conv_id", (F.col("turn") - F.col("gap")).alias("turn")).alias("row_id"),
+        ((F.col("gap") + 1) / 2).cast("int").alias("hop"),
+        F.when(F.col("gap") == 7, verdict).otherwise(F.col("text")).alias("answer"),
     )
-    return rows.drop("conv_id", "turn"), answers
+    return rows, answers
+
+
+def numbered(df):
+    """The number that the results show; rows meet by conversation and turn."""
+    return df.withColumn("row_id", F.col("row_id.conv_id") * 1000 + F.col("row_id.turn"))
 
 
 def _clean(text: str, style: str) -> str:
@@ -408,17 +405,17 @@ HOP_COLUMNS = (
 )
 def next_hop(spark, sf):
     rows, answers = reasoning_inputs(spark, sf)
-    return H.next_hop(H.first_hop(rows), answers, 1).select("row_id", "context", "answer_1", "prompt_2")
+    return numbered(H.next_hop(H.first_hop(rows), answers, 1)).select("row_id", "context", "answer_1", "prompt_2")
 
 
 @query("reason_three_hop", f"WITH {_sql_hops('framed')} SELECT {', '.join(HOP_COLUMNS)} FROM hops")
 def reason_three_hop(spark, sf):
-    return H.reason(*reasoning_inputs(spark, sf)).select(*HOP_COLUMNS)
+    return numbered(H.reason(*reasoning_inputs(spark, sf))).select(*HOP_COLUMNS)
 
 
 @query("reason_chat", f"WITH {_sql_hops('chat')} SELECT {', '.join(HOP_COLUMNS)} FROM hops")
 def reason_chat(spark, sf):
-    return H.reason(*reasoning_inputs(spark, sf), style="chat").select(*HOP_COLUMNS)
+    return numbered(H.reason(*reasoning_inputs(spark, sf), style="chat")).select(*HOP_COLUMNS)
 
 
 @query(
@@ -430,7 +427,7 @@ def reason_chat(spark, sf):
     FROM t WHERE text IS NOT NULL""",
 )
 def conversation(spark, sf):
-    return H.conversation(H.reason(*reasoning_inputs(spark, sf), style="chat"))
+    return numbered(H.conversation(H.reason(*reasoning_inputs(spark, sf), style="chat")))
 
 
 NAMES = "['positive', 'negative', 'neutral']"
