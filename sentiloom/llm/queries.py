@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentiloom.llm import decontaminate, embeddings, language, licenses, mixing, pii, quality, shards, simhash, urls
+from sentiloom.llm import (
+    centroids,
+    decontaminate,
+    embeddings,
+    language,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    shards,
+    simhash,
+    urls,
+)
 
 QUERIES, ORACLE = {}, {}
 
@@ -244,3 +256,37 @@ def op6(spark, sf):
     return urls.judged(pages, URL_RULES).select(
         "row.page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity")
     )
+
+
+def op13_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after the other: cells ``(c, i, v)`` of centroids, vectors ``(r, c, d)``."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""dist{r} AS MATERIALIZED (SELECT r, c, sum((q.v - m.v) * (q.v - m.v)) AS d FROM q JOIN cent{r} m USING (i) GROUP BY r, c),
+near{r} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM dist{r} GROUP BY r)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""sum{r} AS MATERIALIZED (SELECT c, i, sum(v) AS s, count(*)::HUGEINT AS n FROM near{r} JOIN q USING (r) GROUP BY c, i),
+cent{r + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN v ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS v FROM cent{r} LEFT JOIN sum{r} USING (c, i))"""
+            )
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+q AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(e)::HUGEINT AS v FROM kept),
+first AS (SELECT e, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, e) - 1 AS c FROM kept
+  QUALIFY c < {k}),
+cent0 AS MATERIALIZED (SELECT c, unnest(range(64)) AS i, unnest(e) AS v FROM first),
+{", ".join(steps)},
+marks AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS mark FROM cent{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, mark AS centroid_sha256 FROM near{rounds} JOIN kept USING (r) JOIN marks USING (c)
+"""
+
+
+@query("op13_centroid_tables", op13_sql())
+def op13(spark, sf):
+    return centroids.clustered(table(spark, sf, "embeddings").select("vec_id", "embedding")).select(
+        "row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
