@@ -14,6 +14,7 @@ from sentiloom.llm import (
     mixing,
     pii,
     quality,
+    secrets,
     shards,
     simhash,
     urls,
@@ -258,6 +259,22 @@ def op6(spark, sf):
     )
 
 
+@query("op12_credential_grammar")
+def op12(spark, sf):
+    found = secrets.find(table(spark, sf, "documents").select("doc_id", "text"))
+    number = [
+        F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)
+    ]
+    spans = F.transform("found", lambda s: F.struct(s["kind"], s["start"], s["end"]))
+    return found.select(
+        "row.doc_id",
+        *number,
+        F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
+        secrets.digest(F.concat("base", spans)).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+    )
+
+
 def op13_sql(k: int = 8, rounds: int = 10) -> str:
     """The rounds one after the other: cells ``(c, i, v)`` of centroids, vectors ``(r, c, d)``."""
     steps = []
