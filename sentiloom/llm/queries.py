@@ -17,6 +17,7 @@ from sentiloom.llm import (
     secrets,
     shards,
     simhash,
+    tries,
     urls,
 )
 
@@ -259,6 +260,45 @@ def op6(spark, sf):
     )
 
 
+OP11_SQL = """
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, unhex(md5(length(role) || ':' || role || text))) AS t
+  FROM own GROUP BY conv_id),
+crc AS (SELECT range AS v FROM range(256)),
+polynomial AS (SELECT v AS byte, list_reduce(list_prepend(v, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS entry FROM crc),
+lookup AS (SELECT list(entry ORDER BY byte) AS entries FROM polynomial),
+heads AS (SELECT conv_id, t, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: xor(c // 256, entries[xor(c % 256, b) + 1])), 4294967295) % 6 AS h FROM lists, lookup),
+built AS (SELECT a.conv_id, list_concat(coalesce(b.t, [])[1:a.h], a.t[a.h + 1:]) AS t FROM heads a LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 100),
+walks AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS depth FROM built),
+nodes AS (SELECT t[1:depth] AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN len(t) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+    CASE WHEN depth > 0 THEN length(any_value(t[depth].text)) ELSE 0 END AS cp FROM walks GROUP BY key, depth),
+kids AS (SELECT key[1:depth - 1] AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+above AS (SELECT unnest(range(0, depth + 1)) AS d, key, n_children, n_convs, cp FROM full_nodes),
+sums AS (SELECT key[1:d] AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * cp) AS saved FROM above GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s USING (key) LEFT JOIN nodes p ON n.depth > 0 AND p.key = n.key[1:n.depth - 1]
+"""
+
+
+@query("op11_prefix_radix_tree", OP11_SQL)
+def op11(spark, sf):
+    nodes, ends = tries.prefix_tree(table(spark, sf, "conversations"))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.join(tries.digests(ends), ["k1", "k2"], "left").select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        F.coalesce("ends_sha256", none).alias("ends_sha256"),
+    )
+
+
 @query("op12_credential_grammar")
 def op12(spark, sf):
     found = secrets.find(table(spark, sf, "documents").select("doc_id", "text"))

@@ -156,7 +156,7 @@ def found(text: str, known: list, score: dict[str, tuple[int, float]]) -> list[t
     return [(score[t][0], a, b, score[t][1]) for a, b, t in candidates(text, known) if t in score]
 
 
-def find(df: DataFrame, text: str = "text", least: float = 0.999, model: Model | None = None) -> DataFrame:
+def find(df: DataFrame, text: str = "text", least: float = 0.99999, model: Model | None = None) -> DataFrame:
     """Each row as ``row``, its ``base`` spans and the ``found`` ones.
 
     ``base`` are ``(kind, start, end)`` in code points, ends exclusive, by start,
