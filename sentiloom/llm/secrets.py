@@ -133,6 +133,11 @@ class Model:
         return np.array(self.kinds)[best], total[0] - total[1]
 
 
+def least(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest marks, cut by executors: the filter keeps the cut from the driver."""
+    return rows.orderBy("mark", "token").limit(n).where("token IS NOT NULL")
+
+
 def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE, alpha: float = 0.05) -> Model | None:
     """Automata from what the patterns find and from other tokens; ``None`` without enough of them.
 
@@ -142,7 +147,7 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE, alpha: float =
     stored = gathered(df, text, sample)
     totals = {r["kind"]: r["n"] for r in stored.where("token IS NULL").collect()}
     strings = [
-        [r["token"] for r in stored.where((F.col("kind") == k) & F.col("token").isNotNull()).orderBy("mark", "token").limit(sample).collect()]
+        [r["token"] for r in least(stored.where((F.col("kind") == k) & F.col("token").isNotNull()), sample).collect()]
         for k in range(NUMBER + 1)
     ]
     kinds = [k for k in range(NUMBER + 1) if len(strings[k]) >= (SUPPORT if k < WORD else 1)]
