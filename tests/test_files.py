@@ -1,5 +1,7 @@
 """Sources, sinks and streams over synthetic files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,34 @@ def test_comment_export(spark, tmp_path):
     assert good.count() == 5 and bad.count() == 2 and "reject_reason" not in good.columns
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_export_read_by_many_tasks(spark, tmp_path, end):
+    """Splits that begin anywhere in records, against the reader that takes a file whole."""
+    rng = random.Random(5)
+    pieces = ["word ", "a, b", '"', '""', end, f"{end}{end}", 'x"y', "é😀", '",', f'{end}"', ""]
+    comments = ["".join(rng.choices(pieces, k=rng.choice([0, 1, 3, 9]))) for _ in range(900)] + [f"long{end}" * 4000, f'"{end},"' * 3000]
+    records = [line(i, c) for i, c in enumerate(comments)]
+    records[10:10] = ["", '1,,,,,5" screen,,1,,,,', "odd record", "2,,,,,b\"c\"d,,1,,,,"]
+    for name, part in (("a.csv", records), ("b.csv", records[:3]), ("c.csv", [])):
+        (tmp_path / name).write_bytes(("\ufeff" + end.join([HEADER, *part]) + end).encode())
+    whole = C.prepare_comments(spark.read.schema(C._with_corrupt(schemas.COMMENTS)).options(**C.CSV_OPTIONS).csv(str(tmp_path)))
+    want = sorted(map(repr, whole.collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = C.read_comments(spark, str(tmp_path))
+        assert C._lines(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+        assert sorted(map(repr, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_end_inside_quotes():
+    cases = {'a,"b': (True, False), 'a ""b': (False, True), 'b",c': (False, False), "plain": (False, True), 'a,"b ""c"" d",e': (False, False), '5" screen,x': (False, False)}
+    for text, (out, inside) in cases.items():
+        assert C.inside_after(text, False) == out and C.inside_after(text, True) == inside, text
+
+
 def test_short_export_and_unknown_header(spark, tmp_path):
     (tmp_path / "dev.csv").write_text("Comment ID,Comment\n1,hello\n2,you\n")
     df = C.read_comments(spark, str(tmp_path / "dev.csv"))
