@@ -1,35 +1,72 @@
-"""Incremental labelling: only what is new, and a replay repeats nothing."""
+"""Incremental labelling: only what is new, and a replay repeats nothing.
+
+Which keys were seen is the state of a streaming query, kept by RocksDB and
+partitioned by key.  A batch reads its own rows and looks up its own keys; what
+the sink holds is never read again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-from sentiloom.operators.shape import processed_keys
 from sentiloom.sources.comments import CSV_OPTIONS, _with_corrupt, prepare_comments
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB; it need not fit in memory."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def with_seen(rows: DataFrame, key: str, good: F.Column) -> DataFrame:
+    """Streamed rows with ``_seen``: did an earlier batch of this query hold the key?
+
+    All rows of a key in its first batch are new.  Rows that are not ``good``,
+    or have no key, are never seen and make none so.  Keys are remembered for
+    ever, some tens of bytes each on the executors' disks and in the query's
+    checkpoint; who wants to forget them starts a new checkpoint.
+    """
+    own = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("_seen", T.BooleanType())])
+    counts = F.coalesce(good & F.col(key).isNotNull(), F.lit(False))
+    grouped = rows.withColumns({"_counts": counts, "_spread": F.when(~counts, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))})
+
+    def mark(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.exists
+        for part in parts:
+            yield part[own].assign(_seen=seen)
+        if group[1]:
+            state.update((True,))
 
+    return grouped.groupBy(key, "_counts", "_spread").applyInPandasWithState(mark, schema, "known boolean", "append", GroupStateTimeout.NoTimeout)
 
-def not_stored(df: DataFrame, path: str, key: str, batch_id: int) -> DataFrame:
-    """Rows whose key no other batch has stored; only the key column is read."""
-    keyed = df.where(F.col(key).isNotNull())
-    stored = _stored(df.sparkSession, path)
-    if stored is None:
-        return keyed
-    others = stored.where(F.col("batch_id") != batch_id)
-    return keyed.join(processed_keys(others, key), key, "left_anti")
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def first_copies(df: DataFrame, key: str, time: str = "comment_time") -> DataFrame:
@@ -51,12 +88,37 @@ def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def idempotent_append(df: DataFrame, path: str, key: str, batch_id: int) -> None:
-    """Add rows whose key is not stored yet, as the files of this batch.
-
-    A batch owns the directory ``batch_id=…`` and replaces it, so a batch that
-    is run again after a failure leaves the same rows, not twice as many.
+    """Add rows whose key no other batch has stored, as the files of this batch.
+
+    The rows of a batch are laid down once below ``_inbox``; a query that
+    resumes from ``_state`` takes up what lies there and writes each batch's
+    new rows to ``batch_id=…``.  A batch that is run again, also after a failure
+    at any point, adds nothing twice: laid down, it is not taken again, and a
+    query that died repeats its last step on the same files.  Rows without a
+    key are left out.  Only what came through here is known: a sink written
+    otherwise has no state.
     """
-    replace_batch(not_stored(df, path, key, batch_id), path, batch_id)
+    spark = df.sparkSession
+    inbox = f"{path}/_inbox"
+    own = f"{inbox}/batch_id={batch_id}"
+    if not _exists(spark, f"{own}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(own)
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema.fields], T.StructField("batch_id", T.IntegerType())])
+
+    def add(batch: DataFrame, _: int) -> None:
+        new = batch.where(~F.col("_seen") & F.col(key).isNotNull()).drop("_seen")
+        # after a failure several batches may be taken up together; the first of them has the key
+        first = F.min("batch_id").over(Window.partitionBy(key))
+        new = new.withColumn("_first", first).where("batch_id = _first").drop("_first")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    with _rocksdb(spark):
+        rows = spark.readStream.schema(schema).parquet(inbox)
+        _run(with_seen(rows, key, F.lit(True)), f"{path}/_state", add)
+
+
+def _run(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
+    rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
 def stream_label(
@@ -71,32 +133,26 @@ def stream_label(
 ) -> None:
     """Label every comment file that has not been read before, then stop.
 
-    The stream's checkpoint remembers the files; the sink remembers the keys,
-    which also covers a comment that is exported again in a later file.
-    ``label`` turns prepared comments into rows that still carry ``key``.
+    The stream's checkpoint remembers the files and the keys, which also covers
+    a comment that is exported again in a later file.  ``label`` turns prepared
+    comments into rows that still carry ``key``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare_comments(batch)
-        good = rows.where(F.col("reject_reason").isNull())
-        counted = first_copies(good, key)
-        once = counted.drop("_copies")
-        # asked before the model is: neither stored comments nor a second copy
-        fresh = not_stored(once.drop("reject_reason", "_corrupt_record"), sink, key, batch_id)
-        replace_batch(label(fresh), sink, batch_id)
-        if quarantine:
-            more = F.concat(F.lit("repeated "), F.col("_copies") - 1)
-            repeated = counted.where("_copies > 1").withColumn("reject_reason", more).drop("_copies")
-            refused = rows.where(F.col("reject_reason").isNotNull()).unionByName(repeated)
-            replace_batch(refused, quarantine, batch_id)
-
-    (
-        spark.readStream.schema(_with_corrupt(schema))
-        .options(**CSV_OPTIONS)
-        .csv(source)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(run)
-        .start()
-        .awaitTermination()
-    )
+        rows = batch.persist(StorageLevel.DISK_ONLY)  # a lost block is made again from the same files and state
+        try:
+            counted = first_copies(rows.where(F.col("reject_reason").isNull()), key)
+            # asked before the model is: neither stored comments nor a second copy
+            fresh = counted.where(~F.col("_seen")).drop("_copies", "_seen", "reject_reason", "_corrupt_record")
+            replace_batch(label(fresh), sink, batch_id)
+            if quarantine:
+                more = F.concat(F.lit("repeated "), F.col("_copies") - 1)
+                repeated = counted.where("_copies > 1").withColumn("reject_reason", more).drop("_copies")
+                refused = rows.where(F.col("reject_reason").isNotNull()).unionByName(repeated)
+                replace_batch(refused.drop("_seen"), quarantine, batch_id)
+        finally:
+            rows.unpersist()
+
+    with _rocksdb(spark):
+        comments = prepare_comments(spark.readStream.schema(_with_corrupt(schema)).options(**CSV_OPTIONS).csv(source))
+        _run(with_seen(comments, key, F.col("reject_reason").isNull()), checkpoint, run)

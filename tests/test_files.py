@@ -202,6 +202,48 @@ def test_replay_replaces_its_batch(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_seen_keys_are_state_and_not_read_from_the_sink(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 9)], "k string, aspect int")
+    INC.idempotent_append(df, path, "k", 0)
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["a", "a", "b"]
+    for p in (tmp_path / "sink" / "batch_id=0").glob("part-*"):
+        p.write_text("not read again")
+    INC.idempotent_append(df.union(spark.createDataFrame([("c", 1)], df.schema)), path, "k", 1)
+    new = spark.read.parquet(f"{path}/batch_id=1")
+    assert [tuple(r) for r in new.collect()] == [("c", 1)]
+
+
+def test_batches_left_by_a_failure_are_taken_up_once(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
+    INC.idempotent_append(rows("a"), path, "k", 0)
+    rows("a", "b", "c").write.parquet(f"{path}/_inbox/batch_id=1")  # laid down, then the driver died
+    INC.idempotent_append(rows("b", "d"), path, "k", 2)
+    INC.idempotent_append(rows("x"), path, "k", 1)  # laid down before with other rows, which stay
+    got = sorted((r["batch_id"], r["k"]) for r in spark.read.parquet(path).collect())
+    assert got == [(0, "a"), (1, "b"), (1, "c"), (2, "d")]
+
+
+def test_second_export_of_a_key_is_known_after_a_restart(spark, tmp_path):
+    source, sink, state, bad = (str(tmp_path / d) for d in ("in", "out", "state", "bad"))
+    (tmp_path / "in").mkdir()
+    asked = tmp_path / "asked"
+
+    def counting(rows):
+        with asked.open("a") as f:
+            f.write(f"{rows.count()}\n")
+        return label(rows)
+
+    for n, records in enumerate([RECORDS, [*RECORDS, line(9, "more"), line(9, "more")], RECORDS]):
+        export(tmp_path / "in" / f"{n}.csv", records)
+        INC.stream_label(spark, source, sink, state, schemas.COMMENTS, counting, bad)
+    assert asked.read_text().split() == ["5", "1", "0"]
+    assert spark.read.parquet(sink).count() == 6
+    reasons = sorted(r["reject_reason"] for r in spark.read.parquet(bad).collect())
+    assert reasons == ["bad time"] * 3 + ["no text"] * 3 + ["repeated 1"]
+
+
 def test_folder_with_two_kinds_of_exports(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Comment ID,Comment\n"=""7""","one\nline, two"\n', encoding="utf-8")
     header = ",".join(schemas.COMMENTS.fieldNames())
