@@ -10,6 +10,7 @@ from sentiloom.functions import prompts as P
 from sentiloom.functions import responses as R
 from sentiloom.functions import text as X
 from sentiloom.operators.infer import infer as run_model
+from sentiloom.operators.infer import infer_stored as ask_once
 from sentiloom.plans import evaluation as E
 from sentiloom.plans import labelling as J
 from sentiloom.plans import reasoning as H
@@ -490,17 +491,27 @@ def dialog_history_whole(spark, sf):
     return _histories(spark, sf).groupBy("conv_id").agg(last.alias("m")).select("conv_id", "m.turn", "m.history")
 
 
-@query(
-    "infer",
-    f"""SELECT doc_id, CASE WHEN contains(text, 'idiot') OR contains(text, 'stupid') THEN 'negative'
-    WHEN contains(text, 'best') THEN 'positive' ELSE 'neutral' END AS answer FROM documents""",
-)
+SQL_INFER = """SELECT doc_id, CASE WHEN contains(text, 'idiot') OR contains(text, 'stupid') THEN 'negative'
+    WHEN contains(text, 'best') THEN 'positive' ELSE 'neutral' END AS answer FROM documents"""
+
+
+def _stand_in(prompts: list[str]) -> list[str]:
+    """In place of a model: the same answer for the same prompt."""
+    return [
+        "negative" if "idiot" in p or "stupid" in p else "positive" if "best" in p else "neutral"
+        for p in prompts
+    ]
+
+
+@query("infer", SQL_INFER)
 def infer(spark, sf):
-    def model(prompts: list[str]) -> list[str]:
-        """Stand-in for a model: the same answer for the same prompt."""
-        return [
-            "negative" if "idiot" in p or "stupid" in p else "positive" if "best" in p else "neutral"
-            for p in prompts
-        ]
-
-    return run_model(_pair(_texts(spark, sf), P.direct("text", "source")), model, "doc_id")
+    return run_model(_pair(_texts(spark, sf), P.direct("text", "source")), _stand_in, "doc_id")
+
+
+@query("infer_stored", SQL_INFER)
+def infer_stored(spark, sf):
+    """The labelled documents first, then all: what was asked is not asked again."""
+    path = C.scratch(spark)
+    prompts = _pair(_texts(spark, sf), P.direct("text", "source"))
+    ask_once(prompts.join(C.table(spark, sf, "labels"), "doc_id", "left_semi"), lambda: _stand_in, "doc_id", path, "stand-in")
+    return ask_once(prompts, lambda: _stand_in, "doc_id", path, "stand-in", parts=2)

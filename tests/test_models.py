@@ -1,10 +1,12 @@
 """Models against their definitions on small data; the inference hook."""
 
+from uuid import uuid4
+
 import numpy as np
 import pytest
 
 from sentiloom.operators import models as M
-from sentiloom.operators.infer import infer
+from sentiloom.operators.infer import infer, infer_stored, stored_answers
 
 
 def test_pca_equals_svd_up_to_sign(spark):
@@ -51,3 +53,33 @@ def test_infer_keeps_keys_and_checks_length(spark):
     assert sorted((r["k"], r["answer"]) for r in got) == [(i, f"P{i}") for i in range(50)]
     with pytest.raises(Exception, match="prompts but"):
         infer(prompts, lambda batch: batch[:-1], "k").collect()
+
+
+def test_prompts_are_asked_once_over_runs(spark, tmp_path):
+    path, log = str(tmp_path / "answers"), tmp_path / "asked"
+    log.mkdir()
+
+    def build():
+        def ask(batch):
+            (log / uuid4().hex).write_text("\n".join(batch))
+            return [None if p == "p7" else p.upper() for p in batch]
+
+        return ask
+
+    asked = lambda: sorted(p for f in log.iterdir() for p in f.read_text().split("\n"))
+    rows = [(i, f"p{i % 20}") for i in range(100)] + [(100, None), (None, "p3")]
+    schema = "k int, prompt string"
+    few = spark.createDataFrame(rows[:10], schema)
+    infer_stored(few, build, "k", path, "m", parts=3)
+    assert asked() == sorted(f"p{i}" for i in range(10))
+    many = spark.createDataFrame(rows, schema).repartition(5)
+    for parts in (1, 4):
+        got = infer_stored(many, build, "k", path, "m", parts=parts).collect()
+        want = [(k, None if p in (None, "p7") else p.upper()) for k, p in rows]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert asked() == sorted(f"p{i}" for i in range(20))
+    infer_stored(few, build, "k", path, "another/model")
+    assert len(asked()) == 30 and stored_answers(spark, path, "m").count() == 20
+    with pytest.raises(Exception, match="prompts but"):
+        infer_stored(few, lambda: lambda batch: batch[:-1], "k", path, "short")
+    assert stored_answers(spark, path, "short").count() == 0
