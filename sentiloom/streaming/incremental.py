@@ -1,8 +1,8 @@
 """Incremental labelling: only what is new, and a replay repeats nothing.
 
 Which keys were seen is the state of a streaming query, kept by RocksDB and
-partitioned by key.  A batch reads its own rows and looks up its own keys; what
-the sink holds is never read again.
+partitioned by key.  A batch reads its own rows and looks up its own keys, which
+alone go through the state; what the sink holds is never read again.
 """
 
 from __future__ import annotations
@@ -10,14 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
 from sentiloom.sources.comments import CSV_OPTIONS, _with_corrupt, prepare_comments
 
@@ -36,37 +32,45 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def with_seen(rows: DataFrame, key: str, good: F.Column) -> DataFrame:
-    """Streamed rows with ``_seen``: did an earlier batch of this query hold the key?
+def owned_keys(spark: SparkSession, path: str, batch_id: int, of: T.DataType) -> DataFrame:
+    """``(key)``: the keys that this batch was the first to claim."""
+    schema = T.StructType([T.StructField("key", of), T.StructField("step", T.LongType()), T.StructField("batch_id", T.LongType())])
+    return _read(spark, f"{path}/owned", schema).where(F.col("batch_id") == batch_id).select("key")
 
-    All rows of a key in its first batch are new.  Rows that are not ``good``,
-    or have no key, are never seen and make none so.  Keys are remembered for
-    ever, some tens of bytes each on the executors' disks and in the query's
-    checkpoint; who wants to forget them starts a new checkpoint.
+
+def claim(keys: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Which keys of a one-column table does no earlier batch have?  ``(key)``, each once.
+
+    The keys are laid down below ``keys``, and a query that resumes from
+    ``state`` drops those it has met before; what is left is the batch's own,
+    also when the batch is run again after a failure at any point.  A key laid
+    down is not laid down again.  Where a failure leaves several batches to be
+    taken up together, a key that they share goes to one of them.  Keys are
+    remembered for ever, some tens of bytes each on the executors' disks and in
+    the checkpoint; a null key is nobody's.
     """
-    own = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("_seen", T.BooleanType())])
-    counts = F.coalesce(good & F.col(key).isNotNull(), F.lit(False))
-    grouped = rows.withColumns({"_counts": counts, "_spread": F.when(~counts, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))})
+    spark, of = keys.sparkSession, keys.schema[0].dataType
+    schema = T.StructType([T.StructField("key", of), T.StructField("batch_id", T.LongType())])
+    laid = _read(spark, f"{path}/keys", schema).where(F.col("batch_id") == batch_id).select("key")
+    new = keys.toDF("key").where("key IS NOT NULL").distinct().join(laid, "key", "left_anti")
+    new.write.mode("append").parquet(f"{path}/keys/batch_id={batch_id}")
 
-    def mark(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.exists
-        for part in parts:
-            yield part[own].assign(_seen=seen)
-        if group[1]:
-            state.update((True,))
+    def keep(batch: DataFrame, step: int) -> None:
+        batch.write.mode("overwrite").partitionBy("batch_id").parquet(f"{path}/owned/step={step}")
 
-    return grouped.groupBy(key, "_counts", "_spread").applyInPandasWithState(mark, schema, "known boolean", "append", GroupStateTimeout.NoTimeout)
+    with _rocksdb(spark):
+        fresh = spark.readStream.schema(schema).parquet(f"{path}/keys").dropDuplicates(["key"])
+        _run(fresh, f"{path}/state", keep)
+    return owned_keys(spark, path, batch_id, of)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        spark.read.text(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return False
-    return True
+        return spark.createDataFrame([], schema)
 
 
 def first_copies(df: DataFrame, key: str, time: str = "comment_time") -> DataFrame:
@@ -90,31 +94,14 @@ def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def idempotent_append(df: DataFrame, path: str, key: str, batch_id: int) -> None:
     """Add rows whose key no other batch has stored, as the files of this batch.
 
-    The rows of a batch are laid down once below ``_inbox``; a query that
-    resumes from ``_state`` takes up what lies there and writes each batch's
-    new rows to ``batch_id=…``.  A batch that is run again, also after a failure
-    at any point, adds nothing twice: laid down, it is not taken again, and a
-    query that died repeats its last step on the same files.  Rows without a
-    key are left out.  Only what came through here is known: a sink written
-    otherwise has no state.
+    A batch owns the directory ``batch_id=…`` and replaces it, and it owns the
+    keys that it was first to :func:`claim` in ``_keys``, so a batch that is run
+    again leaves the same rows, not twice as many.  Rows without a key are left
+    out.  Only what came through here is known: a sink written otherwise has no
+    keys.
     """
-    spark = df.sparkSession
-    inbox = f"{path}/_inbox"
-    own = f"{inbox}/batch_id={batch_id}"
-    if not _exists(spark, f"{own}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(own)
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema.fields], T.StructField("batch_id", T.IntegerType())])
-
-    def add(batch: DataFrame, _: int) -> None:
-        new = batch.where(~F.col("_seen") & F.col(key).isNotNull()).drop("_seen")
-        # after a failure several batches may be taken up together; the first of them has the key
-        first = F.min("batch_id").over(Window.partitionBy(key))
-        new = new.withColumn("_first", first).where("batch_id = _first").drop("_first")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-
-    with _rocksdb(spark):
-        rows = spark.readStream.schema(schema).parquet(inbox)
-        _run(with_seen(rows, key, F.lit(True)), f"{path}/_state", add)
+    own = claim(df.select(key), f"{path}/_keys", batch_id)
+    replace_batch(df.join(own.withColumnRenamed("key", key), key, "left_semi"), path, batch_id)
 
 
 def _run(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
@@ -139,20 +126,16 @@ def stream_label(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist(StorageLevel.DISK_ONLY)  # a lost block is made again from the same files and state
-        try:
-            counted = first_copies(rows.where(F.col("reject_reason").isNull()), key)
-            # asked before the model is: neither stored comments nor a second copy
-            fresh = counted.where(~F.col("_seen")).drop("_copies", "_seen", "reject_reason", "_corrupt_record")
-            replace_batch(label(fresh), sink, batch_id)
-            if quarantine:
-                more = F.concat(F.lit("repeated "), F.col("_copies") - 1)
-                repeated = counted.where("_copies > 1").withColumn("reject_reason", more).drop("_copies")
-                refused = rows.where(F.col("reject_reason").isNotNull()).unionByName(repeated)
-                replace_batch(refused.drop("_seen"), quarantine, batch_id)
-        finally:
-            rows.unpersist()
-
-    with _rocksdb(spark):
-        comments = prepare_comments(spark.readStream.schema(_with_corrupt(schema)).options(**CSV_OPTIONS).csv(source))
-        _run(with_seen(comments, key, F.col("reject_reason").isNull()), checkpoint, run)
+        rows = prepare_comments(batch)
+        counted = first_copies(rows.where(F.col("reject_reason").isNull()), key)
+        # asked before the model is: neither stored comments nor a second copy
+        own = claim(rows.where(F.col("reject_reason").isNull()).select(key), f"{checkpoint}/claimed", batch_id)
+        once = counted.drop("_copies", "reject_reason", "_corrupt_record")
+        replace_batch(label(once.join(own.withColumnRenamed("key", key), key, "left_semi")), sink, batch_id)
+        if quarantine:
+            more = F.concat(F.lit("repeated "), F.col("_copies") - 1)
+            repeated = counted.where("_copies > 1").withColumn("reject_reason", more).drop("_copies")
+            refused = rows.where(F.col("reject_reason").isNotNull()).unionByName(repeated)
+            replace_batch(refused, quarantine, batch_id)
+
+    _run(spark.readStream.schema(_with_corrupt(schema)).options(**CSV_OPTIONS).csv(source), checkpoint, run)
