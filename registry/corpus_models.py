@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from registry import common as C
 from sentiloom.functions import text as X
 from sentiloom.operators import models as M
+from sentiloom.operators import vectors as V
 
 QUERIES, ORACLE, query = C.registry()
 K_NEAREST, K_TOPICS, N_WORDS, K_REDUCED = 10, 5, 5, 3
@@ -112,3 +113,29 @@ def check_reduced(spark, sf):
         every([variances[i] >= variances[i + 1] for i in range(len(names) - 1)]).alias("by_variance"),
         (sum(variances[1:], variances[0]) <= total + 1e-9).alias("within_input"),
     )
+
+
+@query("nearest_words")
+def nearest_words(spark, sf):
+    """Nearest words of the whole lexicon, by vectors of stored pair counts."""
+    vectors = V.pmi_vectors(C.docs(spark, sf))
+    return V.nearest_words(vectors, C.lexicon(spark).select("word"), K_NEAREST)
+
+
+@query(
+    "check_nearest_words",
+    f"""WITH found AS (SELECT unnest(regexp_extract_all(text, '\b({"|".join(C.ASPECTS)})\b')) AS word FROM documents)
+    SELECT word, count(*)::BIGINT AS n, word || 'twin' AS nearest, TRUE AS alike FROM found GROUP BY word""",
+)
+def check_nearest_words(spark, sf):
+    """A word's planted twin, put in its place in a second copy of all texts, is its nearest word."""
+    docs = C.docs(spark, sf)
+    pattern = rf"\b({'|'.join(C.ASPECTS)})\b"
+    twins = docs.withColumn("text", F.regexp_replace("text", pattern, "$1twin"))
+    vectors = V.pmi_vectors(docs.unionByName(twins))
+    aspects = spark.createDataFrame([(a,) for a in C.ASPECTS], "word string")
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    nearest = V.nearest_words(vectors, aspects, 1)
+    return nearest.join(found, nearest["target"] == found["word"]).select(
+        F.col("target").alias("word"), "n", nearest["word"].alias("nearest"), (F.col("cosine") > 0.8).alias("alike")
+    )
