@@ -124,18 +124,16 @@ def nearest_words(spark, sf):
 
 @query(
     "check_nearest_words",
-    f"""WITH found AS (SELECT unnest(regexp_extract_all(text, '\b({"|".join(C.ASPECTS)})\b')) AS word FROM documents)
-    SELECT word, count(*)::BIGINT AS n, word || 'twin' AS nearest, TRUE AS alike FROM found GROUP BY word""",
+    f"""SELECT word, TRUE AS twin_found FROM (VALUES {", ".join(f"('{a}')" for a in C.ASPECTS)}) t(word)
+    WHERE EXISTS (SELECT 1 FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}])' || word || '($|[^\\p{{L}}])'))""",
 )
 def check_nearest_words(spark, sf):
-    """A word's planted twin, put in its place in a second copy of all texts, is its nearest word."""
+    """A twin, put in a word's place in a second copy of all texts, is among its nearest words."""
     docs = C.docs(spark, sf)
-    pattern = rf"\b({'|'.join(C.ASPECTS)})\b"
+    pattern = rf"(?i)(?<!\p{{L}})({'|'.join(C.ASPECTS)})(?!\p{{L}})"
     twins = docs.withColumn("text", F.regexp_replace("text", pattern, "$1twin"))
     vectors = V.pmi_vectors(docs.unionByName(twins))
     aspects = spark.createDataFrame([(a,) for a in C.ASPECTS], "word string")
-    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    nearest = V.nearest_words(vectors, aspects, 1)
-    return nearest.join(found, nearest["target"] == found["word"]).select(
-        F.col("target").alias("word"), "n", nearest["word"].alias("nearest"), (F.col("cosine") > 0.8).alias("alike")
-    )
+    twin = (F.col("word") == F.concat("target", F.lit("twin"))) & (F.col("cosine") > 0.8)
+    nearest = V.nearest_words(vectors, aspects, K_NEAREST)
+    return nearest.groupBy(F.col("target").alias("word")).agg(F.bool_or(twin).alias("twin_found"))

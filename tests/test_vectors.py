@@ -63,9 +63,14 @@ def test_many_blocks_equal_one(spark):
 
 def test_a_planted_twin_is_the_nearest_word(spark):
     rng = random.Random(2)
-    names = [a + b for a in "bcdfgh" for b in "aeiou"]
-    texts = [" ".join(rng.choice(names) for _ in range(10)) for _ in range(200)]
-    texts += [t.replace("ba", "twin") for t in texts]
+    letters = "bcdfghjklm"
+    beside = {t: [t + a + b for a in "aeiou" for b in "xyz"] for t in letters}
+    texts = [
+        " ".join([*rng.sample(beside[t], 5), t + "a", *rng.sample(beside[t], 4), rng.choice("aeiou")])
+        for t in letters
+        for _ in range(30)
+    ]
+    texts += [t.replace("ba ", "twin ") for t in texts]
     vectors = V.pmi_vectors(frame(spark, texts), size=20)
     row = V.nearest_words(vectors, spark.createDataFrame([("ba",), ("ba",), ("gone",), (None,)], "word string"), 1).collect()
     assert [(r["target"], r["rank"], r["word"]) for r in row] == [("ba", 1, "twin")]
