@@ -161,3 +161,41 @@ def progress_after_append(spark, sf):
     IO.append_labelled(C.table(spark, sf, "labels").select("doc_id"), path)
     done = IO.read_labelled(spark, path, C.table(spark, sf, "labels").select("doc_id").schema)
     return S.progress(C.table(spark, sf, "documents"), done, "doc_id")
+
+
+POLARITIES = ("negative", "neutral", "positive")
+SQL_TRIMMED = r"trim(regexp_replace(text, '[\x09\x0A\x0D\x20]+', ' ', 'g'))"
+
+
+@query(
+    "read_aspect_xml",
+    f"""WITH a AS (SELECT unnest([{C.sql_list(C.ASPECTS)}]) AS aspect, unnest(range({len(C.ASPECTS)})) AS i),
+    hits AS (SELECT doc_id, aspect, strpos(text, aspect) - 1 AS f,
+        row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM documents, a WHERE contains(text, aspect))
+    SELECT doc_id::VARCHAR AS sentence_id, {SQL_TRIMMED} AS text, pos::INTEGER AS aspect_pos, aspect,
+        [{C.sql_list(POLARITIES)}][(length(aspect) % 3 + 1)::INTEGER] AS polarity, f::INTEGER AS "from", (f + length(aspect))::INTEGER AS "to",
+        CASE WHEN aspect IS NOT NULL THEN doc_id % 2 = 0 END AS implicitness,
+        CASE WHEN text IS NULL THEN 'no text' END AS reject_reason
+    FROM documents LEFT JOIN hits USING (doc_id)
+    UNION ALL SELECT NULL, '<sentence id="' || lang || '"><text>cut</sentence>', NULL, NULL, NULL, NULL, NULL, NULL, 'corrupt record'
+    FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)""",
+)
+def read_aspect_xml(spark, sf):
+    """All texts as annotated XML, with a broken record for each language beside them."""
+    path, docs = scratch(spark), C.docs(spark, sf, "doc_id", "text", "lang")
+    term = lambda a: F.struct(
+        F.lit(a).alias("aspect"),
+        F.lit(POLARITIES[len(a) % 3]).alias("polarity"),
+        (F.instr("text", a) - 1).alias("from"),
+        (F.instr("text", a) - 1 + len(a)).alias("to"),
+        (F.col("doc_id") % 2 == 0).alias("implicitness"),
+        F.lit(None).cast("string").alias("opinion_words"),
+    )
+    terms = F.array_compact(F.array(*[F.when(F.instr("text", a) > 0, term(a)) for a in C.ASPECTS]))
+    CM.write_aspect_xml(docs.select(F.col("doc_id").alias("sentence_id"), "text", terms.alias("terms")), path)
+    broken = F.concat(F.lit('<sentence id="'), "lang", F.lit('"><text>cut</sentence>'))
+    docs.where(F.col("lang").isNotNull()).select("lang").distinct().select(broken).write.mode("append").text(path)
+    text = F.trim(F.regexp_replace(F.coalesce("text", "_corrupt_record"), r"[\x09\x0A\x0D\x20]+", " "))
+    return CM.read_aspect_xml(spark, path).select(
+        "sentence_id", text.alias("text"), "aspect_pos", "aspect", "polarity", "from", "to", "implicitness", "reject_reason"
+    )

@@ -250,17 +250,29 @@ def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_aspect_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Annotated sentences, one row per aspect term; none leaves one NULL row."""
+    """Annotated sentences, one row per aspect term; none leaves one NULL row.
+
+    ``reject_reason`` is NULL for usable rows.  A record that is not well formed
+    is one row with its source in ``_corrupt_record``, and those behind it in its
+    file are read all the same; a sentence without text is refused as well.
+    :func:`split_quarantine` tells them apart.
+    """
+    corrupt = F.col("_corrupt_record").isNotNull()
     rows = (
         spark.read.format("xml")
         .option("rowTag", "sentence")
-        .schema(schemas.ASPECT_XML)
+        .option("useLegacyXMLParser", "true")  # the other parser gives up a file at its first broken record
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .schema(T.StructType([*schemas.ASPECT_XML.fields, T.StructField("_corrupt_record", T.StringType())]))
         .load(path)
     )
+    reason = F.when(corrupt, "corrupt record").when(F.col("text").isNull(), "no text")
     return rows.select(
         F.col("_id").alias("sentence_id"),
         "text",
         F.posexplode_outer("aspectTerms.aspectTerm").alias("aspect_pos", "t"),
+        "_corrupt_record",
+        reason.alias("reject_reason"),
     ).select(
         "sentence_id",
         "text",
@@ -271,4 +283,28 @@ def read_aspect_xml(spark: SparkSession, path: str) -> DataFrame:
         F.col("t._to").alias("to"),
         (F.lower("t._implicit_sentiment") == "true").alias("implicitness"),
         F.col("t._opinion_words").alias("opinion_words"),
+        "_corrupt_record",
+        "reject_reason",
+    )
+
+
+def write_aspect_xml(rows: DataFrame, path: str) -> None:
+    """Sentences in the form that :func:`read_aspect_xml` reads, appended.
+
+    ``rows`` have ``sentence_id``, ``text`` and ``terms``, an array of structs
+    with the fields of an aspect term.  Characters that XML cannot hold become
+    U+FFFD; a reader drops white space around a text.
+    """
+    held = lambda c: F.regexp_replace(c, r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "\uFFFD")
+    term = lambda t: F.struct(
+        held(t["aspect"]).alias("_term"),
+        t["polarity"].alias("_polarity"),
+        t["from"].cast("int").alias("_from"),
+        t["to"].cast("int").alias("_to"),
+        F.when(t["implicitness"], "True").when(~t["implicitness"], "False").alias("_implicit_sentiment"),
+        held(t["opinion_words"]).alias("_opinion_words"),
     )
+    some = F.when(F.size("terms") > 0, F.struct(F.transform("terms", term).alias("aspectTerm")))
+    rows.select(F.col("sentence_id").cast("string").alias("_id"), held("text").alias("text"), some.alias("aspectTerms")).write.mode(
+        "append"
+    ).format("xml").options(rootTag="sentences", rowTag="sentence").save(path)

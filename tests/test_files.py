@@ -173,6 +173,42 @@ def test_annotated_xml(spark, tmp_path):
     ]
 
 
+def test_annotated_xml_keeps_what_is_broken(spark, tmp_path):
+    (tmp_path / "x.xml").write_text(
+        """<sentences>
+        <sentence id="1"><text>Nice</text></sentence>
+        <sentence id="2"><text>cut</sentence>
+        <sentence id="3"></sentence>
+        <sentence id="4"><text>Behind it</text></sentence></sentences>"""
+    )
+    good, refused = C.split_quarantine(C.read_aspect_xml(spark, str(tmp_path)))
+    assert sorted((r["sentence_id"], r["text"]) for r in good.collect()) == [("1", "Nice"), ("4", "Behind it")]
+    assert sorted((r["reject_reason"], r["_corrupt_record"]) for r in refused.collect()) == [
+        ("corrupt record", '<sentence id="2"><text>cut</sentence>'), ("no text", None),
+    ]
+
+
+def test_annotated_xml_round_trip(spark, tmp_path):
+    kind = "array<struct<aspect:string,polarity:string,from:int,to:int,implicitness:boolean,opinion_words:string>>"
+    rows = [
+        ("1", 'a < b & "c" \u00e9\U0001f600', [('"c"', "neutral", 8, 11, True, None), ("a", "positive", 0, 1, False, "b")]),
+        ("2", "bell \x07 here", []),
+        ("3", "none", None),
+    ]
+    table = spark.createDataFrame(rows, f"sentence_id string, text string, terms {kind}")
+    path = str(tmp_path / "xml")
+    C.write_aspect_xml(table, path)
+    C.write_aspect_xml(table.limit(0), path)
+    got = C.read_aspect_xml(spark, path)
+    assert [r["reject_reason"] for r in got.collect()] == [None] * 4
+    assert sorted(map(tuple, got.drop("reject_reason", "_corrupt_record").collect()), key=str) == [
+        ("1", rows[0][1], 0, *rows[0][2][0]),
+        ("1", rows[0][1], 1, *rows[0][2][1]),
+        ("2", "bell \ufffd here", None, None, None, None, None, None, None),
+        ("3", "none", None, None, None, None, None, None, None),
+    ]
+
+
 def label(rows):
     return rows.select("comment_key", F.length("Comment").alias("n"))
 

@@ -18,8 +18,8 @@ def plan(df):
 
 
 def test_no_python_and_no_cartesian_outside_the_hook(spark):
-    skip = {"infer", "similar_words", "topics", "reduce_embeddings", "read_trace", "score_stored_trace"}
-    stored = {"append_labelled", "materialise", "write_bundle", "write_review_csv", "write_annotation", "read_comments",
+    skip = {"infer", "similar_words", "nearest_words", "topics", "reduce_embeddings", "read_trace", "score_stored_trace"}
+    stored = {"append_labelled", "materialise", "write_bundle", "write_review_csv", "write_annotation", "read_comments", "read_aspect_xml",
               "idempotent_append", "stream_label", "progress_after_append"}
     for name, query in QUERIES.items():
         if name in skip or name in stored:
