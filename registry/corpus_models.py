@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from registry import common as C
 from sentiloom.functions import text as X
 from sentiloom.operators import models as M
+from sentiloom.operators import topics as T
 from sentiloom.operators import vectors as V
 
 QUERIES, ORACLE, query = C.registry()
@@ -137,3 +138,37 @@ def check_nearest_words(spark, sf):
     twin = (F.col("word") == F.concat("target", F.lit("twin"))) & (F.col("cosine") > 0.8)
     nearest = V.nearest_words(vectors, aspects, K_NEAREST)
     return nearest.groupBy(F.col("target").alias("word")).agg(F.bool_or(twin).alias("twin_found"))
+
+
+@query("corpus_topics")
+def corpus_topics(spark, sf):
+    """The words of each topic, by a model that holds no vocabulary in one place."""
+    return T.top_words(T.corpus_topics(C.docs(spark, sf), k=K_TOPICS).words, N_WORDS)
+
+
+@query("document_topics")
+def document_topics(spark, sf):
+    """A row for each topic of a document; one with a NULL topic where no content word is."""
+    shares = T.corpus_topics(C.docs(spark, sf), k=K_TOPICS).documents
+    return shares.select("doc_id", F.posexplode_outer("topics").alias("topic", "share"))
+
+
+@query(
+    "check_planted_topics",
+    f"""SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(text), '(\\p{{L}}+)')) > 0 THEN TRUE END AS separated
+    FROM documents""",
+)
+def check_planted_topics(spark, sf):
+    """Even and odd documents get words of their own beside shared ones; two topics tell them apart."""
+    own = F.pmod("doc_id", F.lit(2))
+    letter = F.when(own == 0, "even").otherwise("odd")
+    place = lambda i: F.pmod(i * 7 + F.col("doc_id"), F.lit(20)).cast("string")
+    planted = F.transform(
+        X.words("text"), lambda _, i: F.when(i % 3 == 2, F.concat(F.lit("shared"), place(i))).otherwise(F.concat(letter, place(i)))
+    )
+    docs = C.docs(spark, sf).withColumn("text", F.array_join(planted, " "))
+    topics = T.corpus_topics(docs, k=2).documents.withColumn("own", own)
+    mean = lambda parity: F.avg(F.when(F.col("own") == parity, F.col("topics")[0]))
+    first = topics.agg((mean(0) > mean(1)).alias("even_is_first")).scalar()
+    is_even = (F.col("topics")[0] > 0.5) == first
+    return topics.select("doc_id", F.when(F.col("topics").isNotNull(), is_even == (F.col("own") == 0)).alias("separated"))

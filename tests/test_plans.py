@@ -18,7 +18,7 @@ def plan(df):
 
 
 def test_no_python_and_no_cartesian_outside_the_hook(spark):
-    skip = {"infer", "similar_words", "nearest_words", "topics", "reduce_embeddings", "read_trace", "score_stored_trace"}
+    skip = {"infer", "similar_words", "nearest_words", "topics", "corpus_topics", "document_topics", "check_planted_topics", "reduce_embeddings", "read_trace", "score_stored_trace"}
     stored = {"append_labelled", "materialise", "write_bundle", "write_review_csv", "write_annotation", "read_comments", "read_aspect_xml",
               "idempotent_append", "stream_label", "progress_after_append"}
     for name, query in QUERIES.items():
