@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from sentiloom import constants as K
 from sentiloom.functions import text as X
-from sentiloom.operators.scale import lookup_join, stored
+from sentiloom.operators.scale import stored
 
 # (document, word) entries of a block, of a packed row, and of one step in numpy.
 ENTRIES, PIECE, STEP = 1 << 18, 1 << 15, 1 << 15
@@ -101,30 +101,30 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(entries: DataFrame, blocks: int) -> DataFrame:
-    placed = entries.select("block", "at", "id", "n").repartition(blocks, "block")
+    placed = entries.select("block", "at", "id", "n").repartitionById(blocks, "block")
     ordered = placed.sortWithinPartitions("block", "at", "id")
     return stored(ordered.mapInArrow(_packed, "block int, no int, data binary"), "topic-entries")
 
 
 def mixtures(p: np.ndarray, n: np.ndarray, starts: np.ndarray, alpha: float, passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of each document, and what each topic takes of each entry.
+    """Shares of each document, and what each topic takes of each entry; a row is a topic.
 
-    ``p`` are the entries' word probabilities by topic, documents begin at ``starts``.
+    ``p`` are the entries' word probabilities, documents begin at ``starts``.
     """
     lengths = np.diff(np.append(starts, len(n)))
-    shares = np.full((len(starts), p.shape[1]), 1.0 / p.shape[1])
+    shares = np.full((len(p), len(starts)), 1.0 / len(p))
     for _ in range(passes):
-        taken = p * np.repeat(shares, lengths, axis=0)
-        taken *= (n / taken.sum(axis=1))[:, None]
-        shares = np.add.reduceat(taken, starts) + alpha
-        shares /= shares.sum(axis=1, keepdims=True)
+        taken = p * np.repeat(shares, lengths, axis=1)
+        taken *= n / taken.sum(axis=0)
+        shares = np.add.reduceat(taken, starts, axis=1) + alpha
+        shares /= shares.sum(axis=0)
     return shares, taken
 
 
 def _block_rows(ids, weights, pieces, k: int, alpha: float, passes: int, documents: bool) -> pa.RecordBatch:
     """One block: sums by word, or shares by document."""
     order = np.argsort(ids)
-    ids, weights = ids[order], weights[order]
+    ids, weights = ids[order], np.ascontiguousarray(weights[order].T)
     data = np.concatenate(pieces)
     word = np.minimum(np.searchsorted(ids, data["id"]), len(ids) - 1)
     known = ids[word] == data["id"]  # words that too few rows hold have no weights
@@ -136,21 +136,19 @@ def _block_rows(ids, weights, pieces, k: int, alpha: float, passes: int, documen
         last = max(first + 1, int(np.searchsorted(begins, begins[first] + STEP)))
         low, high = begins[first], begins[last] if last < len(begins) else len(data)
         w, n = word[low:high], data["n"][low:high].astype(float)
-        shares, taken = mixtures(weights[w], n, begins[first:last] - low, alpha, passes)
+        shares, taken = mixtures(weights[:, w], n, begins[first:last] - low, alpha, passes)
         if documents:
             keys.append(data["at"][begins[first:last]])
             found.append(shares)
         else:
             by_word = np.argsort(w, kind="stable")
             heads = np.flatnonzero(np.diff(w[by_word], prepend=-1))
-            sums[w[by_word][heads]] += np.add.reduceat(taken[by_word], heads)
+            sums[:, w[by_word][heads]] += np.add.reduceat(taken[:, by_word], heads, axis=1)
         first = last
     if documents:
         ids = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        sums = np.concatenate(found) if found else np.empty((0, k))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(sums[:, i])) for i in range(k))], _names("id", k)
-    )
+        sums = np.concatenate(found, axis=1) if found else np.empty((k, 0))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(row) for row in sums)], _names("id", k))
 
 
 def _names(first: str, k: int) -> list[str]:
@@ -189,7 +187,7 @@ def _pass(pieces: DataFrame, chances: DataFrame, blocks: int, k: int, alpha: flo
         F.explode("blocks").alias("block"), F.lit(-1).alias("no"), "id", "p", none("binary").alias("data")
     )
     entries = pieces.select("block", "no", none("bigint").alias("id"), none("array<double>").alias("p"), "data")
-    placed = words.unionByName(entries).repartition(blocks, "block").sortWithinPartitions("block", "no")
+    placed = words.unionByName(entries).repartitionById(blocks, "block").sortWithinPartitions("block", "no")
     return placed.mapInArrow(solved, ", ".join(["id bigint", *(f"s{i} double" for i in range(k))]))
 
 
@@ -206,7 +204,7 @@ def _chances(words: DataFrame, weights: DataFrame, k: int, eta: float) -> DataFr
     row = weights.agg(F.count("*").alias("v"), *[F.sum(f"s{i}").alias(f"t{i}") for i in range(k)]).first()
     smooth = lambda i: (F.col(f"s{i}") + eta) / ((row[f"t{i}"] or 0.0) + eta * max(row["v"], 1))
     p = F.array(*[smooth(i) for i in range(k)])
-    return lookup_join(words.select("id", "blocks"), weights.select("id", p.alias("p")), ["id"])
+    return words.select("id", "blocks").join(weights.select("id", p.alias("p")), "id")
 
 
 def corpus_topics(
@@ -227,7 +225,9 @@ def corpus_topics(
     content = _content(docs, key, text, stop)
     entries = content.agg(F.sum(F.array_size("counts"))).first()[0] or 0
     slots = docs.sparkSession.sparkContext.defaultParallelism
-    blocks = max(-(-entries // block), min(slots, -(-entries // STEP)), 1)
+    blocks = max(1, min(slots, -(-entries // STEP)))  # whole waves of tasks beyond that
+    if entries > block * blocks:
+        blocks = -(-entries // (block * slots)) * slots
     words, seed = _lexicon(content, blocks, min_df, seed)
     pieces = _pieces(_entries(content, blocks, seed), blocks)
     weights = stored(start_weights(words, k, seed), "topic-weights")
