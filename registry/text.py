@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registry import common as C
 from sentiloom import constants as K
 from sentiloom.functions import text as X
+from sentiloom.operators import counts as N
 from sentiloom.operators import information as I
 from sentiloom.operators import lexicon as L
 from sentiloom.operators import shape as S
@@ -67,6 +68,36 @@ def vocabulary(spark, sf):
     return I.vocabulary(C.docs(spark, sf))
 
 
+def kept_counts(spark, sf):
+    """All documents as three batches: two merged, the second of them tried again, the last one added after that."""
+    path, docs = C.scratch(spark), C.docs(spark, sf, "doc_id", "text", "source")
+    batch = lambda i: docs.where(F.pmod(F.hash("source"), F.lit(3)) == i).select("text")
+    for i in (0, 1, 1):
+        N.add_batch(batch(i), path, f"load {i}")
+    N.compact(spark, path)
+    for i in (1, 2):
+        N.add_batch(batch(i), path, f"load {i}")
+    return path
+
+
+@query(
+    "kept_vocabulary",
+    f"""WITH {C.SQL_WORDS} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS df,
+    row_number() OVER (ORDER BY word) - 1 AS id FROM words GROUP BY word""",
+)
+def kept_vocabulary(spark, sf):
+    return N.kept_vocabulary(spark, kept_counts(spark, sf))
+
+
+@query(
+    "kept_pairs",
+    f"""WITH {C.SQL_WORDS}, p AS (SELECT word AS v, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS w FROM words)
+    SELECT v, w, count(*) AS n FROM p WHERE w IS NOT NULL GROUP BY v, w""",
+)
+def kept_pairs(spark, sf):
+    return N.kept_pairs(spark, kept_counts(spark, sf))
+
+
 @query("bow", f"WITH {C.SQL_WORDS} SELECT doc_id, word, count(*) AS n FROM words GROUP BY doc_id, word")
 def bow(spark, sf):
     return I.bow(C.docs(spark, sf))
