@@ -6,7 +6,6 @@ queries state it and SQL says what is to come out.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,7 +21,7 @@ K_NEAREST, K_TOPICS, N_WORDS, K_REDUCED = 10, 5, 5, 3
 
 @query("similar_words")
 def similar_words(spark, sf):
-    return M.similar_words(M.word_vectors(C.docs(spark, sf)), C.CONTEXT_ASPECT, K_NEAREST)
+    return V.similar_words(V.pmi_vectors(C.docs(spark, sf)), C.CONTEXT_ASPECT, K_NEAREST)
 
 
 @query("topics")
@@ -43,22 +42,23 @@ def reduce_embeddings(spark, sf):
     f"SELECT unnest(range(1, {K_NEAREST + 1})) AS rank, TRUE AS is_cosine, TRUE AS in_corpus, TRUE AS nothing_nearer",
 )
 def check_word_vectors(spark, sf):
-    """The nearest words by the model are those of the cosines of its vectors."""
+    """The nearest words of the operator are those of the cosines of its vectors."""
     docs = C.docs(spark, sf)
-    model = M.word_vectors(docs)
-    vectors = model.getVectors().select("word", vector_to_array("vector").alias("v"))
+    found = V.pmi_vectors(docs)
+    vectors = found.select("word", F.col("v").cast("array<double>").alias("v"))
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     target = vectors.where(F.col("word") == C.CONTEXT_ASPECT).agg(F.first("v")).scalar()
     dot = F.aggregate(F.zip_with("v", "t", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     cosines = (
         vectors.where(F.col("word") != C.CONTEXT_ASPECT)
         .withColumn("t", target)
-        .select("word", (dot / (length(F.col("v")) * length(F.col("t")))).alias("cosine"))
+        .select("word", F.try_divide(dot, length(F.col("v")) * length(F.col("t"))).alias("cosine"))
+        .where(F.col("cosine").isNotNull())  # a word without direction has none
     )
     best = cosines.orderBy(F.desc("cosine")).limit(K_NEAREST)
     least = best.agg(F.min("cosine")).scalar()
     corpus = docs.select(F.explode(X.words("text")).alias("word")).distinct().withColumn("known", F.lit(True))
-    ranked = M.similar_words(model, C.CONTEXT_ASPECT, K_NEAREST).withColumn(
+    ranked = V.similar_words(found, C.CONTEXT_ASPECT, K_NEAREST).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "word")).cast("bigint")
     )
     return (

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from registry import QUERIES
+from sentiloom.operators import models as M
 from sentiloom.operators import vectors as V
 
 TEXTS = ["the cat sat on the mat", "the dog sat on the rug. a cat saw a dog", "on a mat sat a dog", None, "", "alone"]
@@ -114,3 +116,15 @@ def test_rare_words_and_a_high_shift(spark):
     assert kept == {"the", "sat", "on", "a", "dog"}
     flat = V.pmi_vectors(docs, size=3, shift=1e9).collect()
     assert {tuple(r["v"]) for r in flat} == {(0.0, 0.0, 0.0)}
+
+
+def test_queries_hold_no_vocabulary_in_the_driver(spark, monkeypatch):
+    def held(*args, **kwargs):
+        raise AssertionError("a vocabulary in the driver")
+
+    monkeypatch.setattr(M, "Word2Vec", held)
+    nearest = QUERIES["similar_words"](spark, "/root/testdata/sf0.001").collect()
+    assert len(nearest) == 10
+    rows = QUERIES["check_word_vectors"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 11))
+    assert all(r["is_cosine"] and r["in_corpus"] and r["nothing_nearer"] for r in rows)
