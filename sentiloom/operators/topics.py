@@ -1,8 +1,8 @@
 """Topics of any vocabulary: expectation-maximisation over blocks of documents.
 
 Every table here is keyed by word, by document or by block of documents.  What
-reaches the driver are ``k`` sums a round and some counts, however many words
-there are.
+reaches the driver are ``k`` sums a round, some counts and one label a block,
+however many words there are.
 
 A document mixes topics, a topic is a distribution over words.  In each round a
 word's weights travel to the blocks that hold it; a task finds the mixtures of
@@ -11,9 +11,12 @@ every topic takes of it.  The sums by word are stored and are the next weights.
 ``alpha`` and ``eta`` are added to the counts of topics in a document and of words
 in a topic.
 
-A task holds one block: the weights of its words and at most about ``ENTRIES``
-(document, word) entries; a document is never split, so one with more different
-words than that is a block's content for itself.
+Documents move once: they are stored in as many buckets as there are blocks, and a
+round meets them where they lie.  So a round moves words only, and the larger a
+block is, the fewer blocks a word is sent to.  A task holds one block: the weights
+of its words and at most about ``ENTRIES`` (document, word) entries of 8 bytes; a
+document is never split, so one with more different words than that is a block's
+content for itself.
 
 Each row is a document, also where keys or texts repeat.  A row without a content
 word (a NULL or empty text, stop words only) has no mixture: its ``topics`` are
@@ -24,20 +27,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentiloom import constants as K
 from sentiloom.functions import text as X
-from sentiloom.operators.scale import stored
+from sentiloom.operators.scale import lookup_join, stored
+from sentiloom.session import ensure_checkpoint_dir
 
-# (document, word) entries of a block, of a packed row, and of one step in numpy.
-ENTRIES, PIECE, STEP = 1 << 18, 1 << 15, 1 << 15
-ENTRY = np.dtype([("at", "<i8"), ("id", "<i8"), ("n", "<i4")])
+# (document, word) entries of a block, of one block in a small corpus, of one step in numpy.
+ENTRIES, PIECE, STEP = 1 << 23, 1 << 15, 1 << 15
 
 
 class Topics(NamedTuple):
@@ -54,56 +58,88 @@ def _content(docs: DataFrame, key: str, text: str, stop: Sequence[str]) -> DataF
     return stored(rows.withColumn("at", F.monotonically_increasing_id()), "topic-content")
 
 
-def _entries(content: DataFrame, blocks: int, seed: int) -> DataFrame:
-    rows = content.select("at", F.explode("counts").alias("_c"))
-    return rows.select(
-        F.pmod(F.hash("at"), F.lit(blocks)).alias("block"),
-        "at",
-        F.col("_c.word").alias("word"),
-        F.xxhash64(F.col("_c.word"), F.lit(seed)).alias("id"),
-        F.col("_c.k").cast("int").alias("n"),
+def _lexicon(content: DataFrame, min_df: int, seed: int) -> tuple[DataFrame, int]:
+    """``(word, id, n)``, stored, with a seed under which no two words share an id."""
+    rows = content.select(F.inline("counts"))
+    words = stored(
+        rows.groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("df")).where(F.col("df") >= min_df).drop("df"),
+        "topic-words",
     )
-
-
-def _lexicon(content: DataFrame, blocks: int, min_df: int, seed: int) -> tuple[DataFrame, int]:
-    """``(word, id, n, blocks)``, stored, with a seed under which no two words share an id."""
     while True:
-        words = stored(
-            _entries(content, blocks, seed)
-            .groupBy("word", "id")
-            .agg(F.sum("n").alias("n"), F.count("*").alias("df"), F.collect_set("block").alias("blocks"))
-            .where(F.col("df") >= min_df)
-            .drop("df"),
-            "topic-words",
-        )
-        if words.groupBy("id").count().where("count > 1").isEmpty():
-            return words, seed
+        named = words.select("word", F.xxhash64("word", F.lit(seed)).alias("id"), "n")
+        if named.groupBy("id").count().where("count > 1").isEmpty():
+            return named, seed
         seed += 1
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in order of block and document, as rows of ``PIECE`` entries at most."""
-    block, no = None, 0
+def _labels(spark: SparkSession, blocks: int) -> list[int]:
+    """A number for each block, so that Spark's hash puts each in a bucket of its own."""
+    found, upto = {}, 8 * blocks
+    while len(found) < blocks:
+        numbers = spark.range(upto).select(F.col("id").cast("int").alias("i"))
+        buckets = numbers.groupBy(F.pmod(F.hash("i"), F.lit(blocks)).alias("b")).agg(F.min("i").alias("i"))
+        found = {r["b"]: r["i"] for r in buckets.collect()}  # one row a block
+        upto *= 2
+    return [found[b] for b in range(blocks)]
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's words by their place among its ids, and, in a row without a document, these ids."""
+
+    def rows(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [b.column(2) for b in held]
+        ids, words = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]), return_inverse=True)
+        words, first = words.astype(np.int32), 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())),
+             pa.array([None], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))],
+            names,
+        )
+        for b, x in zip(held, lists):
+            ends = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]).astype(np.int32)
+            w = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[first : first + ends[-1]]))
+            first += int(ends[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), w, b.column(3), pa.nulls(len(b), pa.list_(pa.int64()))], names)
+
+    names, at, held = ["block", "at", "w", "n", "ids"], None, []
     for batch in batches:
-        at, ids, n, where = (c.to_numpy(zero_copy_only=False) for c in (batch["at"], batch["id"], batch["n"], batch["block"]))
-        every = np.empty(len(at), ENTRY)
-        every["at"], every["id"], every["n"] = at, ids, n
-        cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
-        rows = []
-        for low, high in zip(cuts, cuts[1:]):
-            for first in range(low, high, PIECE):
-                if where[first] != block:
-                    block, no = where[first], 0
-                rows.append((int(block), no, every[first : min(first + PIECE, high)].tobytes()))
-                no += 1
-        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "no", "data"])
-
-
-def _pieces(entries: DataFrame, blocks: int) -> DataFrame:
-    placed = entries.select("block", "at", "id", "n").repartitionById(blocks, "block")
-    ordered = placed.sortWithinPartitions("block", "at", "id")
-    return stored(ordered.mapInArrow(_packed, "block int, no int, data binary"), "topic-entries")
+        where = batch.column(0).to_numpy()
+        turns = (np.flatnonzero(np.diff(where)) + 1).tolist()
+        for low, high in zip([0, *turns], [*turns, len(where)]):
+            if low == high:
+                continue
+            if held and where[low] != at:
+                yield from rows(int(at), held)
+                held = []
+            at = where[low]
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield from rows(int(at), held)
+
+
+def _pieces(content: DataFrame, words: DataFrame, blocks: int, seed: int, min_df: int) -> DataFrame:
+    """``(block, at, w, n, ids)``: documents in the bucket of their block."""
+    spark = content.sparkSession
+    labels = F.array(*[F.lit(i) for i in _labels(spark, blocks)])
+    block = F.element_at(labels, F.pmod(F.hash("at"), F.lit(blocks)) + 1)
+    if min_df > 1:  # what too few rows hold has no weights
+        rows = content.select("at", F.inline("counts"))
+        kept = lookup_join(rows, words.select("word"), ["word"], "left_semi")
+        counts = F.array_sort(F.collect_list(F.struct("word", "k"))).alias("counts")
+        content = kept.groupBy("at").agg(counts)
+    rows = content.where(F.size("counts") > 0).select(
+        block.alias("block"),
+        "at",
+        F.transform("counts", lambda c: F.xxhash64(c["word"], F.lit(seed))).alias("ids"),
+        F.transform("counts", lambda c: c["k"].cast("int")).alias("n"),
+    )
+    placed = rows.repartition(blocks, "block").sortWithinPartitions("block", "at")
+    numbered = placed.mapInArrow(_numbered, "block int, at bigint, w array<int>, n array<int>, ids array<bigint>")
+    ensure_checkpoint_dir(spark)
+    name = f"topic_entries_{uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    numbered.write.bucketBy(blocks, "block").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def mixtures(p: np.ndarray, n: np.ndarray, starts: np.ndarray, alpha: float, passes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,74 +157,56 @@ def mixtures(p: np.ndarray, n: np.ndarray, starts: np.ndarray, alpha: float, pas
     return shares, taken
 
 
-def _block_rows(ids, weights, pieces, k: int, alpha: float, passes: int, documents: bool) -> pa.RecordBatch:
-    """One block: sums by word, or shares by document."""
+def _block_rows(ids, weights, pieces, k: int, alpha: float, passes: int, documents: bool) -> list[np.ndarray]:
+    """One block: sums by word, or shares by document; the first column is their id."""
     order = np.argsort(ids)
-    ids, weights = ids[order], np.ascontiguousarray(weights[order].T)
-    data = np.concatenate(pieces)
-    word = np.minimum(np.searchsorted(ids, data["id"]), len(ids) - 1)
-    known = ids[word] == data["id"]  # words that too few rows hold have no weights
-    data, word = data[known], word[known]
-    begins = np.flatnonzero(np.diff(data["at"], prepend=-1))
+    ids, weights = ids[order], np.ascontiguousarray(weights[:, order])
     sums, keys, found = np.zeros_like(weights), [], []
-    first = 0
-    while first < len(begins):  # whole documents, STEP entries or a little more at a time
-        last = max(first + 1, int(np.searchsorted(begins, begins[first] + STEP)))
-        low, high = begins[first], begins[last] if last < len(begins) else len(data)
-        w, n = word[low:high], data["n"][low:high].astype(float)
-        shares, taken = mixtures(weights[:, w], n, begins[first:last] - low, alpha, passes)
-        if documents:
-            keys.append(data["at"][begins[first:last]])
-            found.append(shares)
-        else:
-            by_word = np.argsort(w, kind="stable")
-            heads = np.flatnonzero(np.diff(w[by_word], prepend=-1))
-            sums[:, w[by_word][heads]] += np.add.reduceat(taken[:, by_word], heads, axis=1)
-        first = last
+    for at, words, counts, ends in pieces:
+        first = 0
+        while first < len(at):  # whole documents, STEP entries or a little more at a time
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP)))
+            last = min(last, len(at))
+            low, high = ends[first], ends[last]
+            w, n = words[low:high], counts[low:high].astype(float)
+            shares, taken = mixtures(weights[:, w], n, ends[first:last] - low, alpha, passes)
+            if documents:
+                keys.append(at[first:last])
+                found.append(shares)
+            else:
+                by_word = np.argsort(w, kind="stable")
+                heads = np.flatnonzero(np.diff(w[by_word], prepend=-1))
+                sums[:, w[by_word][heads]] += np.add.reduceat(taken[:, by_word], heads, axis=1)
+            first = last
     if documents:
-        ids = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        sums = np.concatenate(found, axis=1) if found else np.empty((k, 0))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(row) for row in sums)], _names("id", k))
+        ids, sums = np.concatenate(keys), np.concatenate(found, axis=1)
+    return [ids, *sums]
 
 
 def _names(first: str, k: int) -> list[str]:
     return [first, *(f"s{i}" for i in range(k))]
 
 
-def _pass(pieces: DataFrame, chances: DataFrame, blocks: int, k: int, alpha: float, passes: int, documents: bool) -> DataFrame:
-    """Meet each block with the chances ``(id, blocks, p)`` of its words."""
-
-    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, weights, held = None, [], [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held and ids:
-                yield _block_rows(np.concatenate(ids), np.concatenate(weights), held, k, alpha, passes, documents)
-
-        for batch in batches:
-            where = batch["block"].to_numpy()
-            kind = batch["no"].to_numpy() < 0
-            turns = np.flatnonzero(np.diff(where)) + 1
-            for low, high in zip([0, *turns.tolist()], [*turns.tolist(), len(where)]):
-                if low == high:
-                    continue
-                if where[low] != at:
-                    yield from close()
-                    at, ids, weights, held = where[low], [], [], []
-                words = low + int(kind[low:high].sum())  # a block's words stand before its entries
-                if words > low:
-                    ids.append(batch["id"].slice(low, words - low).to_numpy())
-                    weights.append(batch["p"].slice(low, words - low).flatten().to_numpy().reshape(-1, k))
-                held.extend(np.frombuffer(d, ENTRY) for d in batch["data"].slice(words, high - words).to_pylist())
-        yield from close()
-
-    none = lambda kind: F.lit(None).cast(kind)
-    words = chances.select(
-        F.explode("blocks").alias("block"), F.lit(-1).alias("no"), "id", "p", none("binary").alias("data")
-    )
-    entries = pieces.select("block", "no", none("bigint").alias("id"), none("array<double>").alias("p"), "data")
-    placed = words.unionByName(entries).repartitionById(blocks, "block").sortWithinPartitions("block", "no")
-    return placed.mapInArrow(solved, ", ".join(["id bigint", *(f"s{i} double" for i in range(k))]))
+def _pass(pieces: DataFrame, chances: DataFrame, k: int, alpha: float, passes: int, documents: bool) -> DataFrame:
+    """Meet each block with the chances ``(block, id, p0, …)`` of its words."""
+    kinds = pa.schema([("id", pa.int64()), *((n, pa.float64()) for n in _names("id", k)[1:])])
+
+    def solved(held: pa.Table, words: pa.Table) -> pa.Table:
+        if not held.num_rows or not words.num_rows:
+            return kinds.empty_table()
+        lists = []
+        for batch in held.to_batches():
+            if batch.num_rows:
+                n = batch["n"]
+                ends = np.concatenate([[0], np.cumsum(n.value_lengths().to_numpy())])
+                lists.append((batch["at"].to_numpy(), batch["w"].flatten().to_numpy(), n.flatten().to_numpy(), ends))
+        weights = np.stack([words[f"p{i}"].to_numpy() for i in range(k)])
+        rows = _block_rows(words["id"].to_numpy(), weights, lists, k, alpha, passes, documents)
+        return pa.Table.from_arrays([pa.array(r) for r in rows], schema=kinds)
+
+    entries = pieces.where(F.col("at").isNotNull()).select("block", "at", "w", "n")
+    kind = ", ".join(["id bigint", *(f"s{i} double" for i in range(k))])
+    return entries.groupBy("block").cogroup(chances.groupBy("block")).applyInArrow(solved, kind)
 
 
 def start_weights(words: DataFrame, k: int, seed: int) -> DataFrame:
@@ -199,12 +217,12 @@ def start_weights(words: DataFrame, k: int, seed: int) -> DataFrame:
     return words.select("id", *[(F.col("n") * d / total).alias(f"s{i}") for i, d in enumerate(draws)])
 
 
-def _chances(words: DataFrame, weights: DataFrame, k: int, eta: float) -> DataFrame:
-    """``(id, blocks, p)``: the chance of a word in each topic."""
+def _chances(places: DataFrame, weights: DataFrame, k: int, eta: float) -> DataFrame:
+    """``(block, id, p0, …)``: the chance of a word in each topic, for each block that holds it."""
     row = weights.agg(F.count("*").alias("v"), *[F.sum(f"s{i}").alias(f"t{i}") for i in range(k)]).first()
     smooth = lambda i: (F.col(f"s{i}") + eta) / ((row[f"t{i}"] or 0.0) + eta * max(row["v"], 1))
-    p = F.array(*[smooth(i) for i in range(k)])
-    return words.select("id", "blocks").join(weights.select("id", p.alias("p")), "id")
+    rows = places.join(weights.select("id", *[smooth(i).alias(f"p{i}") for i in range(k)]), "id")
+    return rows.select(F.explode("blocks").alias("block"), "id", *[f"p{i}" for i in range(k)])
 
 
 def corpus_topics(
@@ -225,17 +243,19 @@ def corpus_topics(
     content = _content(docs, key, text, stop)
     entries = content.agg(F.sum(F.array_size("counts"))).first()[0] or 0
     slots = docs.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, min(slots, -(-entries // STEP)))  # whole waves of tasks beyond that
+    blocks = max(1, min(slots, -(-entries // PIECE)))  # whole waves of tasks beyond that
     if entries > block * blocks:
         blocks = -(-entries // (block * slots)) * slots
-    words, seed = _lexicon(content, blocks, min_df, seed)
-    pieces = _pieces(_entries(content, blocks, seed), blocks)
+    words, seed = _lexicon(content, min_df, seed)
+    pieces = _pieces(content, words, blocks, seed, min_df)
+    held = pieces.where(F.col("at").isNull()).select("block", F.explode("ids").alias("id"))
+    places = stored(held.groupBy("id").agg(F.collect_list("block").alias("blocks")), "topic-places")
     weights = stored(start_weights(words, k, seed), "topic-weights")
     for _ in range(rounds):
-        parts = _pass(pieces, _chances(words, weights, k, eta), blocks, k, alpha, passes, documents=False)
+        parts = _pass(pieces, _chances(places, weights, k, eta), k, alpha, passes, documents=False)
         summed = parts.groupBy("id").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
         weights = stored(summed, "topic-weights")
-    found = _pass(pieces, _chances(words, weights, k, eta), blocks, k, alpha, passes, documents=True)
+    found = _pass(pieces, _chances(places, weights, k, eta), k, alpha, passes, documents=True)
     listed = F.array(*[f"s{i}" for i in range(k)])
     shares = found.select(F.col("id").alias("at"), listed.alias("topics"))
     return Topics(

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registry import QUERIES
+from sentiloom.operators import models as M
 from sentiloom.operators import topics as T
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +89,25 @@ def test_rows_without_words_ties_and_repeats(spark):
 def test_no_documents(spark):
     got = T.corpus_topics(spark.createDataFrame([], "doc_id int, text string"), k=2, rounds=2)
     assert got.words.isEmpty() and got.documents.isEmpty() and T.top_words(got.words).isEmpty()
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 40])
+def test_documents_move_once(spark, blocks):
+    """A round meets blocks where they were stored, each in a bucket of its own; only words are shuffled."""
+    labels = T._labels(spark, blocks)
+    places = spark.createDataFrame([(i,) for i in labels], "i int").select(F.pmod(F.hash("i"), F.lit(blocks)))
+    assert sorted(r[0] for r in places.collect()) == list(range(blocks))
+    content = T._content(corpus(spark)[1], "doc_id", "text", [])
+    words, seed = T._lexicon(content, 1, 42)
+    pieces = T._pieces(content, words, blocks, seed, 1)
+    chances = words.select(F.lit(labels[0]).alias("block"), "id", F.lit(0.1).alias("p0"))
+    plan = T._pass(pieces, chances, 1, 0.1, 1, False)._jdf.queryExecution().executedPlan().toString()
+    entries = plan[plan.index("FlatMapCoGroups") :].split("Sort [block")[1]
+    assert "topic_entries" in entries and "Exchange" not in entries
+
+
+def test_the_query_holds_no_vocabulary_in_the_driver(spark):
+    rows, docs = corpus(spark)
+    want = T.top_words(T.corpus_topics(docs, k=2, rounds=3).words, 3)
+    assert sorted(map(tuple, M.topics(docs, k=2, n_words=3, iterations=3).collect())) == sorted(map(tuple, want.collect()))
+    assert not hasattr(M, "CountVectorizer")
