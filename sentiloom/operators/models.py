@@ -1,20 +1,15 @@
-"""Corpus models from ``pyspark.ml``: word vectors, topics, reduced embeddings."""
+"""Corpus models: word vectors and reduced embeddings from ``pyspark.ml``, topics from blocks of documents."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, Word2Vec
+from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentiloom import constants as K
 from sentiloom.functions import text as X
-
-# No vocabulary is larger: as many as an array has places.
-ALL_WORDS = (1 << 31) - 1
-
+from sentiloom.operators.topics import corpus_topics, top_words
 
 def word_vectors(
     docs: DataFrame,
@@ -62,32 +57,14 @@ def topics(
     iterations: int = 10,
     seed: int = 42,
 ) -> DataFrame:
-    """LDA topics ``(topic, rank, word, weight)`` over the content words.
+    """Topics ``(topic, rank, word, weight)`` over the content words.
 
     The dictionary is every word and number that ``min_df`` texts hold, and
-    every iteration sees the whole corpus.
+    every iteration sees the whole corpus; neither is held in one place
+    (:func:`sentiloom.operators.topics.corpus_topics`).
     """
-    content = docs.select(
-        key, F.filter(X.alphanumerics(text), lambda w: ~w.isin(*stop)).alias("words")
-    )
-    vectorizer = CountVectorizer(
-        inputCol="words", outputCol="features", vocabSize=ALL_WORDS, minDF=min_df
-    ).fit(content)
-    counts = vectorizer.transform(content).select(key, "features").persist(StorageLevel.DISK_ONLY)
-    try:  # every iteration reads the counts again
-        model = LDA(
-            k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0
-        ).fit(counts)
-    finally:
-        counts.unpersist()
-    top = model.describeTopics(n_words).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t")
-    )
-    rows = [  # k * n_words rows
-        (r["topic"], r["rank"], vectorizer.vocabulary[r["_t"]["termIndices"]], r["_t"]["termWeights"])
-        for r in top.collect()
-    ]
-    return docs.sparkSession.createDataFrame(rows, "topic int, rank int, word string, weight double")
+    model = corpus_topics(docs, key, text, k, iterations, stop=stop, min_df=min_df, seed=seed)
+    return top_words(model.words, n_words)
 
 
 def reduce_embeddings(
