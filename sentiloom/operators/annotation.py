@@ -6,8 +6,15 @@ Columns: ``doc_id, sent_id, tok_id`` (1-based), ``text, lemma, upos``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sentiloom import constants as K
 
@@ -61,24 +68,27 @@ def opinion_of_rows(tokens: DataFrame, rows: DataFrame, aspect: str = "aspect")
 
 
 def opinion_of(tokens: DataFrame, aspect: str) -> DataFrame:
-    """The same for one aspect, in one grouping of the tokens by sentence.
+    """The same for one aspect.
 
-    A sentence gives the first named token and the first adjective under it;
-    the first such sentence of a document counts.
+    Only named tokens and adjectives are grouped by sentence; of all others no
+    more than the key moves.  A sentence gives the first named token and the
+    first adjective under it; the first such sentence of a document counts.
     """
     named = F.lower("text") == aspect.lower()
-    adjective = F.when(
-        F.col("upos") == K.OPINION_CLASS, F.struct("head", F.col("tok_id").alias("tok"), F.col("text").alias("opinion"))
-    )
-    by_sentence = tokens.groupBy(*SENTENCE).agg(
+    is_adjective = F.col("upos") == K.OPINION_CLASS
+    adjective = F.when(is_adjective, F.struct("head", F.col("tok_id").alias("tok"), F.col("text").alias("opinion")))
+    by_sentence = tokens.where(named | is_adjective).groupBy(*SENTENCE).agg(
         F.array_sort(F.collect_list(F.when(named, F.col("tok_id")))).alias("_named"),
         F.array_sort(F.collect_list(adjective)).alias("_adjectives"),
     )
     under = F.filter("_adjectives", lambda a: F.array_contains("_named", a["head"]))
     first = F.get(under, F.lit(0))
-    hit = F.when(F.size(under) > 0, F.struct("sent_id", first["head"].alias("tok_id"), first["opinion"].alias("opinion")))
+    hits = by_sentence.where(F.size(under) > 0).select(
+        "doc_id", F.struct("sent_id", first["head"].alias("tok_id"), first["opinion"].alias("opinion")).alias("_hit")
+    )
+    every = tokens.select("doc_id").distinct().withColumn("_hit", F.lit(None).cast(hits.schema["_hit"].dataType))
     return (
-        by_sentence.select("doc_id", hit.alias("_hit"))
+        hits.unionByName(every)
         .groupBy("doc_id")
         .agg(F.min("_hit").alias("_hit"))
         .select("doc_id", F.coalesce("_hit.opinion", F.lit(K.NO_OPINION)).alias("opinion"))
@@ -86,25 +96,88 @@ def opinion_of(tokens: DataFrame, aspect: str) -> DataFrame:
 
 
 LISTS = ("text", "lemma", "upos", "head", "deprel", "ner")
-
-
-def _field(name: str) -> Column:
-    return F.transform("_rows", lambda r: r["t"][name])
+# Bytes of unpacked tokens that a task turns into lists at a time.
+UNPACKED = 16 << 20
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; the first does."""
+    one, other = column.slice(0, max(len(column) - 1, 0)), column.slice(1)
+    differs = pc.coalesce(pc.not_equal(one, other), pc.xor(one.is_valid(), other.is_valid()))
+    return np.append(np.ones(min(len(column), 1), bool), differs.to_numpy(zero_copy_only=False).astype(bool))
+
+
+def _packer(schema: pa.Schema) -> Callable:
+    """Rows of one comment that follow each other, as one compressed batch."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = batch.column(0), pa.RecordBatch.from_arrays(batch.columns[1:], schema=schema)
+            starts = np.flatnonzero(_changes(keys)).tolist()
+            data = [rows.slice(low, high - low).serialize() for low, high in zip(starts, [*starts[1:], len(keys)])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.take(pa.array(starts, pa.int64())),
+                    pa.array([d.size for d in data], pa.int64()),
+                    pa.array([pa.compress(d, "zstd", asbytes=True) for d in data], pa.binary()),
+                ],
+                ["doc_id", "size", "data"],
+            )
+
+    return packed
+
+
+def _unpacker(schema: pa.Schema, out: list[str], per_sentence: bool) -> Callable:
+    """Lists of the comments, or sentences, that come in order of their comment."""
+
+    def lists(docs: list, parts: list[pa.RecordBatch], kind: pa.DataType) -> pa.RecordBatch:
+        turns = [0, *(i for i in range(1, len(docs)) if docs[i] != docs[i - 1])]
+        which = np.repeat(np.searchsorted(turns, range(len(docs)), side="right") - 1, [len(p) for p in parts])
+        rows = pa.Table.from_batches(parts, schema).append_column("_which", pa.array(which))
+        places = [(n, "ascending") for n in ("_which", "sent_id", "tok_id", *LISTS)]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=places, null_placement="at_start")).combine_chunks()
+        at = rows["_which"].to_numpy()
+        new = np.diff(at, prepend=-1) != 0
+        if per_sentence:
+            new |= _changes(rows["sent_id"].combine_chunks())
+        starts = np.flatnonzero(new)
+        ends = pa.array(np.append(starts, len(at)), pa.int32())
+        keys = [pa.array([docs[t] for t in turns], kind).take(pa.array(at[starts]))]
+        if per_sentence:
+            keys.append(rows["sent_id"].take(pa.array(starts)).combine_chunks())
+        columns = [pa.ListArray.from_arrays(ends, c) for c in (rows[n].combine_chunks() for n in LISTS)]
+        return pa.RecordBatch.from_arrays([*keys, *columns], out)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, parts, held, kind = [], [], 0, None
+        for batch in batches:
+            kind = batch.column(0).type
+            for doc, size, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if held > UNPACKED and doc != docs[-1]:
+                    yield lists(docs, parts, kind)
+                    docs, parts, held = [], [], 0
+                docs.append(doc)
+                parts.append(pa.ipc.read_record_batch(pa.decompress(data, size, "zstd"), schema))
+                held += size
+        if docs:
+            yield lists(docs, parts, kind)
+
+    return unpacked
 
 
 def annotation_lists(tokens: DataFrame, per_sentence: bool = False) -> DataFrame:
     """Six parallel lists per comment, or per sentence of a comment.
 
     A comment is one text cell, so its list is no longer than that cell.
-    Each value sits in a struct, so that a NULL keeps its place.
+    Tokens of a comment that stand together move as one compressed row;
+    they may come in any order and any number of such rows.
     """
     keys = SENTENCE if per_sentence else ["doc_id"]
-    rows = F.array_sort(F.collect_list(F.struct("sent_id", "tok_id", F.struct(*LISTS).alias("t"))))
-    return (
-        tokens.groupBy(*keys)
-        .agg(rows.alias("_rows"))
-        .select(
-            *keys,
-            *[_field(c).alias(f"{c}_list") for c in LISTS],
-        )
-    )
+    rows = tokens.select(*SENTENCE, "tok_id", *LISTS)
+    inner = to_arrow_schema(rows.drop("doc_id").schema)
+    out = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys])
+    for c in LISTS:
+        out = out.add(f"{c}_list", T.ArrayType(rows.schema[c].dataType))
+    row = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("size", "long").add("data", "binary")
+    placed = rows.mapInArrow(_packer(inner), row).repartition("doc_id").sortWithinPartitions("doc_id")
+    return placed.mapInArrow(_unpacker(inner, out.names, per_sentence), out)
