@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sentiloom import constants as K
 from sentiloom.functions import text as X
-from sentiloom.operators.scale import lookup_join
+from sentiloom.operators.scale import fits_broadcast, lookup_join
+from sentiloom.operators.terms import terms_in
 
 START_CHARS = 6
 
@@ -75,20 +76,27 @@ def aspects_present(
 ) -> DataFrame:
     """Rows ``(key, aspect)`` for each aspect that is part of the text.
 
-    The terms of a list are tested inside the row, those of a table
-    ``(aspect)`` are joined: the first characters of every place of the text
-    find the terms that may begin there, and the text decides.  Both ways a
-    term counts once, and empty and NULL terms never.
+    The terms of a list are tested inside the row.  Those of a table
+    ``(aspect)`` that fits a broadcast go to every task, which looks them up at
+    all places of its texts.  Those of a larger one are joined: the first
+    characters of every place of the text find the terms that may begin there,
+    and the text decides.  In each way a term counts once, and empty and NULL
+    terms never.
     """
     if not isinstance(aspects, DataFrame):
         terms = [a for a in dict.fromkeys(aspects) if a]
         return docs.select(key, F.explode(X.contained(text, terms)).alias("aspect"))
+    listed = aspects.where(F.length("aspect") > 0).select("aspect").distinct()
+    if fits_broadcast(listed):
+        terms = [r["aspect"] for r in listed.collect()]  # measured just before
+        return terms_in(docs, terms, key, text) if terms else docs.select(key, F.lit("").alias("aspect")).limit(0)
+    return _aspects_by_start(docs, listed, key, text)
+
+
+def _aspects_by_start(docs: DataFrame, aspects: DataFrame, key: str, text: str) -> DataFrame:
+    """The same for any number of different terms."""
     size = F.least(F.length("aspect"), F.lit(START_CHARS))
-    terms = (
-        aspects.where(F.length("aspect") > 0)
-        .select("aspect", F.substr("aspect", F.lit(1), size).alias("start"))
-        .distinct()
-    )
+    terms = aspects.select("aspect", F.substr("aspect", F.lit(1), size).alias("start"))
     sizes = terms.agg(F.collect_set(F.length("start"))).scalar()  # at most START_CHARS values
 
     def pieces(chars: Column) -> Column:
