@@ -32,6 +32,11 @@ def words(text: Column | str, lower: bool = True) -> Column:
     return F.regexp_extract_all(text, F.lit(K.WORD), F.lit(1))
 
 
+def hashes(tokens: Column, seed: int) -> Column:
+    """A long for each token; which seed tells all of a vocabulary apart is to be checked."""
+    return F.transform(tokens, lambda w: F.xxhash64(w, F.lit(seed)))
+
+
 def alphanumerics(text: Column | str) -> Column:
     """Runs of letters and runs of digits, lower-cased."""
     return F.regexp_extract_all(F.lower(col(text)), F.lit(K.WORD_OR_NUMBER), F.lit(1))

@@ -8,7 +8,7 @@ row per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,21 +40,6 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return dense_index(word_statistics(docs, key, text), ["word"], "id")
 
 
-def _word_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Words with what they count for: themselves, pair starts, pair ends."""
-    ws = F.col("_ws")
-    followed = F.arrays_zip(ws.alias("v"), F.slice(ws, 2, F.array_size(ws)).alias("w"))
-    rows = docs.select(key, X.words(text).alias("_ws")).select(
-        key, F.posexplode(followed).alias("_pos", "_p")
-    )
-    return rows.select(
-        key,
-        F.col("_p.v").alias("word"),
-        F.col("_p.w").isNotNull().alias("starts"),
-        (F.col("_pos") > 0).alias("ends"),
-    )
-
-
 def _pair_rows(docs: DataFrame, text: str, *keys: str) -> DataFrame:
     rows = docs.select(*keys, X.words(text).alias("_ws")).select(
         *keys, F.explode(X.adjacent_pairs("_ws")).alias("_p")
@@ -119,43 +104,103 @@ def _part(df: DataFrame, key: str, **columns: Column) -> DataFrame:
     )
 
 
-def _language_sums(
-    docs: DataFrame, key: str, text: str, words: DataFrame, pairs: DataFrame, with_entropy: bool = False
-) -> DataFrame:
-    """Sums per row: word lookups and pair lookups, stacked and added up in one go.
+def _seed(words: DataFrame) -> int:
+    """A seed whose hashes tell all words apart."""
+    seed = 42
+    while not words.groupBy(F.xxhash64("word", F.lit(seed))).count().where("count > 1").isEmpty():
+        seed += 1
+    return seed
+
+
+def _coded(docs: DataFrame, key: str, text: str, words: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    """Texts as arrays of hashes ``(key, ids)``, the count of each ``(id, n)``, both stored, and the seed.
+
+    The hashes tell all words apart.  Where no counts are given, a second hash
+    beside the first one shows whether two words share it.
+    """
+    if words is not None:
+        seed = _seed(words)
+        coded = stored(docs.select(key, X.hashes(X.words(text), seed).alias("ids")), "word-hashes")
+        return coded, words.select(F.xxhash64("word", F.lit(seed)).alias("id"), "n"), seed
+    seed = 42
+    while True:
+        both = X.let(X.words(text), lambda ws: F.struct(X.hashes(ws, seed).alias("ids"), X.hashes(ws, ~seed).alias("other")))
+        coded = stored(docs.select(key, both.alias("_h")).select(key, "_h.*"), "word-hashes")
+        rows = coded.select(F.inline(F.arrays_zip("ids", "other")))
+        counts = rows.groupBy(F.col("ids").alias("id")).agg(
+            F.count("*").alias("n"), (F.min("other") != F.max("other")).alias("shared")
+        )
+        counts = stored(counts, "word-counts")
+        if counts.where("shared").isEmpty():
+            return coded.drop("other"), counts.drop("shared"), seed
+        seed += 1
 
+
+def _id_rows(coded: DataFrame, key: str) -> DataFrame:
+    """Words with what they count for: themselves, pair starts, pair ends."""
+    rows = coded.select(key, F.array_size("ids").alias("_m"), F.posexplode("ids").alias("_pos", "id"))
+    return rows.select(key, "id", (F.col("_pos") + 1 < F.col("_m")).alias("starts"), (F.col("_pos") > 0).alias("ends"))
+
+
+def _id_pairs(coded: DataFrame, *keys: str) -> DataFrame:
+    return coded.select(*keys, F.inline(X.adjacent_pairs("ids")))
+
+
+def _language_sums(
+    coded: DataFrame, counts: DataFrame, seed: int, key: str, pairs: DataFrame | None, with_entropy: bool = False
+) -> tuple[DataFrame, Column, Column]:
+    """Sums per row, and how many words and pairs the corpus has.
+
+    Words and pairs, which are counted if that was not done before, are looked
+    up by the hashes that :func:`_coded` makes.  Pairs seen
+    once are neither kept nor looked up: a row adds 1 for each of its pairs
+    (log2 of its count and one), and what a more frequent one adds to that.
     ``with_entropy`` adds the row's own entropy, and rows without any word.
     """
-    size = words.agg(F.count("*")).scalar()
+    named = lambda c: F.xxhash64(c, F.lit(seed)).alias(c)
+    row_pairs = F.greatest(F.array_size("ids") - 1, F.lit(0))
+    if pairs is None:
+        counted = _id_pairs(coded).groupBy("v", "w").agg(F.count("*").alias("n"))
+        counted = stored(counted.where("n > 1"), "pair-counts")
+        n_pairs = coded.agg(F.sum(row_pairs)).scalar()
+    else:
+        counted = pairs.select(named("v"), named("w"), "n")
+        n_pairs = pairs.agg(F.sum("n")).scalar()
+    size = counts.agg(F.count("*")).scalar()
+    n_words = counts.agg(F.sum("n")).scalar()
     n = F.col("n").cast("double")
     starts = F.col("starts").cast("double")
     by_word = _part(
-        frequency_join(_word_rows(docs, key, text), words, ["word"]),
+        frequency_join(_id_rows(coded, key), counts, ["id"]),
         key,
-        tokens=F.lit(1.0),
-        pairs=starts,
         uni=F.log2(n),
         start=starts * F.log2(n),
         smooth=starts * F.log2(n + size),
         end=F.col("ends").cast("double") * F.log2(n),
     )
     by_pair = _part(
-        frequency_join(_pair_rows(docs, text, key), pairs, ["v", "w"]),
+        frequency_join(_id_pairs(coded, key), counted, ["v", "w"], once=False),
         key,
         pair=F.log2(n),
-        smooth_pair=F.log2(n + 1),
+        smooth_pair=F.log2(n + 1) - 1,
     )
-    parts = by_word.unionByName(by_pair)
-    if with_entropy:
-        parts = parts.unionByName(_part(docs, key, entropy=X.entropy(X.words(text))))
-    return parts.groupBy(key).agg(
+    own = coded if with_entropy else coded.where(F.array_size("ids") > 0)
+    by_row = _part(
+        own,
+        key,
+        tokens=F.coalesce(F.array_size("ids"), F.lit(0)),
+        pairs=F.coalesce(row_pairs, F.lit(0)),
+        smooth_pair=F.coalesce(row_pairs, F.lit(0)),
+        **({"entropy": X.entropy(F.col("ids"))} if with_entropy else {}),
+    )
+    sums = by_word.unionByName(by_pair).unionByName(by_row).groupBy(key).agg(
         *[F.sum(c).alias(c) for c in SUMS], F.sum("entropy").alias("shannon_entropy")
     )
+    return sums, n_words, n_pairs
 
 
-def _contextual(words: DataFrame, pairs: DataFrame) -> list[Column]:
-    n = words.agg(F.sum("n")).scalar().cast("double")
-    p = pairs.agg(F.sum("n")).scalar().cast("double")
+def _contextual(n_words: Column, n_pairs: Column) -> list[Column]:
+    n, p = n_words.cast("double"), n_pairs.cast("double")
     m = F.col("pairs")
     some = m > 0
     bits = (F.col("smooth") - F.col("smooth_pair")) / m
@@ -178,27 +223,27 @@ def bigram_lm(
 
     Rows with a single word have no pair: their metrics are NULL.
     """
-    words = stored(word_counts(docs, text), "word-counts") if words is None else words
-    pairs = stored(pair_counts(docs, text), "pair-counts") if pairs is None else pairs
-    sums = _language_sums(docs, key, text, words, pairs)
-    return sums.select(key, *_contextual(words, pairs))
+    sums, n_words, n_pairs = _language_sums(*_coded(docs, key, text, words), key, pairs)
+    return sums.select(key, *_contextual(n_words, n_pairs))
 
 
-def _document_words(docs: DataFrame, text: str) -> DataFrame:
+def _document_words(docs: DataFrame, tokens: Column) -> DataFrame:
     """``(word, _df)``: in how many rows a word occurs."""
-    words = docs.select(F.explode(F.array_distinct(X.words(text))).alias("word")).where(F.col("word").isNotNull())
+    words = docs.select(F.explode(F.array_distinct(tokens)).alias("word")).where(F.col("word").isNotNull())
     return words.groupBy("word").agg(F.count("*").alias("_df"))
 
 
-def _pmi(held: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _pmi(held: DataFrame, docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Mean PMI by (key, aspect) from rows ``(key, aspect, _others)`` that hold their aspect.
 
+    ``tokens`` are the words of ``docs``, or hashes that tell them apart.
+
     The words beside each held aspect are stored once, as are the document
     counts: the texts are read twice.  The score is made once per distinct
     (aspect, word) and then looked up.
     """
     joint = stored(held.select(key, "aspect", F.explode_outer("_others").alias("word")), "aspect-words")
-    frequency = stored(_document_words(docs, text), "document-counts")
+    frequency = stored(_document_words(docs, tokens), "document-counts")
     n_docs = docs.agg(F.count("*")).scalar().cast("double")
     own = joint.groupBy("aspect").agg(F.countDistinct(key).alias("_own"))
     words = joint.where(F.col("word").isNotNull())
@@ -221,16 +266,22 @@ def aspect_pmi(
 
     Only rows that hold an aspect of the list are paired, and only with it.
     """
-    listed = F.array(*[F.lit(t) for t in dict.fromkeys(aspects)])
+    return _listed_pmi(docs, aspects, key, X.words(text), F.lit)
+
+
+def _listed_pmi(
+    docs: DataFrame, aspects: Sequence[str], key: str, tokens: Column, token: Callable[[str], Column]
+) -> DataFrame:
+    listed = F.array(*[F.struct(F.lit(t).alias("aspect"), token(t).alias("token")) for t in dict.fromkeys(aspects)])
 
     def meetings(ws: Column) -> Column:
         return F.transform(
-            F.array_intersect(ws, listed),
-            lambda a: F.struct(a.alias("aspect"), F.array_remove(ws, a).alias("_others")),
+            F.filter(listed, lambda a: F.array_contains(ws, a["token"])),
+            lambda a: F.struct(a["aspect"].alias("aspect"), F.array_remove(ws, a["token"]).alias("_others")),
         )
 
-    held = docs.select(key, F.inline(X.let(F.array_distinct(X.words(text)), meetings)))
-    return _pmi(held, docs, key, text)
+    held = docs.select(key, F.inline(X.let(F.array_distinct(tokens), meetings)))
+    return _pmi(held, docs, key, tokens)
 
 
 def aspect_pmi_rows(
@@ -246,13 +297,13 @@ def aspect_pmi_rows(
     held = words.where(F.array_contains("_ws", F.col("aspect"))).select(
         key, "aspect", F.array_remove("_ws", F.col("aspect")).alias("_others")
     )
-    return _pmi(held.dropDuplicates([key, "aspect"]), docs, key, text)
+    return _pmi(held.dropDuplicates([key, "aspect"]), docs, key, X.words(text))
 
 
-def _corpus_metrics(docs: DataFrame, key: str, text: str, words: DataFrame, pairs: DataFrame) -> DataFrame:
+def _corpus_metrics(coded: DataFrame, counts: DataFrame, seed: int, key: str, pairs: DataFrame | None) -> DataFrame:
     """The six metrics that do not ask for an aspect, one row per key."""
-    sums = _language_sums(docs, key, text, words, pairs, with_entropy=True)
-    total = words.agg(F.sum("n")).scalar().cast("double")
+    sums, n_words, n_pairs = _language_sums(coded, counts, seed, key, pairs, with_entropy=True)
+    total = n_words.cast("double")
     some = F.col("tokens") > 0
     bits = F.when(some, F.log2(total) - F.col("uni") / F.col("tokens"))
     return sums.select(
@@ -260,7 +311,7 @@ def _corpus_metrics(docs: DataFrame, key: str, text: str, words: DataFrame, pair
         F.when(some, F.col("shannon_entropy")).alias("shannon_entropy"),
         bits.alias("surprisal"),
         F.pow(F.lit(2.0), bits).alias("perplexity"),
-        *_contextual(words, pairs),
+        *_contextual(n_words, n_pairs),
     )
 
 
@@ -277,10 +328,10 @@ def information_metrics(
     ``words`` and ``pairs`` may be stored results of :func:`word_counts` and
     :func:`pair_counts`, so that a large corpus is counted once.
     """
-    words = stored(word_counts(docs, text), "word-counts") if words is None else words
-    pairs = stored(pair_counts(docs, text), "pair-counts") if pairs is None else pairs
-    corpus = _corpus_metrics(docs, key, text, words, pairs)
-    return corpus.join(aspect_pmi(docs, aspects, key, text), key, "left").select(key, "aspect", *METRICS)
+    coded, counts, seed = _coded(docs, key, text, words)
+    corpus = _corpus_metrics(coded, counts, seed, key, pairs)
+    pmi = _listed_pmi(coded, aspects, key, F.col("ids"), lambda t: F.xxhash64(F.lit(t), F.lit(seed)))
+    return corpus.join(pmi, key, "left").select(key, "aspect", *METRICS)
 
 
 def scored_table(
@@ -297,9 +348,7 @@ def scored_table(
     ``docs`` has a row per key with the same text column; metrics of a text
     are made once and joined to each of its rows.
     """
-    words = stored(word_counts(docs, text), "word-counts") if words is None else words
-    pairs = stored(pair_counts(docs, text), "pair-counts") if pairs is None else pairs
-    corpus = _corpus_metrics(docs, key, text, words, pairs)
+    corpus = _corpus_metrics(*_coded(docs, key, text, words), key, pairs)
     pmi = aspect_pmi_rows(rows.select(key, aspect, text), docs, key, text, aspect).withColumnRenamed("aspect", "_aspect")
     out = rows.withColumn("_aspect", F.lower(aspect)).join(corpus, key, "left").join(pmi, [key, "_aspect"], "left")
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *METRICS)

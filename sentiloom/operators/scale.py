@@ -72,7 +72,7 @@ def head_cut(
 
 
 def frequency_join(
-    rows: DataFrame, counts: DataFrame, on: list[str], head_rows: int = HEAD_ROWS
+    rows: DataFrame, counts: DataFrame, on: list[str], head_rows: int = HEAD_ROWS, once: bool = True
 ) -> DataFrame:
     """Give every row the count ``n`` of its key, however skewed the keys are.
 
@@ -82,7 +82,8 @@ def frequency_join(
     has about ``1 / head_rows`` of the rows at most, so the shuffled part has
     no hot key.  Keys seen once, the bulk of a vocabulary, need not travel
     when only the count is asked for: what finds none has 1.  No row is lost;
-    a key that ``counts`` leaves out finds NULL in its other columns.
+    a key that ``counts`` leaves out finds NULL in its other columns.  Without
+    ``once``, rows whose key was seen once are left out.
     """
     cut = head_cut(counts, on, head_rows)
     is_head = F.col("n") >= cut
@@ -92,7 +93,7 @@ def frequency_join(
     rare = known.where(F.col("n").isNull()).drop(*values)
     if values == ["n"]:
         often = counts.where(~is_head & (F.col("n") > 1))
-        found = rare.join(often, on, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        found = rare.join(often, on, "left" if once else "inner").withColumn("n", F.coalesce("n", F.lit(1)))
     else:
         found = rare.join(counts.where(~is_head), on, "left")
     return hot.unionByName(found)
