@@ -37,18 +37,20 @@ COUNTS = "v string, w string, n bigint, df bigint"
 def batch_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(v, w, n, df)`` of these texts alone, read once for words and pairs together."""
     none = F.lit(None).cast("string")
-    row = lambda v, w, n, df: F.struct(
-        v.alias("v"), w.alias("w"), n.cast("bigint").alias("n"), F.lit(df).cast("bigint").alias("df")
+    part = lambda v, w, n, df: F.struct(
+        v.alias("v"), w.alias("w"), F.lit(n).cast("bigint").alias("n"), F.lit(df).cast("bigint").alias("df")
     )
 
-    def rows(ws: F.Column) -> F.Column:
-        words = F.transform(X.word_counts(ws), lambda c: row(c["word"], none, c["k"], 1))
-        starts = F.slice(ws, F.lit(1), F.greatest(F.array_size(ws) - 1, F.lit(0)))
-        pairs = F.transform(starts, lambda v, i: row(v, F.get(ws, i + 1), F.lit(1), 0))
-        return F.concat(words, pairs)
+    def parts(ws: F.Column) -> F.Column:
+        """All words, the different ones and the pairs of a text; nothing is sorted or counted inside it."""
+        alone = F.slice(ws, 1, 0)
+        n = F.greatest(F.array_size(ws) - 1, F.lit(0))
+        pairs = part(F.slice(ws, F.lit(1), n), F.slice(ws, F.lit(2), n), 1, 0)
+        return F.array(part(ws, alone, 1, 0), part(F.array_distinct(ws), alone, 0, 1), pairs)
 
     counted = (
-        docs.select(F.inline(X.let(X.words(text), rows)))
+        docs.select(F.inline(X.let(X.words(text), parts)))
+        .select(F.inline(F.arrays_zip("v", "w")), "n", "df")
         .groupBy("v", "w")
         .agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     )

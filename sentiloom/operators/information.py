@@ -27,12 +27,17 @@ def bow(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def word_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(word, n, df)``: corpus count and document frequency, one shuffle."""
-    return (
-        bow(docs, key, text)
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    """``(word, n, df)``: corpus count and document frequency, one shuffle.
+
+    A row gives all its words and, once more, its different ones; nothing is
+    sorted or counted inside it.
+    """
+    part = lambda ws, n, df: F.struct(
+        ws.alias("_ws"), F.lit(n).cast("bigint").alias("n"), F.lit(df).cast("bigint").alias("df")
     )
+    parts = X.let(X.words(text), lambda ws: F.array(part(ws, 1, 0), part(F.array_distinct(ws), 0, 1)))
+    rows = docs.select(F.inline(parts)).select(F.explode("_ws").alias("word"), "n", "df")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

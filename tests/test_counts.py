@@ -108,3 +108,12 @@ def test_metrics_take_kept_counts(spark, tmp_path):
 def test_a_batch_needs_a_name(spark, tmp_path):
     with pytest.raises(ValueError, match="name"):
         N.add_batch(docs(spark, []), str(tmp_path), "")
+
+
+def test_words_are_counted_without_sorting_a_text(spark):
+    docs = spark.createDataFrame([("b a b",), ("a",), ("",), (None,), ("a",)], "text string")
+    for df in (I.word_statistics(docs.withColumn("doc_id", F.lit(1))), N.batch_counts(docs)):
+        assert "sort_array" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in N.batch_counts(docs).collect()} == {
+        ("a", None, 3, 3), ("b", None, 2, 1), ("b", "a", 1, 0), ("a", "b", 1, 0), (None, None, 5, 0)
+    }
