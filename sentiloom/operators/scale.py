@@ -6,7 +6,7 @@ from functools import reduce
 from operator import add, or_
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucket_labels(spark: SparkSession, blocks: int) -> list[int]:
+    """A number for each block, so that Spark's hash puts each in a bucket of its own."""
+    found, upto = {}, 8 * blocks
+    while len(found) < blocks:
+        numbers = spark.range(upto).select(F.col("id").cast("int").alias("i"))
+        buckets = numbers.groupBy(F.pmod(F.hash("i"), F.lit(blocks)).alias("b")).agg(F.min("i").alias("i"))
+        found = {r["b"]: r["i"] for r in buckets.collect()}  # one row a block
+        upto *= 2
+    return [found[b] for b in range(blocks)]
+
+
 def fits_broadcast(
     df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 ) -> bool:

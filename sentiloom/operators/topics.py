@@ -31,12 +31,13 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentiloom import constants as K
 from sentiloom.functions import text as X
+from sentiloom.operators.scale import bucket_labels as _labels
 from sentiloom.operators.scale import lookup_join, stored
 from sentiloom.session import ensure_checkpoint_dir
 
@@ -72,17 +73,6 @@ def _lexicon(content: DataFrame, min_df: int, seed: int) -> tuple[DataFrame, int
         seed += 1
 
 
-def _labels(spark: SparkSession, blocks: int) -> list[int]:
-    """A number for each block, so that Spark's hash puts each in a bucket of its own."""
-    found, upto = {}, 8 * blocks
-    while len(found) < blocks:
-        numbers = spark.range(upto).select(F.col("id").cast("int").alias("i"))
-        buckets = numbers.groupBy(F.pmod(F.hash("i"), F.lit(blocks)).alias("b")).agg(F.min("i").alias("i"))
-        found = {r["b"]: r["i"] for r in buckets.collect()}  # one row a block
-        upto *= 2
-    return [found[b] for b in range(blocks)]
-
-
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's words by their place among its ids, and, in a row without a document, these ids."""
 

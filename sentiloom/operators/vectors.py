@@ -10,9 +10,11 @@ block of random columns with the matrix, over and over (:func:`pmi_vectors`).
 Neighbours come from random hyperplanes and are ranked by exact cosines
 (:func:`nearest_words`).
 
-The matrix is cut into cells of ``GROUP`` blocks of words by as many.  A task
-that multiplies a cell holds the vectors of its columns and the sums of one
-block of rows; entries stream past in order of rows, in pieces of bounded size.
+The matrix is cut into groups of rows, of at most ``GROUP`` blocks, and blocks of
+columns.  A task holds the sums of a group of rows, however many words there
+are, and the vectors of one block of columns; entries stream past in pieces of
+bounded size.  A group is sent the vectors of its own columns only, so a word
+travels no more often than it has neighbours, and sums do not travel.
 
 A NULL text has no words.  No text, or texts of one word each, give no
 vectors.  Rows that repeat count as often as they stand there.
@@ -20,7 +22,8 @@ vectors.  Rows that repeat count as often as they stand there.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentiloom.functions import text as X
-from sentiloom.operators.scale import dense_index, lookup_join, stored
+from sentiloom.operators.scale import bucket_labels, dense_index, lookup_join, stored
 
 # Columns of the random block beyond the wanted ones.
 EXTRA = 10
 # Part of the largest eigenvalue of a Gram matrix below which a direction is rounding error.
 NOISE = 1e-10
-# Words in a block, blocks in a side of a cell.
-BLOCK, GROUP = 4096, 16
+# Words in a block of columns, such blocks in a group of rows.  Parquet looks at the size of a
+# page after 100 rows and each codec holds a page beside the heap, so a stored block is small.
+BLOCK, GROUP = 512, 256
+# Words whose random signs are drawn together.
+DRAWN = 4096
 
 
 def _ids(words: Column, seed: int) -> Column:
@@ -105,68 +111,70 @@ def pmi_entries(near: DataFrame, words: DataFrame, shift: float = 1.0) -> DataFr
 
 
 class Cells:
-    """How a matrix over ``words`` words is cut."""
+    """How a matrix over ``words`` words is cut: groups of rows, one or more a slot, and blocks of columns."""
 
-    def __init__(self, words: int, block: int = BLOCK, group: int = GROUP):
+    def __init__(self, words: int, slots: int, block: int = BLOCK, group: int = GROUP):
         self.words, self.block = words, block
         self.blocks = -(-words // block)
-        self.group = min(group, -(-self.blocks // 8))  # small matrices also make many tasks
-        self.number = max(1, -(-self.blocks // max(self.group, 1))) ** 2
+        self.group = max(1, min(group, -(-self.blocks // slots)))
+        self.groups = -(-self.blocks // self.group)
 
     def rows(self, block: int) -> int:
         return min(self.block, self.words - block * self.block)
 
-    def side(self, number: Column) -> Column:
-        return F.floor(number / (self.block * self.group)).cast("int")
+    def first(self, group: int) -> int:
+        return group * self.group * self.block
+
+    def over(self, df: DataFrame) -> DataFrame:
+        """A task for each group, in order."""
+        labels = F.array(*[F.lit(i) for i in bucket_labels(df.sparkSession, self.groups)])
+        placed = df.repartition(self.groups, F.element_at(labels, F.col("rg") + 1))
+        return placed.sortWithinPartitions("rg", "cb", "n")
+
+
+PIECE = "rg int, cb int, n int, data binary"
+# What ``n`` says of a row that has no entries.
+MASK, COLUMNS = -1, 0
+
+
+def _piece(rg: int, cb: int, n: int, data: bytes) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((rg, cb, n, data), kinds)], ["rg", "cb", "n", "data"])
 
 
 def _pieces(entries: DataFrame, cells: Cells) -> DataFrame:
-    """``(rg, cg, rb, data)``: entries of a cell and a block of its rows, packed."""
-    kinds = np.dtype([("v", "<i4"), ("w", "<i4"), ("x", "<f4")])
-    names = ["rg", "cg", "rb", "data"]
+    """``(rg, cb, n, data)``: ``n`` entries of a group of rows and a block of columns, packed.
+
+    After them, with :data:`MASK` for ``n``, a bit for each column that has any.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, some = None, None
         for batch in batches:
-            rg, cg, v, w, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            rb = v // cells.block
-            key = np.flatnonzero((np.diff(rb) != 0) | (np.diff(cg) != 0) | (np.diff(rg) != 0)) + 1
-            cuts = [0, *key.tolist(), len(v)]
-            out = []
+            rg, cb, v, w, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = [0, *(np.flatnonzero((np.diff(cb) != 0) | (np.diff(rg) != 0)) + 1).tolist(), len(v)]
             for low, high in zip(cuts, cuts[1:]):
                 if low == high:
                     continue
-                part = np.empty(high - low, kinds)
-                part["v"] = v[low:high] - rb[low] * cells.block
-                part["w"] = w[low:high] - cg[low].astype(np.int64) * cells.group * cells.block
-                part["x"] = x[low:high]
-                out.append((int(rg[low]), int(cg[low]), int(rb[low]), part.tobytes()))
-            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    placed = entries.select(
-        cells.side(F.col("v")).alias("rg"), cells.side(F.col("w")).alias("cg"), "v", "w", "x"
-    )
-    placed = placed.repartition("rg", "cg", F.floor(F.col("v") / cells.block)).sortWithinPartitions("rg", "cg", "v")
-    return placed.mapInArrow(packed, "rg int, cg int, rb int, data binary")
-
-
-def _summed(name: str, width: int, cells: Cells) -> Callable:
-    """Adds up blocks that come in order."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
-        for batch in batches:
-            for block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(data, "<f4").reshape(-1, width)
-                if block != at:
+                here = int(rg[low]), int(cb[low])
+                if here != at:
                     if at is not None:
-                        yield _row([at], [total], name)
-                    at, total = block, np.zeros((cells.rows(block), width))
-                total += part
+                        yield _piece(*at, MASK, np.packbits(some).tobytes())
+                    at, some = here, np.zeros(cells.rows(here[1]), bool)
+                one = (v[low:high] - cells.first(here[0])).astype("<i4")
+                other = (w[low:high] - here[1] * cells.block).astype("<i4")
+                some[other] = True
+                data = one.tobytes() + other.tobytes() + x[low:high].astype("<f4").tobytes()
+                yield _piece(*here, high - low, pa.compress(data, "zstd", asbytes=True))
         if at is not None:
-            yield _row([at], [total], name)
+            yield _piece(*at, MASK, np.packbits(some).tobytes())
 
-    return summed
+    placed = entries.select(
+        F.floor(F.col("v") / (cells.block * cells.group)).cast("int").alias("rg"),
+        F.floor(F.col("w") / cells.block).cast("int").alias("cb"),
+        "v", "w", "x",
+    )
+    return placed.repartition("rg", "cb").sortWithinPartitions("rg", "cb", "v").mapInArrow(packed, PIECE)
 
 
 def _row(blocks: list[int], data: list[np.ndarray], name: str = "data") -> pa.RecordBatch:
@@ -175,64 +183,88 @@ def _row(blocks: list[int], data: list[np.ndarray], name: str = "data") -> pa.Re
     )
 
 
-def _times(pieces: DataFrame, block: DataFrame, width: int, cells: Cells) -> DataFrame:
-    """The matrix times a block of columns ``(rb, data)``."""
-    kinds = np.dtype([("v", "<i4"), ("w", "<i4"), ("x", "<f4")])
+def _masked(mask: bytes | pa.Buffer, rows: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(mask, np.uint8), count=rows).astype(bool)
 
-    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, at, total = None, None, None
-        held = np.zeros((cells.group * cells.block, width), np.float32)
-        for batch in batches:
-            for rg, cg, kind, rb, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if at is not None and ((rg, cg) != cell or rb != at or kind == 0):
-                    yield _row([at], [total])
-                    at = None
-                cell = (rg, cg)
-                if kind == 0:
-                    part = np.frombuffer(data, "<f4").reshape(-1, width)
-                    low = (rb - cg * cells.group) * cells.block
-                    held[low : low + len(part)] = part
-                    continue
-                if at is None:
-                    at, total = rb, np.zeros((cells.rows(rb), width))
-                e = np.frombuffer(data, kinds)
-                starts = np.flatnonzero(np.diff(e["v"], prepend=-1))
-                total[e["v"][starts]] += np.add.reduceat(held[e["w"]] * e["x"][:, None], starts)
-        if at is not None:
-            yield _row([at], [total])
-
-    used = pieces.select("rg", "cg").distinct()
-    columns = block.withColumn("cg", F.floor(F.col("rb") / cells.group).cast("int"))
-    columns = lookup_join(columns, used.groupBy("cg").agg(F.collect_set("rg").alias("rgs")), ["cg"])
-    columns = columns.select(F.explode("rgs").alias("rg"), "cg", F.lit(0).alias("kind"), "rb", "data")
-    both = columns.unionByName(pieces.select("rg", "cg", F.lit(1).alias("kind"), "rb", "data"))
-    placed = both.repartition(cells.number, "rg", "cg").sortWithinPartitions("rg", "cg", "kind", "rb")
-    parts = placed.mapInArrow(multiplied, "rb int, data binary")
-    # blocks of rows whose entries are all at or below the shift have no part
-    none = block.select("rb").mapInArrow(_zeros(width, cells), "rb int, data binary")
-    every = parts.unionByName(none).repartition("rb").sortWithinPartitions("rb")
-    return every.mapInArrow(_summed("data", width, cells), "rb int, data binary")
-
-
-def _zeros(width: int, cells: Cells) -> Callable:
-    def zeros(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sent(block: DataFrame, masks: DataFrame, width: int, cells: Cells) -> DataFrame:
+    """The rows of a block ``(rb, data)`` that each group of rows of the matrix needs."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rb in batch.column(0).to_pylist():
-                yield _row([rb], [np.zeros((cells.rows(rb), width))])
+            for rb, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                held = np.frombuffer(data.as_buffer(), "<f4").reshape(-1, width)
+                for one in wanted.as_py():
+                    yield _piece(one["rg"], rb, COLUMNS, one["data"] + held[_masked(one["data"], len(held))].tobytes())
+
+    wanted = masks.groupBy(F.col("cb").alias("rb")).agg(F.collect_list(F.struct("rg", "data")).alias("wanted"))
+    return block.join(wanted, "rb").select("rb", "data", "wanted").mapInArrow(cut, PIECE)
+
+
+def _times(pieces: DataFrame, block: DataFrame | None, width: int, cells: Cells, seed: int = 0) -> DataFrame:
+    """The matrix times a block of columns ``(rb, data)``, or times random signs.
 
-    return zeros
+    A task holds the sums of a group of rows and a block of columns; entries
+    stream past by block.  Signs are drawn where they are used.
+    """
 
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total, at, held = None, None, None, None
 
-def _random(df: DataFrame, width: int, cells: Cells, seed: int) -> DataFrame:
-    """A block of random signs, the same whenever a task is run again."""
+        def sums() -> Iterator[pa.RecordBatch]:
+            for low in range(0, len(total), cells.block):
+                yield _row([group * cells.group + low // cells.block], [total[low : low + cells.block]])
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rb in batch.column(0).to_pylist():
-                signs = np.random.default_rng([seed, rb]).integers(0, 2, (cells.rows(rb), width))
-                yield _row([rb], [2 * signs - 1])
+            for rg, cb, n, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                data = data.as_buffer()  # not copied: a batch is large
+                if rg != group:
+                    if group is not None:
+                        yield from sums()
+                    first = cells.first(rg)
+                    rows = min(cells.first(rg + 1), cells.words) - first
+                    group, total, at = rg, np.zeros((rows, width)), None
+                if cb < 0:
+                    continue
+                if n == COLUMNS:
+                    rows = cells.rows(cb)
+                    bits = -(-rows // 8)
+                    at, held = cb, np.zeros((rows, width), np.float32)
+                    held[_masked(data[:bits], rows)] = np.frombuffer(data, "<f4", offset=bits).reshape(-1, width)
+                    continue
+                if at != cb:
+                    at, held = cb, _signs(seed, cb, width, cells)
+                raw = pa.decompress(data, 12 * n, "zstd", asbytes=True)
+                v, w = np.frombuffer(raw, "<i4", 2 * n).reshape(2, n)
+                x = np.frombuffer(raw, "<f4", n, 8 * n)
+                starts = np.flatnonzero(np.diff(v, prepend=-1))
+                total[v[starts]] += np.add.reduceat(held[w] * x[:, None], starts)
+        if group is not None:
+            yield from sums()
+
+    # a group whose entries are all at or below the shift is there as well
+    groups = pieces.sparkSession.range(cells.groups).select(
+        F.col("id").cast("int").alias("rg"), F.lit(-1).alias("cb"), F.lit(COLUMNS).alias("n"), F.lit(b"").alias("data")
+    )
+    every = pieces.where(F.col("n") > 0).unionByName(groups)
+    if block is not None:
+        every = every.unionByName(_sent(block, pieces.where(F.col("n") == MASK).drop("n"), width, cells))
+    return cells.over(every).mapInArrow(multiplied, "rb int, data binary")
+
+
+@lru_cache(maxsize=2)
+def _drawn(seed: int, part: int, rows: int, width: int) -> np.ndarray:
+    return (2 * np.random.default_rng([seed, part]).integers(0, 2, (rows, width)) - 1).astype(np.float32)
+
 
-    return df.select("rb").mapInArrow(drawn, "rb int, data binary")
+def _signs(seed: int, block: int, width: int, cells: Cells) -> np.ndarray:
+    """Random signs, the same whenever a task is run again and however words are cut."""
+    first = block * cells.block
+    last = first + cells.rows(block)
+    parts = range(first // DRAWN, (last - 1) // DRAWN + 1)
+    drawn = [_drawn(seed, p, min(DRAWN, cells.words - p * DRAWN), width) for p in parts]
+    low = first - parts[0] * DRAWN
+    return np.concatenate(drawn)[low : low + last - first]
 
 
 def _gram(df: DataFrame, left: str, right: str, width: int) -> np.ndarray:
@@ -318,17 +350,15 @@ def pmi_vectors(
     number = words.count()
     if not number:
         return words.select("word", "n", F.array().cast("array<float>").alias("v"))
-    cells = Cells(number, block_rows)
+    cells = Cells(number, docs.sparkSession.sparkContext.defaultParallelism, block_rows)
     pieces = stored(_pieces(pmi_entries(near, words, shift), cells), "pmi")
     width = size + EXTRA
-    blocks = docs.sparkSession.range(cells.blocks).select(F.col("id").cast("int").alias("rb"))
-    block = stored(_times(pieces, stored(_random(blocks, width, cells, seed), "basis"), width, cells), "block")
+    block = _times(pieces, None, width, cells, seed)
     for _ in range(rounds + 1):
-        basis, width = _orthonormal(block, width)
+        basis, width = _orthonormal(stored(block, "block"), width)
         if not width:  # no pair is more frequent than the shift
             return words.select("word", "n", F.array_repeat(F.lit(0.0).cast("float"), size).alias("v"))
-        basis = stored(basis, "basis")
-        block = stored(_times(pieces, basis, width, cells), "block")
+        block = _times(pieces, basis, width, cells)
     inner = _gram(basis.join(block.select("rb", F.col("data").alias("z")), "rb"), "data", "z", width)
     values, axes = np.linalg.eigh((inner + inner.T) / 2)
     first = np.argsort(-np.abs(values))[:size]
@@ -409,7 +439,8 @@ def nearest_words(
         .withColumn("flip", F.explode(flips))
         .select(F.col("word").alias("target"), "t", F.col("sig").bitwiseXOR(F.col("flip")).alias("sig"))
     )
-    pairs = cells.join(asked, ["t", "sig"]).select("target", "word").distinct()
+    # cells of the whole vocabulary stay where they are, as long as those asked for are few
+    pairs = lookup_join(cells, stored(asked, "asked-cells"), ["t", "sig"]).select("target", "word").distinct()
     asked_units = lookup_join(units, wanted, ["word"], "left_semi").select(F.col("word").alias("target"), F.col("v").alias("u"))
     near = lookup_join(pairs.where(F.col("word") != F.col("target")), asked_units, ["target"])
     near = near.join(units, "word")

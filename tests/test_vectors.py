@@ -128,3 +128,35 @@ def test_queries_hold_no_vocabulary_in_the_driver(spark, monkeypatch):
     rows = QUERIES["check_word_vectors"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["rank"] for r in rows) == list(range(1, 11))
     assert all(r["is_cosine"] and r["in_corpus"] and r["nothing_nearer"] for r in rows)
+
+
+def test_a_product_sends_only_columns_that_a_group_has(spark):
+    """Against the dense product; words 30 to 39 have no entries, so their group sends and gets nothing."""
+    rng = np.random.default_rng(5)
+    dense = np.zeros((40, 40), np.float32)
+    for v, w in rng.integers(0, 30, (60, 2)):
+        dense[v, w] = dense[w, v] = 1 + v + w
+    rows = [(int(v), int(w), float(dense[v, w])) for v, w in zip(*np.nonzero(dense))]
+    cells = V.Cells(40, 4, 3, 5)
+    assert (cells.blocks, cells.group, cells.groups) == (14, 4, 4)
+    pieces = V._pieces(spark.createDataFrame(rows, "v long, w long, x double"), cells).persist()
+
+    def product(block):
+        found = {r["rb"]: np.frombuffer(r["data"], "<f4").reshape(-1, 6) for r in V._times(pieces, block, 6, cells, 9).collect()}
+        return np.concatenate([found[i] for i in range(cells.blocks)])
+
+    signs = np.concatenate([V._signs(9, i, 6, cells) for i in range(cells.blocks)])
+    np.testing.assert_array_equal(signs, V._signs(9, 0, 6, V.Cells(40, 4)))  # however they are cut
+    np.testing.assert_allclose(product(None), dense @ signs, rtol=1e-5)
+    columns = rng.standard_normal((40, 6)).astype(np.float32)
+    block = spark.createDataFrame([(i, columns[3 * i : 3 * i + 3].tobytes()) for i in range(14)], "rb int, data binary")
+    np.testing.assert_allclose(product(block), dense @ columns, rtol=1e-4, atol=1e-3)
+    sent = V._sent(block, pieces.where(f"n = {V.MASK}").drop("n"), 6, cells).collect()
+    wanted = {(v // 12, w) for v, w in zip(*np.nonzero(dense))}
+    assert sum((len(r["data"]) - 1) // 24 for r in sent) == len(wanted) < 4 * 40
+    pieces.unpersist()
+
+
+def test_stored_blocks_are_small():
+    """Parquet puts 100 rows in a page before it looks at its size."""
+    assert V.BLOCK * (100 + V.EXTRA) * 4 <= 256 << 10
