@@ -148,37 +148,34 @@ def trace_record(
     return F.concat_ws("\n", head, *[step(s) for s in steps], tail)
 
 
-def trace_fields(record: Column | str) -> Column:
-    """Struct of the fields that lines 0 and 9 of a record carry."""
+def _fields(lines: Column) -> Column:
+    head = F.split(F.get(lines, F.lit(0)), "\t")
+    result = F.split(F.get(lines, F.lit(9)), "\t")
+    word = lambda c: F.get(blank_words(c), F.lit(1))
+    return F.struct(
+        F.get(head, F.lit(0)).alias("sentence"),
+        F.get(head, F.lit(1)).alias("target"),
+        word(F.get(result, F.lit(0))).alias("gold"),
+        F.get(head, F.lit(3)).try_cast("int").alias("implicit"),
+        word(F.get(result, F.lit(1))).alias("predicted"),
+    )
 
-    def read(lines: Column) -> Column:
-        head = F.split(F.get(lines, F.lit(0)), "\t")
-        result = F.split(F.get(lines, F.lit(9)), "\t")
-        word = lambda c: F.get(blank_words(c), F.lit(1))
-        return F.struct(
-            F.get(head, F.lit(0)).alias("sentence"),
-            F.get(head, F.lit(1)).alias("target"),
-            word(F.get(result, F.lit(0))).alias("gold"),
-            F.get(head, F.lit(3)).try_cast("int").alias("implicit"),
-            word(F.get(result, F.lit(1))).alias("predicted"),
-        )
 
-    return let(F.split(col(record), "\n"), read)
+def trace_fields(record: Column | str) -> Column:
+    """Struct of the fields that lines 0 and 9 of a record carry."""
+    return let(F.split(col(record), "\n"), _fields)
 
 
 def trace_reject(record: Column | str) -> Column:
     """Why a record is unreadable; NULL when it has its ten lines and labels."""
 
+    def unknown(fields: Column) -> Column:
+        return F.when(label_code(fields["gold"]).isNull() | label_code(fields["predicted"]).isNull(), "unknown label")
+
     def why(lines: Column) -> Column:
-        return F.when(F.array_size(lines) != 10, "not ten lines").when(
+        shape = F.when(F.array_size(lines) != 10, "not ten lines").when(
             F.array_size(F.split(F.get(lines, F.lit(0)), "\t")) != 4, "not four fields"
         )
+        return F.coalesce(shape, let(_fields(lines), unknown))
 
-    fields = trace_fields(record)
-    return F.coalesce(
-        let(F.split(col(record), "\n"), why),
-        F.when(
-            label_code(fields["gold"]).isNull() | label_code(fields["predicted"]).isNull(),
-            "unknown label",
-        ),
-    )
+    return let(F.split(col(record), "\n"), why)

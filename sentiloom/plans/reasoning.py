@@ -112,20 +112,21 @@ def reason(
 def trace_records(reasoned: DataFrame) -> DataFrame:
     """Ten-line records of a reasoned table with label and implicit columns.
 
-    The label's answer is stored in lower case.
+    The label's answer is stored in lower case.  A record is made once, however
+    many conditions and fields read it: expressions are not copied through a
+    generator, as they are through a projection.
     """
     steps = [F.col(f"{kind}_{h}") for h in range(1, 5) for kind in ("prompt", "answer")]
     steps[-1] = F.lower(steps[-1])
-    return reasoned.select(
-        R.trace_record(
-            "text",
-            "target",
-            R.label_name("label"),
-            F.col("implicit").cast("int"),
-            steps,
-            R.label_name("predicted"),
-        ).alias("record")
+    record = R.trace_record(
+        "text",
+        "target",
+        R.label_name("label"),
+        F.col("implicit").cast("int"),
+        steps,
+        R.label_name("predicted"),
     )
+    return reasoned.select(F.explode(F.array(record)).alias("record"))
 
 
 def conversation(reasoned: DataFrame, key: str = "row_id") -> DataFrame:

@@ -61,3 +61,10 @@ def test_scores_shuffle_only_outcomes(spark):
 def test_split_needs_no_sort_of_all_rows(spark):
     text = plan(QUERIES["split_last_n"](spark, SF))
     assert "Window" not in text and "TakeOrderedAndProject" in text
+
+
+def test_a_trace_record_is_made_once(spark):
+    for name in ("evaluate_trace", "trace_fields"):
+        optimized = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()
+        made = [n for n in optimized.toString().split("\n+-") if "predicted: " in n]
+        assert optimized.toString().count("predicted: ") == 1, (name, made)
