@@ -1,16 +1,17 @@
-"""Near duplicates among embeddings by product quantisation.
+"""Near duplicates among embeddings by quantisation.
 
-Unit vectors go to coarse inverted lists; what is left after the list's
-centre is cut into subspaces and coded.  A vector looks into every list whose
-cell may hold one of its near neighbours, estimates distances from small
-tables by code, and computes exact cosines for what the estimates leave.
+Unit vectors go to coarse inverted lists, and their coordinates along the
+sample's leading axes are coded as small whole numbers.  A vector looks into
+every list whose cell may hold one of its near neighbours, the codes bound the
+distances there from below, a product of matrices at a time, and what they
+leave gets exact cosines.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +24,29 @@ from sentiloom.llm.components import components
 THRESHOLD = 0.9
 #: Centres and codes are fitted on so many vectors, the first by a hash.
 SAMPLE = 1 << 15
-SUBSPACES, CODES = 8, 32
+#: Codes lie within plus and minus this.
+CODES = 127
 #: All lists that can hold a neighbour are probed.  A finite number probes those
 #: within so many deviations of an offset that is alike in all dimensions, and
 #: loses links where vectors have fewer dimensions than numbers.
 DEVIATIONS = float("inf")
-#: Vectors of a list or its visitors that one comparison holds.
-BLOCK = 2048
+#: Vectors of a list or its visitors that one comparison holds: an eighth of all
+#: vectors, but no fewer than the first and no more numbers than the second.
+BLOCK, NUMBERS = 2048, 1 << 22
+#: Visitors and homes whose pairs are looked at together.
+TILE = (512, 2048)
+#: What a row that moves costs, and a pair that the codes leave, in pairs of codes.
+ROW, EXACT = 3000, 150
 
 
 @dataclass
 class Index:
     centres: np.ndarray  # lists, d
-    codes: np.ndarray  # subspaces, codes, d / subspaces
+    axes: np.ndarray  # d, coded coordinates: orthonormal
+    step: float  # of the codes
     threshold: float
     deviations: float
+    block: int
 
     @property
     def radius(self) -> float:
@@ -70,26 +79,56 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (np.einsum("kd,kd->k", centres, centres) - 2 * x @ centres.T).argmin(axis=1)
 
 
-def _parts(x: np.ndarray, subspaces: int) -> np.ndarray:
-    """Rows cut into subspaces, filled up with zeros: (subspaces, rows, d)."""
-    width = -(-x.shape[1] // subspaces)
-    filled = np.zeros((len(x), width * subspaces))
-    filled[:, : x.shape[1]] = x
-    return filled.reshape(len(x), subspaces, width).transpose(1, 0, 2)
+def _axes(x: np.ndarray, radius: float) -> np.ndarray:
+    """Leading axes of the vectors, as many as make a pair's comparison cheapest.
 
-
-def train(x: np.ndarray, lists: int, threshold: float, deviations: float) -> Index:
-    centres = k_means(x, lists)
-    left = _parts(x - centres[_nearest(x, centres)], min(SUBSPACES, x.shape[1]))
-    return Index(centres, np.stack([k_means(p, CODES) for p in left]) if len(x) >= CODES else np.stack(list(left)), threshold, deviations)
-
-
-def encode(x: np.ndarray, cell: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of what is left after the centre, and how far the coded vector is off."""
-    left = _parts(x - index.centres[cell], len(index.codes))
-    codes = np.stack([_nearest(p, c) for p, c in zip(left, index.codes)], axis=1)
-    off = sum(((p - c[k]) ** 2).sum(axis=1) for p, c, k in zip(left, index.codes, codes.T))
-    return codes.astype(np.uint8), np.sqrt(off)
+    More of them take longer for every pair, fewer leave more pairs to the
+    exact cosine.
+    """
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    some = np.random.default_rng(5).permutation(len(x))[:2048]
+    a, b = np.array_split(x[some] @ axes, 2)
+    apart, cost = np.zeros((len(a), len(b))), {}
+    for i in range(0, x.shape[1], 8):
+        p, q = a[:, i : i + 8], b[:, i : i + 8]
+        apart += (p**2).sum(axis=1)[:, None] + (q**2).sum(axis=1) - 2 * p @ q.T
+        k = min(i + 8, x.shape[1])
+        cost[k] = (20 + k) / 44 + (EXACT * (apart <= radius**2).mean() if apart.size else 0)
+    return axes[:, : min(cost, key=cost.get)]
+
+
+def _lists(x: np.ndarray, n: int, most: int, index: Index) -> int:
+    """The number of lists, ``most`` at most, with which ``n`` vectors are compared soonest.
+
+    Where cells tell vectors apart, more lists leave fewer pairs; where nearly
+    every list has to be probed, they only add rows.
+    """
+    x = x[np.random.default_rng(7).permutation(len(x))[: 1 << 13]]
+    cost, lists = {}, 1
+    while lists <= max(1, min(most, len(x) // 16)):
+        share = probes(x[:2048], replace(index, centres=k_means(x, lists, 4))).mean() if lists > 1 else 1.0
+        met = share * n / 2 + n / lists / 2
+        cost[lists] = met + ROW * (np.ceil(met / index.block) + share * lists / 2 * np.ceil(n / lists / index.block))
+        lists *= 8 if lists == 1 else 4
+    best = min(cost, key=cost.get)
+    return most if best == max(cost) > 1 else best
+
+
+def train(x: np.ndarray, n: int, lists: int | None, threshold: float, deviations: float, block: int | None = None) -> Index:
+    """The index of ``n`` vectors from a sample of them."""
+    block = block or max(BLOCK, min(n // 8, NUMBERS // x.shape[1]))
+    index = Index(x[:1], np.eye(x.shape[1]), 1.0, threshold, deviations, block)
+    axes = _axes(x, index.radius)
+    index = replace(index, axes=axes, step=float(np.abs(x @ axes).max()) / CODES)
+    most = max(1, min(lists or int(np.ceil(np.sqrt(n))), len(x) // 16))
+    return replace(index, centres=k_means(x, most if lists else _lists(x, n, most, index)))
+
+
+def encode(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the leading coordinates, and how far the coded point is off."""
+    at = x @ index.axes
+    codes = np.clip(np.rint(at / index.step), -CODES, CODES).astype(np.int8)
+    return codes, np.sqrt(((at - codes * index.step) ** 2).sum(axis=1))
 
 
 def probes(x: np.ndarray, index: Index) -> np.ndarray:
@@ -116,27 +155,31 @@ def hosts(own: np.ndarray, lists: int) -> np.ndarray:
     return (cell == own[:, None]) | (((cell + own[:, None]) % 2 == 0) == (cell > own[:, None]))
 
 
-def compare(x: np.ndarray, y: np.ndarray, codes: np.ndarray, off: np.ndarray, cell: int, index: Index) -> np.ndarray:
-    """Which of the coded vectors ``y`` of a list are near which ``x``.
+def sides(codes: np.ndarray, off: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of matrices whose product is not negative where codes may belong to near vectors.
 
-    Tables give the distance of every ``x`` to every coded ``y``.  By the
-    triangle inequality no near pair is farther than the radius and the
-    error of the code, so that the exact cosine has to decide the rest only.
+    Near vectors are within the radius along the axes too, so their coded
+    points within ``radius + off + off``.  Its square is at most
+    ``radius**2 + 2 * radius * (off + off) + 2 * off**2 + 2 * off**2``, a sum of
+    what either side knows of itself; the slack is for single precision.
     """
-    left = _parts(x - index.centres[cell], len(index.codes))
-    apart = np.zeros((len(x), len(y)), np.float32)
-    for part, words, code in zip(left, index.codes, codes.T):
-        table = (part**2).sum(axis=1)[:, None] - 2 * part @ words.T + (words**2).sum(axis=1)
-        apart += table.astype(np.float32)[:, code]
-    left_over = apart <= ((index.radius + off) ** 2 + 1e-3)[None, :]
-    if left_over.mean() > 0.05:
-        return left_over & (x @ y.T >= index.threshold)
-    a, b = np.nonzero(left_over)
-    ok = np.zeros(apart.shape, bool)
-    for i in range(0, len(a), 1 << 16):
-        p, q = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-        ok[p, q] = np.einsum("nd,nd->n", x[p], y[q]) >= index.threshold
-    return ok
+    at = codes * index.step
+    slack = 1e-6 * (at.shape[1] + 4)
+    far = ((at**2).sum(axis=1) - index.radius**2 / 2 - 2 * index.radius * off - 2 * off**2) / 2 - slack
+    one = np.ones(len(at))
+    return np.column_stack([at, -far, one]).astype(np.float32), np.column_stack([at, one, -far]).astype(np.float32)
+
+
+def compare(x: np.ndarray, y: np.ndarray, may: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the near pairs of ``x`` and ``y`` among those that the codes leave."""
+    a, b = np.divmod(np.flatnonzero(may.ravel()), len(y))
+    if len(a) > may.size // 20:
+        return np.nonzero(may & (x @ y.T >= index.threshold))
+    ok = np.zeros(len(a), bool)
+    for i in range(0, len(a), 1 << 14):
+        p, q = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+        ok[i : i + len(p)] = np.einsum("nd,nd->n", x[p], y[q]) >= index.threshold
+    return a[ok], b[ok]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
@@ -170,7 +213,22 @@ def _unpack(column: pa.Array, kind: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
-def links(vectors: DataFrame, index: Index, kind: str = "<f8", block: int = BLOCK) -> DataFrame:
+class _Roots(dict):
+    """Ids and what connects them so far."""
+
+    def root(self, i: int) -> int:
+        while (up := self.get(i, i)) != i:
+            self[i] = i = self.get(up, up)
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart; now they are not."""
+        i, j = self.root(i), self.root(j)
+        self[max(i, j)] = min(i, j)
+        return i != j
+
+
+def links(vectors: DataFrame, index: Index, kind: str = "<f8") -> DataFrame:
     """What comparisons find among distinct vectors ``(id, copies, vector)``.
 
     Rows ``(a, b, n)``: with a null ``b``, vector ``a`` has links to ``n``
@@ -183,59 +241,77 @@ def links(vectors: DataFrame, index: Index, kind: str = "<f8", block: int = BLOC
     """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(index)
+    block = index.block
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies = batch.column(0), batch.column(1)
+            own, ends, cells = [], [np.zeros(1, np.int64)], []
             for i in range(0, batch.num_rows, 2048):
                 x = _unpack(batch.column(2).slice(i, 2048), kind)
+                near = _nearest(x, shared.value.centres)
                 at = probes(x, shared.value)
-                own = _nearest(x, shared.value.centres)
-                at[np.arange(len(x)), own] = True
-                at &= hosts(own, at.shape[1])
-                row, cell = np.nonzero(at)
-                take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), copies.take(take), batch.column(2).take(take), pa.array(cell.astype(np.int32)), pa.array(cell == own[row])],
-                    names=["id", "copies", "vector", "cell", "home"],
-                )
+                at[np.arange(len(x)), near] = True
+                at &= hosts(near, at.shape[1])
+                own.append(near)
+                ends.append(at.sum(axis=1))
+                cells.append(np.nonzero(at)[1])
+            offsets = pa.array(np.cumsum(np.concatenate(ends)).astype(np.int32))
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *cells]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int32), *own]).astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)],
+                names=["id", "copies", "vector", "own", "cells"],
+            )
 
     placed = store(
-        vectors.select("id", "copies", "vector").mapInArrow(place, "id long, copies long, vector binary, cell int, home boolean"),
+        vectors.select("id", "copies", "vector").mapInArrow(place, "id long, copies long, vector binary, own int, cells array<int>"),
         "placed",
     )
-    sizes = placed.groupBy("cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / block).alias("homes"), F.ceil(F.count("*") / block).alias("visits")
-    ).where("homes > 0")
-    dealt = placed.join(F.broadcast(sizes), "cell")  # a row for each list
+    home = F.col("cell") == F.col("own")
+    sizes = (
+        placed.select("own", F.explode("cells").alias("cell"))
+        .groupBy("cell")
+        .agg(F.ceil(F.sum(home.cast("int")) / block).alias("homes"), F.ceil(F.count("*") / block).alias("visits"))
+        .where("homes > 0")
+    )
+    dealt = placed.select("*", F.explode("cells").alias("cell")).drop("cells").join(F.broadcast(sizes), "cell")  # a row for each list
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["cell", "id", "copies", "vector"]
-    homes = dealt.where("home").select(
+    homes = dealt.where(home).select(
         *columns, F.lit(True).alias("home"), F.lit(False).alias("guest"), spread("homes").alias("h"), every("visits").alias("v")
     )
-    visitors = dealt.select(
-        *columns, F.lit(False).alias("home"), (~F.col("home")).alias("guest"), every("homes").alias("h"), spread("visits").alias("v")
-    )
+    visitors = dealt.select(*columns, F.lit(False).alias("home"), (~home).alias("guest"), every("homes").alias("h"), spread("visits").alias("v"))
 
     def meet(key, table):
-        index, cell = shared.value, key[0].as_py()
+        index = shared.value
         home = table.column("home").to_numpy()
         ids, copies, x = table.column("id").to_numpy(), table.column("copies").to_numpy(), _unpack(table.column("vector"), kind)
-        out_a, out_b, out_n = [], [], []
-        if home.any() and not home.all():
-            a, b = ids[~home], ids[home]
-            near_to = x[home]
-            codes, off = encode(near_to, np.full(len(b), cell), index)
-            near = compare(x[~home], near_to, codes, off, cell, index)
-            near[a[:, None] == b[None, :]] = False
-            guest = table.column("guest").to_numpy()[~home]
-            n = np.concatenate([near @ copies[home].astype(np.float64), copies[~home][guest].astype(np.float64) @ near[guest]])
-            some = np.flatnonzero(n)
-            pairs = _forest(a, b, near)
-            out_a = [*np.concatenate([a, b])[some].tolist(), *(p for p, _ in pairs)]
-            out_b = [*[None] * len(some), *(q for _, q in pairs)]
-            out_n = [*n[some].astype(np.int64).tolist(), *[0] * len(pairs)]
+        a, b, x, y = ids[~home], ids[home], x[~home], x[home]
+        n, m = np.zeros(len(a)), np.zeros(len(b))
+        from_a, from_b = (copies * table.column("guest").to_numpy())[~home].astype(np.float64), copies[home].astype(np.float64)
+        roots, pairs = _Roots(), []
+        if len(a) and len(b):
+            rows, columns = sides(*encode(x, index), index)[0], np.ascontiguousarray(sides(*encode(y, index), index)[1].T)
+            for i in range(0, len(a), TILE[0]):
+                here = slice(i, i + TILE[0])
+                for j in range(0, len(b), TILE[1]):
+                    there = slice(j, j + TILE[1])
+                    p, q = compare(x[here], y[there], rows[here] @ columns[:, there] >= 0, index)
+                    other = a[here][p] != b[there][q]
+                    p, q = p[other], q[other]
+                    if not len(p):
+                        continue
+                    n[here] += np.bincount(p, from_b[there][q], len(n[here]))
+                    m[there] += np.bincount(q, from_a[here][p], len(m[there]))
+                    at_p, at_q = np.unique(p), np.unique(q)
+                    near = np.zeros((len(at_p), len(at_q)), bool)
+                    near[np.searchsorted(at_p, p), np.searchsorted(at_q, q)] = True
+                    pairs += [link for link in _forest(a[here][at_p], b[there][at_q], near) if roots.join(*link)]
+        n, ids = np.concatenate([n, m]), np.concatenate([a, b])
+        some = np.flatnonzero(n)
+        out_a = [*ids[some].tolist(), *(p for p, _ in pairs)]
+        out_b = [*[None] * len(some), *(q for _, q in pairs)]
+        out_n = [*n[some].astype(np.int64).tolist(), *[0] * len(pairs)]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "n": pa.array(out_n, pa.int64())})
 
     return homes.union(visitors).groupBy("cell", "h", "v").applyInArrow(meet, "a long, b long, n long")
@@ -248,12 +324,13 @@ def fit(
     lists: int | None = None,
     deviations: float = DEVIATIONS,
     sample: int = SAMPLE,
+    block: int | None = None,
 ) -> Index | None:
-    """Centres and codes from about ``sample`` distinct vectors, chosen by their hash.
+    """Centres and axes from about ``sample`` distinct vectors, chosen by their hash.
 
     The number of lists follows the square root of the number of vectors, as
-    far as the sample gives 16 vectors for each; beyond it lists grow and are
-    dealt into more blocks.
+    far as the sample gives 16 vectors for each, or is smaller if the sample
+    says that cells leave most pairs; lists that grow are dealt into more blocks.
     """
     n = vectors.count()
     if not n:
@@ -263,8 +340,7 @@ def fit(
     if not len(x):  # few vectors, and none of them by chance
         x = _unpack(vectors.select("vector").limit(1).toArrow().column("vector"), kind)
     x = x[np.lexsort(x.T)]
-    wanted = lists or int(np.ceil(np.sqrt(n)))
-    return train(x, max(1, min(wanted, len(x) // 16)), threshold, deviations)
+    return train(x, n, lists, threshold, deviations, block)
 
 
 def near_duplicates(
@@ -274,7 +350,7 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     lists: int | None = None,
     deviations: float = DEVIATIONS,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row per vector.
 
@@ -307,13 +383,13 @@ def near_duplicates(
     valid = rows.where("key IS NOT NULL")
     same = valid.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     distinct = store(same.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    index = fit(distinct, kind, threshold, lists, deviations)
+    index = fit(distinct, kind, threshold, lists, deviations, block=block)
     lone = rows.where("key IS NULL").select(
         F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
     )
     if index is None:
         return lone.withColumn("kept", F.lit(True))
-    found = store(links(distinct, index, kind, block), "vector-links")
+    found = store(links(distinct, index, kind), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"), name="vector-components")
     known = (

@@ -294,6 +294,67 @@ def test_embeddings_of_low_rank_lose_no_link(spark, rank, size):
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(near[i].sum()), roots[i]) for i in range(1200)}
 
 
+def test_embeddings_without_cells_are_not_dealt_to_ever_more_lists(spark):
+    """Where cells tell nothing apart, a vector's rows do not grow with the number of vectors."""
+    rng = np.random.default_rng(2)
+    lists = []
+    for n in (10_000, 30_000):
+        x = rng.normal(size=(n, 64))
+        rows = [(i, 1, v.tobytes()) for i, v in enumerate(x)]
+        index = embeddings.fit(spark.createDataFrame(rows, "id long, copies long, vector binary"))
+        u = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True)
+        own = embeddings._nearest(u, index.centres)
+        lists.append((embeddings.probes(u, index) & embeddings.hosts(own, len(index.centres))).sum(axis=1).mean())
+    assert lists[1] <= 1.2 * lists[0] < 16
+    centres = rng.normal(size=(200, 64))
+    x = np.repeat(centres, 80, axis=0) + rng.normal(scale=0.05, size=(16000, 64))
+    rows = [(i, 1, v.tobytes()) for i, v in enumerate(x)]
+    index = embeddings.fit(spark.createDataFrame(rows, "id long, copies long, vector binary"))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert embeddings.probes(x[::16], index).mean() < 1  # cells that tell something apart are used
+
+
+def test_embedding_codes_leave_every_near_pair():
+    rng = np.random.default_rng(8)
+    for size, rank, outside in ((64, 64, 0), (64, 5, 0), (64, 64, 1), (3, 3, 0), (100, 40, 1)):
+        x = rng.normal(size=(1500, rank)) @ np.linalg.qr(rng.normal(size=(size, rank)))[0].T
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sample = x if not outside else np.abs(x[:200]) * (np.arange(size) < size // 2) + 1e-3
+        index = embeddings.train(sample / np.linalg.norm(sample, axis=1, keepdims=True), len(x), None, 0.9, float("inf"))
+        aside = rng.normal(size=x.shape)
+        aside -= (aside * x).sum(axis=1, keepdims=True) * x
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        y = 0.9 * x + (1 - 0.9**2) ** 0.5 * aside  # at the threshold, and beyond the codes' range where the sample was another
+        rows, columns = (embeddings.sides(*embeddings.encode(v, index), index)[k] for k, v in enumerate((x, y)))
+        assert ((rows * columns).sum(axis=1) >= 0).all()
+        if size == rank == 64 and not outside:
+            may = rows @ columns.T >= 0
+            assert may.mean() < 0.01 and may.diagonal().all()
+
+
+def test_embeddings_of_a_large_group_keep_counts_and_component(spark):
+    """A group beyond one look at pairs, a chain beside it, whole and without their pairs."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4200, 16))
+    x[:2700] = x[0] + rng.normal(scale=0.2, size=(2700, 16))
+    for i in range(2701, 2900):
+        step = rng.normal(size=16)
+        step -= step @ x[i - 1] / (x[i - 1] @ x[i - 1]) * x[i - 1]
+        x[i] = x[i - 1] + 0.45 * np.linalg.norm(x[i - 1]) * step / np.linalg.norm(step)
+    x[2900:2950] = x[1]
+    order = rng.permutation(len(x))
+    rows = [(int(i), x[j].tolist()) for i, j in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = x[order] / np.linalg.norm(x[order], axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    roots = unite(range(len(x)), [(int(a), int(b)) for a, b in np.argwhere(np.triu(near))])
+    want = {i: (int(near[i].sum()), roots[i]) for i in range(len(x))}
+    for lists, block in ((None, None), (1, 5000), (5, 700)):
+        got = embeddings.near_duplicates(df, lists=lists, block=block).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
 def test_shards_are_balanced_and_hot_groups_cut(spark):
     rng = random.Random(1)
     rows = [(i, "copy of one text " * 20 if i % 3 == 0 else "w " * rng.randint(1, 400) + str(i)) for i in range(6000)]
