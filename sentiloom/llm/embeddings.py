@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ DEVIATIONS = float("inf")
 #: vectors, but no fewer than the first and no more numbers than the second.
 BLOCK, NUMBERS = 2048, 1 << 22
 #: Visitors and homes whose pairs are looked at together.
-TILE = (512, 2048)
+TILE = (256, 2048)
 #: What a row that moves costs, and a pair that the codes leave, in pairs of codes.
 ROW, EXACT = 3000, 150
 
@@ -167,14 +168,20 @@ def sides(codes: np.ndarray, off: np.ndarray, index: Index) -> tuple[np.ndarray,
     slack = 1e-6 * (at.shape[1] + 4)
     far = ((at**2).sum(axis=1) - index.radius**2 / 2 - 2 * index.radius * off - 2 * off**2) / 2 - slack
     one = np.ones(len(at))
-    return np.column_stack([at, -far, one]).astype(np.float32), np.column_stack([at, one, -far]).astype(np.float32)
-
-
-def compare(x: np.ndarray, y: np.ndarray, may: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the near pairs of ``x`` and ``y`` among those that the codes leave."""
-    a, b = np.divmod(np.flatnonzero(may.ravel()), len(y))
-    if len(a) > may.size // 20:
-        return np.nonzero(may & (x @ y.T >= index.threshold))
+    columns = np.zeros((at.shape[1] + 2, -(-len(at) // 8) * 8), np.float32)
+    columns[-1] = -1  # those that fill up to eights are near nothing
+    columns[:, : len(at)] = np.vstack([at.T, one, -far])
+    return np.column_stack([at, -far, one]).astype(np.float32), columns
+
+
+def compare(x: np.ndarray, y: np.ndarray, rows: np.ndarray, columns: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the near pairs of ``x`` and ``y``, whose :func:`sides` are ``rows`` and ``columns``."""
+    may = rows @ columns >= 0
+    some = np.flatnonzero(may.view(np.uint64) != 0)  # eight pairs at once: few are left
+    if len(some) > may.size // 20:
+        return np.nonzero(may[:, : len(y)] & (x @ y.T >= index.threshold))
+    eight, at = np.nonzero(may.reshape(-1, 8)[some])
+    a, b = np.divmod(some[eight] * 8 + at, may.shape[1])
     ok = np.zeros(len(a), bool)
     for i in range(0, len(a), 1 << 14):
         p, q = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
@@ -203,12 +210,12 @@ def _forest(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> list[tuple[int, i
     return [(int(p), int(q)) for p, q in out if p != q]
 
 
-def _unpack(column: pa.Array, kind: str) -> np.ndarray:
+def _unpack(raw: list[bytes], kind: str, rows: int | None = None) -> np.ndarray:
     """Unit vectors in double precision, from the bytes of numbers as they were given."""
-    raw = column.to_pylist()
-    if not raw:
+    rows = len(raw) if rows is None else rows
+    if not rows:
         return np.zeros((0, 0))
-    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x = np.frombuffer(b"".join(raw), kind).reshape(rows, -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
@@ -237,66 +244,83 @@ def links(vectors: DataFrame, index: Index, kind: str = "<f8") -> DataFrame:
     visits those that :func:`probes` and :func:`hosts` name; a link between two
     lists is found in one of them and counted for both its ends.  Lists and
     visitors are dealt into blocks by their counts, so that no comparison grows
-    with a list.
+    with a list; vectors that go the same way travel in one row.
     """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(index)
-    block = index.block
+    lists = len(index.centres)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Slices of ids, copies and raw vectors; the own list of each, and which vector goes to which list."""
         for batch in batches:
-            own, ends, cells = [], [np.zeros(1, np.int64)], []
             for i in range(0, batch.num_rows, 2048):
-                x = _unpack(batch.column(2).slice(i, 2048), kind)
-                near = _nearest(x, shared.value.centres)
+                part = batch.slice(i, 2048)
+                raw = part.column(2).to_pylist()
+                x = _unpack(raw, kind)
+                own = _nearest(x, shared.value.centres)
                 at = probes(x, shared.value)
-                at[np.arange(len(x)), near] = True
-                at &= hosts(near, at.shape[1])
-                own.append(near)
-                ends.append(at.sum(axis=1))
-                cells.append(np.nonzero(at)[1])
-            offsets = pa.array(np.cumsum(np.concatenate(ends)).astype(np.int32))
-            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *cells]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int32), *own]).astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)],
-                names=["id", "copies", "vector", "own", "cells"],
-            )
-
-    placed = store(
-        vectors.select("id", "copies", "vector").mapInArrow(place, "id long, copies long, vector binary, own int, cells array<int>"),
-        "placed",
-    )
-    home = F.col("cell") == F.col("own")
-    sizes = (
-        placed.select("own", F.explode("cells").alias("cell"))
-        .groupBy("cell")
-        .agg(F.ceil(F.sum(home.cast("int")) / block).alias("homes"), F.ceil(F.count("*") / block).alias("visits"))
-        .where("homes > 0")
-    )
-    dealt = placed.select("*", F.explode("cells").alias("cell")).drop("cells").join(F.broadcast(sizes), "cell")  # a row for each list
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["cell", "id", "copies", "vector"]
-    homes = dealt.where(home).select(
-        *columns, F.lit(True).alias("home"), F.lit(False).alias("guest"), spread("homes").alias("h"), every("visits").alias("v")
-    )
-    visitors = dealt.select(*columns, F.lit(False).alias("home"), (~home).alias("guest"), every("homes").alias("h"), spread("visits").alias("v"))
+                at[np.arange(len(x)), own] = True
+                yield part.column(0).to_numpy(), part.column(1).to_numpy(), raw, own, *np.nonzero(at & hosts(own, lists))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes, visits = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+        for _, _, _, own, _, cell in placed(batches):
+            homes += np.bincount(own, minlength=lists)
+            visits += np.bincount(cell, minlength=lists)
+        some = np.flatnonzero(visits)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(homes[some]), pa.array(visits[some])], names=["cell", "homes", "visits"])
+
+    homes, visits = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+    sized = vectors.select("id", "copies", "vector").mapInArrow(count, "cell long, homes long, visits long")
+    for cell, at_home, there in sized.groupBy("cell").agg(F.sum("homes"), F.sum("visits")).collect():  # a row for each list
+        homes[cell], visits[cell] = -(-at_home // index.block), -(-there // index.block)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cell", "h", "v", "home", "ids", "copies", "guest", "vectors"]
+        for ids, copies, raw, own, row, cell in placed(batches):
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+            raw = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+            parts = []
+            for is_home, times in ((True, np.where(cell == own[row], visits[cell], 0)), (False, homes[cell])):
+                times = np.where(homes[cell] > 0, times, 0)
+                at = np.repeat(np.arange(len(row)), times)
+                each = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                r, c = row[at], cell[at]
+                h, v = (mixed[r] % homes[c], each) if is_home else (each, mixed[r] % visits[c])
+                parts.append(np.column_stack([c, h, v, np.full(len(c), is_home), r]))
+            ways = np.concatenate(parts)
+            ways = ways[np.lexsort(ways.T[::-1])]
+            starts = np.flatnonzero(np.r_[True, (ways[1:, :4] != ways[:-1, :4]).any(axis=1)]) if len(ways) else []
+            out, size = [], 0
+            for way in np.split(ways, starts[1:]) if len(ways) else []:
+                c, h, v, is_home, _ = way[0].tolist()
+                r = way[:, 4]
+                guest = (own[r] != c) & (not is_home)
+                out.append((c, h, v, bool(is_home), ids[r].tobytes(), copies[r].tobytes(), guest.tobytes(), raw[r].tobytes()))
+                size += len(out[-1][-1])
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=names)
 
     def meet(key, table):
         index = shared.value
-        home = table.column("home").to_numpy()
-        ids, copies, x = table.column("id").to_numpy(), table.column("copies").to_numpy(), _unpack(table.column("vector"), kind)
-        a, b, x, y = ids[~home], ids[home], x[~home], x[home]
+        sets = []
+        for part in (table.filter(pc.invert(table.column("home"))), table.filter(table.column("home"))):
+            ids, copies, guest = (np.frombuffer(b"".join(part.column(x).to_pylist()), t) for x, t in (("ids", "<i8"), ("copies", "<i8"), ("guest", "?")))
+            sets.append((ids, copies.astype(np.float64), guest, _unpack(part.column("vectors").to_pylist(), kind, len(ids))))
+        (a, from_a, guest, x), (b, from_b, _, y) = sets
+        from_a = from_a * guest
         n, m = np.zeros(len(a)), np.zeros(len(b))
-        from_a, from_b = (copies * table.column("guest").to_numpy())[~home].astype(np.float64), copies[home].astype(np.float64)
         roots, pairs = _Roots(), []
         if len(a) and len(b):
-            rows, columns = sides(*encode(x, index), index)[0], np.ascontiguousarray(sides(*encode(y, index), index)[1].T)
+            rows, columns = sides(*encode(x, index), index)[0], sides(*encode(y, index), index)[1]
             for i in range(0, len(a), TILE[0]):
                 here = slice(i, i + TILE[0])
                 for j in range(0, len(b), TILE[1]):
                     there = slice(j, j + TILE[1])
-                    p, q = compare(x[here], y[there], rows[here] @ columns[:, there] >= 0, index)
+                    p, q = compare(x[here], y[there], rows[here], columns[:, there], index)
                     other = a[here][p] != b[there][q]
                     p, q = p[other], q[other]
                     if not len(p):
@@ -314,7 +338,10 @@ def links(vectors: DataFrame, index: Index, kind: str = "<f8") -> DataFrame:
         out_n = [*n[some].astype(np.int64).tolist(), *[0] * len(pairs)]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "n": pa.array(out_n, pa.int64())})
 
-    return homes.union(visitors).groupBy("cell", "h", "v").applyInArrow(meet, "a long, b long, n long")
+    dealt = vectors.select("id", "copies", "vector").mapInArrow(
+        deal, "cell long, h long, v long, home boolean, ids binary, copies binary, guest binary, vectors binary"
+    )
+    return dealt.groupBy("cell", "h", "v").applyInArrow(meet, "a long, b long, n long")
 
 
 def fit(
@@ -336,9 +363,9 @@ def fit(
     if not n:
         return None
     share = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < max(1, int(min(1.0, sample / n) * (1 << 30)))
-    x = _unpack(vectors.where(share).select("vector").limit(2 * sample).toArrow().column("vector"), kind)
+    x = _unpack(vectors.where(share).select("vector").limit(2 * sample).toArrow().column("vector").to_pylist(), kind)
     if not len(x):  # few vectors, and none of them by chance
-        x = _unpack(vectors.select("vector").limit(1).toArrow().column("vector"), kind)
+        x = _unpack(vectors.select("vector").limit(1).toArrow().column("vector").to_pylist(), kind)
     x = x[np.lexsort(x.T)]
     return train(x, n, lists, threshold, deviations, block)
 
