@@ -6,6 +6,7 @@ Columns: ``doc_id, sent_id, tok_id`` (1-based), ``text, lemma, upos``,
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,18 +108,59 @@ def _changes(column: pa.Array) -> np.ndarray:
     return np.append(np.ones(min(len(column), 1), bool), differs.to_numpy(zero_copy_only=False).astype(bool))
 
 
+def _cutter(column: pa.Array, starts: np.ndarray) -> Callable:
+    """The bytes of rows ``low`` to ``high``, where ``low`` is one of ``starts``: what compresses well.
+
+    Numbers are steps from row to row and texts have lengths, not ends; of
+    either the first bytes come first, then the second ones and so on.
+    """
+    planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
+    ends, data = np.zeros(len(column) + 1, np.int64), pa.py_buffer(b"")
+    if pa.types.is_integer(column.type):
+        x = column.fill_null(0).to_numpy(zero_copy_only=False)
+        steps = np.diff(x, prepend=x[:1] * 0)
+        steps[starts] = x[starts]
+        numbers = planes(steps)
+    elif pa.types.is_string(column.type):
+        x = column.fill_null("")
+        ends = np.frombuffer(x.buffers()[1], "<i4")[x.offset : x.offset + len(x) + 1]
+        numbers, data = planes(np.diff(ends)), x.buffers()[2] or data
+    else:
+        return lambda low, high: [pa.RecordBatch.from_arrays([column.slice(low, high - low)], ["x"]).serialize().to_pybytes()]
+    valid = column.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+    return lambda low, high: [
+        valid[low:high].tobytes(), numbers[:, low:high].tobytes(), data[int(ends[low]) : int(ends[high])].to_pybytes()
+    ]
+
+
+def _column(kind: pa.DataType, n: int, parts: list[bytes]) -> pa.Array:
+    """What :func:`_cutter` took apart."""
+    if len(parts) == 1:
+        return pa.ipc.read_record_batch(pa.py_buffer(parts[0]), pa.schema([("x", kind)])).column(0)
+    valid, numbers = (np.frombuffer(p, np.uint8) for p in parts[:2])
+    numbers = np.ascontiguousarray(numbers.reshape(-1, n).T)
+    if pa.types.is_integer(kind):
+        steps = numbers.view(kind.to_pandas_dtype()).ravel()
+        return pa.array(np.cumsum(steps, dtype=steps.dtype), kind, mask=valid == 0)
+    ends = np.append(0, np.cumsum(numbers.view("<i4"))).astype("<i4")
+    known = None if valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(parts[2]), known)
+
+
 def _packer(schema: pa.Schema) -> Callable:
-    """Rows of one comment that follow each other, as one compressed batch."""
+    """Rows of one comment that follow each other, as one compressed row."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = batch.column(0), pa.RecordBatch.from_arrays(batch.columns[1:], schema=schema)
+            keys = batch.column(0)
             starts = np.flatnonzero(_changes(keys)).tolist()
-            data = [rows.slice(low, high - low).serialize() for low, high in zip(starts, [*starts[1:], len(keys)])]
+            cutters = [_cutter(c.cast(k), starts) for c, k in zip(batch.columns[1:], schema.types)]
+            runs = zip(starts, [*starts[1:], len(keys)])
+            data = [pickle.dumps((high - low, [cut(low, high) for cut in cutters]), 5) for low, high in runs]
             yield pa.RecordBatch.from_arrays(
                 [
                     keys.take(pa.array(starts, pa.int64())),
-                    pa.array([d.size for d in data], pa.int64()),
+                    pa.array([len(d) for d in data], pa.int64()),
                     pa.array([pa.compress(d, "zstd", asbytes=True) for d in data], pa.binary()),
                 ],
                 ["doc_id", "size", "data"],
@@ -157,7 +199,8 @@ def _unpacker(schema: pa.Schema, out: list[str], per_sentence: bool) -> Callable
                     yield lists(docs, parts, kind)
                     docs, parts, held = [], [], 0
                 docs.append(doc)
-                parts.append(pa.ipc.read_record_batch(pa.decompress(data, size, "zstd"), schema))
+                n, columns = pickle.loads(pa.decompress(data, size, "zstd", asbytes=True))
+                parts.append(pa.RecordBatch.from_arrays([_column(k, n, c) for k, c in zip(schema.types, columns)], schema=schema))
                 held += size
         if docs:
             yield lists(docs, parts, kind)

@@ -103,10 +103,14 @@ def write_review_csv(df: DataFrame, path: str, order: list[str], single_file: bo
 
 
 def write_annotation(df: DataFrame, csv_path: str, parquet_path: str) -> None:
-    """The same rows as Parquet and as CSV; the CSV is made from the Parquet."""
-    df.write.mode("overwrite").parquet(parquet_path)
+    """The same rows as Parquet and as CSV; the CSV is made from the Parquet.
+
+    Lists of a comment repeat a lot, as JSON most of all: both are compressed,
+    the CSV by gzip, which its readers open as it is.
+    """
+    df.write.mode("overwrite").option("compression", "zstd").parquet(parquet_path)
     stored = df.sparkSession.read.parquet(parquet_path)
-    arrays_as_text(stored).write.mode("overwrite").options(**CSV_WRITE).csv(csv_path)
+    arrays_as_text(stored).write.mode("overwrite").options(**CSV_WRITE, compression="gzip").csv(csv_path)
 
 
 def cache_name(data: str, size: str, model: str) -> str:

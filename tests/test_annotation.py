@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from sentiloom.operators import annotation as A
+from sentiloom.sources import comments as CM
+from sentiloom.sources import tables as IO
 
 SCHEMA = "doc_id long, sent_id int, tok_id int, text string, lemma string, upos string, head int, deprel string, ner string"
 
@@ -57,3 +60,47 @@ def test_opinions_of_all_comments(spark):
         want[doc] = (min(pairs, key=lambda p: p[:3])[3] if pairs else None) or "False"
     got = {r["doc_id"]: r["opinion"] or "False" for r in A.opinion_of(df, "Screen").collect()}
     assert got == want
+
+
+def test_rows_of_any_type_come_back():
+    """Of a batch that is a slice, in runs that begin anywhere."""
+    columns = [
+        pa.array([9, 1, -(2**31), 2**31 - 1, None, 5, 6, 7, 8], pa.int32()),
+        pa.array([9, -(2**63), 2**63 - 1, None, 0, 1, 2, 3, 4], pa.int64()),
+        pa.array(["x", "", None, "xé y", "", None, "b", "long" * 99, ""], pa.string()),
+        pa.array([None] * 9, pa.string()),
+        pa.array([0.5, None, 1.5, 2.5, None, 3.5, 4.5, 5.5, 6.5], pa.float64()),
+        pa.array([[1], None, [], [2, 3], [4], None, [5], [6], [7]], pa.list_(pa.int32())),
+    ]
+    starts = [0, 2, 3, 7]
+    for column in (c.slice(1) for c in columns):
+        cut = A._cutter(column, starts)
+        for low, high in zip(starts, [2, 3, 7, 8]):
+            assert A._column(column.type, high - low, cut(low, high)).equals(column.slice(low, high - low))
+
+
+def test_a_packed_token_takes_few_bytes():
+    """Numbers that grow by one and ends of texts are no more than their steps."""
+    n = 500
+    words = [f"{'ab' * (i % 5 + 1)}{i % 7}" for i in range(n)]
+    fields = {"sent_id": pa.array([i // 9 for i in range(n)], pa.int32()), "tok_id": pa.array([i % 9 + 1 for i in range(n)], pa.int32())}
+    fields |= {c: pa.array(words) for c in ("text", "lemma", "upos", "deprel", "ner")} | {"head": pa.array(range(n), pa.int32())}
+    schema = pa.schema([(k, v.type) for k, v in fields.items()])
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n), *fields.values()], ["doc_id", *fields])
+    (row,) = A._packer(schema)(iter([batch]))
+    assert len(row["data"][0].as_py()) < 2 * n
+
+
+def test_files_of_lists_are_compressed(spark, tmp_path):
+    rows = [(i, ["screen", None, 'a "b"\n, c', "dep"] * 50) for i in range(40)]
+    df = spark.createDataFrame([*rows, (40, []), (None, None)], "doc_id long, text_list array<string>").coalesce(1)
+    for _ in range(2):  # what was there is replaced
+        IO.write_annotation(df, f"{tmp_path}/csv", f"{tmp_path}/parquet")
+    (file,) = (tmp_path / "csv").glob("part-*")
+    assert file.name.endswith(".csv.gz")
+    assert file.stat().st_size < 4000
+    read = spark.read.schema("doc_id long, text_list string").options(**CM.CSV_OPTIONS).csv(f"{tmp_path}/csv")
+    read = read.selectExpr("doc_id", "from_json(text_list, 'array<string>') AS text_list")
+    want = sorted(df.collect(), key=str)
+    assert sorted(read.collect(), key=str) == want
+    assert sorted(spark.read.parquet(f"{tmp_path}/parquet").collect(), key=str) == want
