@@ -16,13 +16,20 @@ are, and the vectors of one block of columns; entries stream past in pieces of
 bounded size.  A group is sent the vectors of its own columns only, so a word
 travels no more often than it has neighbours, and sums do not travel.
 
+Most neighbours of any word are among the frequent ones.  Where a vocabulary is
+large these come first, as the head, and the head's rows are cut by columns
+instead: a slice holds sums for the whole head over its own columns, and these
+parts are added.  So a rare word is sent to one slice and to the few groups of
+other rare words near it, however many groups there are.
+
 A NULL text has no words.  No text, or texts of one word each, give no
 vectors.  Rows that repeat count as often as they stand there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentiloom.functions import text as X
-from sentiloom.operators.scale import bucket_labels, dense_index, lookup_join, stored
+from sentiloom.operators.scale import bucket_labels, dense_index, fits_broadcast, head_cut, lookup_join, stored
 
 # Columns of the random block beyond the wanted ones.
 EXTRA = 10
@@ -41,6 +48,13 @@ NOISE = 1e-10
 # Words in a block of columns, such blocks in a group of rows.  Parquet looks at the size of a
 # page after 100 rows and each codec holds a page beside the heap, so a stored block is small.
 BLOCK, GROUP = 512, 256
+# Pairs that a task counts at a time; ranges of ids, at least; pairs of a range that are added at
+# a time, and that are given back at a time.
+PAIRED, CELLS, MERGED, SENT = 5 << 20, 256, 1 << 21, 1 << 16
+# Words of the head at most; a vocabulary of that size has none.
+HEAD = BLOCK * GROUP
+# Pairs of a target and a candidate that are few enough to go to all tasks.
+PAIRS = 1_000_000
 # Words whose random signs are drawn together.
 DRAWN = 4096
 
@@ -66,24 +80,100 @@ def word_ids(docs: DataFrame, text: str = "text", seed: int = 42) -> tuple[DataF
         seed += 1
 
 
+def _line_counts(window: int, cells: int) -> Callable:
+    """Counts of the pairs of some words: a compressed row ``(cell, size, data)`` for each range of first ids."""
+    most = max(1, PAIRED // window)
+
+    def rows(ids: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known, at = np.unique(ids, return_inverse=True)
+        pairs = []
+        for d in range(1, min(window, len(at) - 1) + 1):
+            same = line[d:][:most] == line[:-d][:most]
+            one, other = at[d:][:most][same], at[:-d][:most][same]
+            pairs.append(np.minimum(one, other) * len(known) + np.maximum(one, other))
+        pairs, n = np.unique(np.concatenate([*pairs, np.empty(0, np.int64)]), return_counts=True)
+        one, other = np.divmod(pairs, len(known))
+        cell = (((known >> 40) + (1 << 23)) * cells >> 24)[one]
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            first, k = np.unique(one[low:high], return_counts=True)
+            second, where = np.unique(other[low:high], return_inverse=True)
+            small = [x.astype(np.min_scalar_type(x.max())) for x in (k, where, n[low:high])]
+            data = pickle.dumps([known[first], known[second], *small], 5)
+            kinds = (pa.int32(), pa.int64(), pa.binary())
+            row = (int(cell[low]), len(data), pa.compress(data, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["cell", "size", "data"])
+
+    def parts(ids: list, lengths: list) -> Iterator[pa.RecordBatch]:
+        words, lengths = np.concatenate(ids), np.concatenate(lengths)
+        line = np.repeat(np.arange(len(lengths)), lengths)
+        for low in range(0, len(words), most):  # a pair belongs to the part of its first word
+            yield from rows(words[low : low + most + window], line[low : low + most + window])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lengths = [], []
+        for batch in batches:
+            lines = batch.column(0)
+            ids.append(lines.flatten().to_numpy())
+            lengths.append(lines.value_lengths().to_numpy())
+            if sum(map(len, ids)) >= most:
+                yield from parts(ids, lengths)
+                ids, lengths = [], []
+        if ids:
+            yield from parts(ids, lengths)
+
+    return counted
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b, n)`` of the rows of a cell, which follow each other."""
+
+    def added(held: list) -> tuple:
+        firsts, seconds, k, where, n = zip(*held)
+        a, at = np.unique(np.concatenate(firsts), return_inverse=True)
+        b, to = np.unique(np.concatenate(seconds), return_inverse=True)
+        starts = np.cumsum([0, *map(len, seconds)])
+        key = np.repeat(at, np.concatenate(k)) * len(b) + to[np.concatenate([w + s for w, s in zip(where, starts)])]
+        order = np.argsort(key)
+        new = np.flatnonzero(np.diff(key[order], prepend=-1))
+        one, other = np.divmod(key[order[new]], len(b))
+        return a, b, one, other, np.add.reduceat(np.concatenate(n).astype(np.int64)[order], new)
+
+    def rows(held: list) -> Iterator[pa.RecordBatch]:
+        a, b, one, other, n = added(held)
+        for low in range(0, len(n), SENT):
+            part = slice(low, low + SENT)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[one[part]], b[other[part]], n[part])], ["a", "b", "n"])
+
+    cell, held, many = None, [], 0
+    for batch in batches:
+        for here, size, data in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
+            if here != cell and held:
+                yield from rows(held)
+                held, many = [], 0
+            cell = here
+            held.append(pickle.loads(pa.decompress(data.as_buffer(), size, "zstd", asbytes=True)))
+            many += len(held[-1][3])
+            if many > MERGED:  # what repeats is added before more is read
+                a, b, one, other, n = added(held)
+                first, k = np.unique(one, return_counts=True)
+                held, many = [[a[first], b, k, other, n]], 0
+    if held:
+        yield from rows(held)
+
+
 def near_counts(docs: DataFrame, text: str = "text", window: int = 5, seed: int = 42) -> DataFrame:
     """``(a, b, n)``, ``a <= b``: how often two words of a sentence stand within ``window``.
 
-    A text takes no more memory than its own words: distances are rows, not
-    one array of all pairs.
+    A task counts :data:`PAIRED` pairs at a time, however long a sentence is, and
+    sends them packed by ranges of ``a``, with each id once.
     """
     lines = docs.select(F.explode(X.sentences(text)).alias("_s")).select(_ids(X.words("_s"), seed).alias("_w"))
-    apart = lines.select("_w", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("_d"))
-    left = F.greatest(F.array_size("_w") - F.col("_d"), F.lit(0))
-    both = F.arrays_zip(
-        F.slice("_w", F.lit(1), left).alias("v"), F.slice("_w", F.col("_d") + 1, left).alias("w")
-    )
-    pair = apart.select(F.explode(both).alias("_p"))
-    return (
-        pair.select(F.least("_p.v", "_p.w").alias("a"), F.greatest("_p.v", "_p.w").alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
-    )
+    cells = max(CELLS, 16 * docs.sparkSession.sparkContext.defaultParallelism)
+    counted = lines.where(F.size("_w") > 1).mapInArrow(_line_counts(window, cells), "cell int, size long, data binary")
+    return counted.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_counts, "a long, b long, n long")
 
 
 def near_sums(near: DataFrame) -> DataFrame:
@@ -111,19 +201,39 @@ def pmi_entries(near: DataFrame, words: DataFrame, shift: float = 1.0) -> DataFr
 
 
 class Cells:
-    """How a matrix over ``words`` words is cut: groups of rows, one or more a slot, and blocks of columns."""
+    """How a matrix over ``words`` words is cut: groups of rows, one or more a slot, and blocks of columns.
 
-    def __init__(self, words: int, slots: int, block: int = BLOCK, group: int = GROUP):
+    The whole blocks among the first ``head`` words are the rows of the first
+    groups, the slices: each has every so many blocks of columns.
+    """
+
+    def __init__(self, words: int, slots: int, block: int = BLOCK, group: int = GROUP, head: int = 0):
         self.words, self.block = words, block
         self.blocks = -(-words // block)
-        self.group = max(1, min(group, -(-self.blocks // slots)))
-        self.groups = -(-self.blocks // self.group)
+        self.head = min(head, words) // block
+        self.slices = min(slots, self.blocks) if self.head else 0
+        rest = self.blocks - self.head
+        self.group = max(1, min(group, -(-rest // slots)))
+        self.groups = self.slices + -(-rest // self.group)
 
     def rows(self, block: int) -> int:
         return min(self.block, self.words - block * self.block)
 
     def first(self, group: int) -> int:
-        return group * self.group * self.block
+        return (self.head + (group - self.slices) * self.group) * self.block if group >= self.slices else 0
+
+    def end(self, group: int) -> int:
+        return min(self.first(group + 1), self.words) if group >= self.slices else self.head * self.block
+
+    def of(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The group and the block of columns of entries."""
+        cb, below = w // self.block, v // self.block - self.head
+        return np.where(below < 0, cb % max(self.slices, 1), self.slices + below // self.group), cb
+
+    def columns(self, v: str = "v", w: str = "w") -> tuple[Column, Column]:
+        """The same of columns."""
+        cb, below = F.floor(F.col(w) / self.block), F.floor(F.col(v) / self.block) - self.head
+        return F.when(below < 0, cb % max(self.slices, 1)).otherwise(self.slices + F.floor(below / self.group)), cb
 
     def over(self, df: DataFrame) -> DataFrame:
         """A task for each group, in order."""
@@ -142,6 +252,18 @@ def _piece(rg: int, cb: int, n: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((rg, cb, n, data), kinds)], ["rg", "cb", "n", "data"])
 
 
+def _planes(*columns: np.ndarray) -> bytes:
+    """Numbers of four bytes, compressed: their first bytes, their second ones and so on."""
+    data = b"".join(c.view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+    return pa.compress(data, "zstd", asbytes=True)
+
+
+def _unplaned(data: pa.Buffer, n: int) -> np.ndarray:
+    """The bytes of three such columns of ``n`` numbers, a row each."""
+    raw = pa.decompress(data, 12 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(3, 4, n).transpose(0, 2, 1)).reshape(3, 4 * n)
+
+
 def _pieces(entries: DataFrame, cells: Cells) -> DataFrame:
     """``(rg, cb, n, data)``: ``n`` entries of a group of rows and a block of columns, packed.
 
@@ -151,7 +273,8 @@ def _pieces(entries: DataFrame, cells: Cells) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, some = None, None
         for batch in batches:
-            rg, cb, v, w, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            v, w, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rg, cb = cells.of(v, w)
             cuts = [0, *(np.flatnonzero((np.diff(cb) != 0) | (np.diff(rg) != 0)) + 1).tolist(), len(v)]
             for low, high in zip(cuts, cuts[1:]):
                 if low == high:
@@ -164,17 +287,14 @@ def _pieces(entries: DataFrame, cells: Cells) -> DataFrame:
                 one = (v[low:high] - cells.first(here[0])).astype("<i4")
                 other = (w[low:high] - here[1] * cells.block).astype("<i4")
                 some[other] = True
-                data = one.tobytes() + other.tobytes() + x[low:high].astype("<f4").tobytes()
-                yield _piece(*here, high - low, pa.compress(data, "zstd", asbytes=True))
+                data = _planes(np.diff(one, prepend=one[:1] * 0), other, x[low:high].astype("<f4"))
+                yield _piece(*here, high - low, data)
         if at is not None:
             yield _piece(*at, MASK, np.packbits(some).tobytes())
 
-    placed = entries.select(
-        F.floor(F.col("v") / (cells.block * cells.group)).cast("int").alias("rg"),
-        F.floor(F.col("w") / cells.block).cast("int").alias("cb"),
-        "v", "w", "x",
-    )
-    return placed.repartition("rg", "cb").sortWithinPartitions("rg", "cb", "v").mapInArrow(packed, PIECE)
+    rows = entries.select(F.col("v").cast("int"), F.col("w").cast("int"), F.col("x").cast("float"))
+    rg, cb = cells.columns()
+    return rows.repartition(rg, cb).sortWithinPartitions(rg, cb, "v").mapInArrow(packed, PIECE)
 
 
 def _row(blocks: list[int], data: list[np.ndarray], name: str = "data") -> pa.RecordBatch:
@@ -198,14 +318,15 @@ def _sent(block: DataFrame, masks: DataFrame, width: int, cells: Cells) -> DataF
                     yield _piece(one["rg"], rb, COLUMNS, one["data"] + held[_masked(one["data"], len(held))].tobytes())
 
     wanted = masks.groupBy(F.col("cb").alias("rb")).agg(F.collect_list(F.struct("rg", "data")).alias("wanted"))
-    return block.join(wanted, "rb").select("rb", "data", "wanted").mapInArrow(cut, PIECE)
+    return lookup_join(block, wanted, ["rb"]).select("rb", "data", "wanted").mapInArrow(cut, PIECE)
 
 
 def _times(pieces: DataFrame, block: DataFrame | None, width: int, cells: Cells, seed: int = 0) -> DataFrame:
     """The matrix times a block of columns ``(rb, data)``, or times random signs.
 
     A task holds the sums of a group of rows and a block of columns; entries
-    stream past by block.  Signs are drawn where they are used.
+    stream past by block.  Signs are drawn where they are used.  Blocks of the
+    head come once for each slice, in parts that :func:`_whole` adds.
     """
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +334,7 @@ def _times(pieces: DataFrame, block: DataFrame | None, width: int, cells: Cells,
 
         def sums() -> Iterator[pa.RecordBatch]:
             for low in range(0, len(total), cells.block):
-                yield _row([group * cells.group + low // cells.block], [total[low : low + cells.block]])
+                yield _row([(cells.first(group) + low) // cells.block], [total[low : low + cells.block]])
 
         for batch in batches:
             for rg, cb, n, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
@@ -221,9 +342,7 @@ def _times(pieces: DataFrame, block: DataFrame | None, width: int, cells: Cells,
                 if rg != group:
                     if group is not None:
                         yield from sums()
-                    first = cells.first(rg)
-                    rows = min(cells.first(rg + 1), cells.words) - first
-                    group, total, at = rg, np.zeros((rows, width)), None
+                    group, total, at = rg, np.zeros((cells.end(rg) - cells.first(rg), width)), None
                 if cb < 0:
                     continue
                 if n == COLUMNS:
@@ -234,9 +353,8 @@ def _times(pieces: DataFrame, block: DataFrame | None, width: int, cells: Cells,
                     continue
                 if at != cb:
                     at, held = cb, _signs(seed, cb, width, cells)
-                raw = pa.decompress(data, 12 * n, "zstd", asbytes=True)
-                v, w = np.frombuffer(raw, "<i4", 2 * n).reshape(2, n)
-                x = np.frombuffer(raw, "<f4", n, 8 * n)
+                raw = _unplaned(data, n)
+                v, w, x = np.cumsum(raw[0].view("<i4")), raw[1].view("<i4"), raw[2].view("<f4")
                 starts = np.flatnonzero(np.diff(v, prepend=-1))
                 total[v[starts]] += np.add.reduceat(held[w] * x[:, None], starts)
         if group is not None:
@@ -248,10 +366,24 @@ def _times(pieces: DataFrame, block: DataFrame | None, width: int, cells: Cells,
     )
     every = pieces.where(F.col("n") > 0).unionByName(groups)
     if block is not None:
-        every = every.unionByName(_sent(block, pieces.where(F.col("n") == MASK).drop("n"), width, cells))
+        masks = stored(pieces.where(F.col("n") == MASK).drop("n"), "masks")
+        every = every.unionByName(_sent(block, masks, width, cells))
     return cells.over(every).mapInArrow(multiplied, "rb int, data binary")
 
 
+def _whole(parts: DataFrame, cells: Cells) -> DataFrame:
+    """Blocks ``(rb, data)`` of a stored product: the parts of a head block become one."""
+    if not cells.head:
+        return parts
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(d.as_buffer(), "<f4").astype(float) for d in rows["data"])
+        return pa.Table.from_batches([_row([rows["rb"][0].as_py()], [total])])
+
+    head = parts.where(F.col("rb") < cells.head).groupBy("rb").applyInArrow(added, "rb int, data binary")
+    return parts.where(F.col("rb") >= cells.head).unionByName(stored(head, "head"))
+
+
 @lru_cache(maxsize=2)
 def _drawn(seed: int, part: int, rows: int, width: int) -> np.ndarray:
     return (2 * np.random.default_rng([seed, part]).integers(0, 2, (rows, width)) - 1).astype(np.float32)
@@ -328,6 +460,7 @@ def pmi_vectors(
     seed: int = 42,
     near: DataFrame | None = None,
     block_rows: int = BLOCK,
+    head: int = HEAD,
 ) -> DataFrame:
     """``(word, n, v)``: vectors of ``size`` numbers for words that have a neighbour.
 
@@ -346,19 +479,22 @@ def pmi_vectors(
         for side in ("a", "b"):
             near = lookup_join(near, keep.select(F.col("id").alias(side)), [side], "left_semi")
         near = stored(near, "near-counts")
-    words = stored(dense_index(named.join(near_sums(near), "id"), ["id"], "at"), "near-words")
-    number = words.count()
+    known = named.withColumn("rare", F.col("n") < head_cut(named, ["id"], head)).join(near_sums(near), "id")
+    words = stored(dense_index(known, ["rare", "id"], "at"), "near-words")
+    number, frequent = words.agg(F.count("*"), F.count_if(~F.col("rare"))).first()
     if not number:
         return words.select("word", "n", F.array().cast("array<float>").alias("v"))
-    cells = Cells(number, docs.sparkSession.sparkContext.defaultParallelism, block_rows)
+    slots = docs.sparkSession.sparkContext.defaultParallelism
+    cells = Cells(number, slots, block_rows, head=frequent if frequent < number else 0)
     pieces = stored(_pieces(pmi_entries(near, words, shift), cells), "pmi")
     width = size + EXTRA
     block = _times(pieces, None, width, cells, seed)
     for _ in range(rounds + 1):
-        basis, width = _orthonormal(stored(block, "block"), width)
+        basis, width = _orthonormal(_whole(stored(block, "block"), cells), width)
         if not width:  # no pair is more frequent than the shift
             return words.select("word", "n", F.array_repeat(F.lit(0.0).cast("float"), size).alias("v"))
         block = _times(pieces, basis, width, cells)
+    # a product is linear, so the parts of the head need not be added here
     inner = _gram(basis.join(block.select("rb", F.col("data").alias("z")), "rb"), "data", "z", width)
     values, axes = np.linalg.eigh((inner + inner.T) / 2)
     first = np.argsort(-np.abs(values))[:size]
@@ -424,8 +560,10 @@ def nearest_words(
     holds ``per_cell`` words on average, so a target meets a number of words
     that grows with the logarithm of the vocabulary.  All candidates are ranked
     by exact cosine; ties go by word.  Targets without a vector have no row.
+    Vectors stay where they are, as long as the pairs to rank are few; they are
+    read four times, so pass them stored.
     """
-    units = stored(_units(vectors), "unit-vectors")
+    units = _units(vectors)
     shape = units.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     bits = int(min(40, max(0, round(np.log2(max(shape["n"], 1) / per_cell)))))
     if not shape["n"]:
@@ -442,8 +580,9 @@ def nearest_words(
     # cells of the whole vocabulary stay where they are, as long as those asked for are few
     pairs = lookup_join(cells, stored(asked, "asked-cells"), ["t", "sig"]).select("target", "word").distinct()
     asked_units = lookup_join(units, wanted, ["word"], "left_semi").select(F.col("word").alias("target"), F.col("v").alias("u"))
-    near = lookup_join(pairs.where(F.col("word") != F.col("target")), asked_units, ["target"])
-    near = near.join(units, "word")
+    pairs = stored(pairs.where(F.col("word") != F.col("target")), "near-pairs")
+    few = fits_broadcast(pairs, PAIRS)
+    near = lookup_join(units.join(F.broadcast(pairs) if few else pairs, "word"), asked_units, ["target"])
     cosine = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("cosine"), "word"))
     return (

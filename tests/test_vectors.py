@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from registry import QUERIES
@@ -157,6 +158,73 @@ def test_a_product_sends_only_columns_that_a_group_has(spark):
     pieces.unpersist()
 
 
+def test_the_head_is_cut_by_columns(spark):
+    """Parts of head blocks add up to the dense product; a rare column goes to one slice, not to all."""
+    rng = np.random.default_rng(6)
+    dense = np.zeros((60, 60), np.float32)
+    for v, w in zip(rng.integers(0, 9, 150), rng.integers(0, 60, 150)):
+        dense[v, w] = dense[w, v] = 1 + v + w
+    cells = V.Cells(60, 4, 3, 2, head=10)
+    assert (cells.blocks, cells.head, cells.slices, cells.group, cells.groups) == (20, 3, 4, 2, 13)
+    rows = [(int(v), int(w), float(dense[v, w])) for v, w in zip(*np.nonzero(dense))]
+    pieces = V._pieces(spark.createDataFrame(rows, "v long, w long, x double"), cells).persist()
+    columns = rng.standard_normal((60, 6)).astype(np.float32)
+    block = spark.createDataFrame([(i, columns[3 * i : 3 * i + 3].tobytes()) for i in range(20)], "rb int, data binary")
+    parts = V._times(pieces, block, 6, cells).persist()
+    assert {r["rb"]: r["count"] for r in parts.groupBy("rb").count().collect()} == {i: 4 if i < 3 else 1 for i in range(20)}
+    found = {r["rb"]: np.frombuffer(r["data"], "<f4").reshape(-1, 6) for r in V._whole(parts, cells).collect()}
+    np.testing.assert_allclose(np.concatenate([found[i] for i in range(20)]), dense @ columns, rtol=1e-4, atol=1e-3)
+    sent = V._sent(block, pieces.where(f"n = {V.MASK}").drop("n"), 6, cells).collect()
+    assert sum((len(r["data"]) - 1) // 24 for r in sent if r["cb"] >= 3) == np.count_nonzero(dense[:9, 9:].any(axis=0))
+    parts.unpersist()
+    pieces.unpersist()
+
+
+def test_a_head_gives_the_same_products(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(12)) for _ in range(60)]
+    none = {r["word"]: np.array(r["v"]) for r in V.pmi_vectors(frame(spark, texts), size=80).collect()}
+    some = {r["word"]: np.array(r["v"]) for r in V.pmi_vectors(frame(spark, texts), size=80, block_rows=3, head=20).collect()}
+    names = sorted(none)
+    assert sorted(some) == names
+    a, b = (np.array([t[n] for n in names]) for t in (none, some))
+    np.testing.assert_allclose(a @ a.T, b @ b.T, atol=1e-3)
+
+
+@pytest.mark.parametrize("window", [1, 3, 30])
+def test_counts_are_packed_before_they_move(spark, monkeypatch, window):
+    """However few pairs are held at a time, and with sentences longer than that."""
+    rng = random.Random(7)
+    lines = [[rng.randint(-(2**63), 2**63 - 1) if rng.random() < 0.2 else rng.randint(0, 9) for _ in range(rng.choice([1, 2, 9, 90]))] for _ in range(40)]
+    want = Counter()
+    for line in lines:
+        for i, v in enumerate(line):
+            for w in line[i + 1 : i + 1 + window]:
+                want[min(v, w), max(v, w)] += 1
+    monkeypatch.setattr(V, "PAIRED", 60)
+    monkeypatch.setattr(V, "MERGED", 50)
+    batches = [pa.RecordBatch.from_arrays([pa.array(lines[i : i + 7], pa.list_(pa.int64()))], ["_w"]) for i in range(0, 40, 7)]
+    sent = sorted(V._line_counts(window, 5)(iter(batches)), key=lambda r: r["cell"][0].as_py())
+    assert len({r["cell"][0].as_py() for r in sent}) == 5
+    got = [row for r in V._cell_counts(iter(sent)) for row in zip(*(c.to_pylist() for c in r.columns))]
+    assert len(got) == len(want)
+    assert {(a, b): n for a, b, n in got} == want
+
+
+def test_vectors_are_not_moved_to_rank_them(spark):
+    """Words, targets and cosines are, also where Spark broadcasts nothing by itself."""
+    rows = [(f"w{i}", 1, [float(i % 7), 1.0, float(i % 11)]) for i in range(500)]
+    vectors = spark.createDataFrame(rows, "word string, n long, v array<float>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = V.nearest_words(vectors, spark.createDataFrame([("w1",)], "word string"), 3)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert len(out.collect()) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stored_blocks_are_small():
     """Parquet puts 100 rows in a page before it looks at its size."""
     assert V.BLOCK * (100 + V.EXTRA) * 4 <= 256 << 10
