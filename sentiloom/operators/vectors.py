@@ -294,7 +294,7 @@ def _pieces(entries: DataFrame, cells: Cells) -> DataFrame:
 
     rows = entries.select(F.col("v").cast("int"), F.col("w").cast("int"), F.col("x").cast("float"))
     rg, cb = cells.columns()
-    return rows.repartition(rg, cb).sortWithinPartitions(rg, cb, "v").mapInArrow(packed, PIECE)
+    return rows.repartition(rg, cb).sortWithinPartitions(rg, cb, "v", "w").mapInArrow(packed, PIECE)
 
 
 def _row(blocks: list[int], data: list[np.ndarray], name: str = "data") -> pa.RecordBatch:
